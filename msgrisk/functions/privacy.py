@@ -54,7 +54,7 @@ def _escape_non_ascii(json: Column) -> Column:
     def escape(run: Column) -> Column:
         units = F.lower(F.hex(F.encode(run, "UTF-16BE")))
         return F.when(run.rlike(r"^[\x00-\x7E]"), run).otherwise(
-            F.regexp_replace(units, "(.{4})", r"\\\\u$1")
+            F.regexp_replace(units, "(.{4})", r"\\u$1")
         )
 
     return F.when(json.rlike(r"[^\x00-\x7E]"), F.array_join(F.transform(runs, escape), "")).otherwise(json)

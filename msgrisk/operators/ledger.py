@@ -43,16 +43,66 @@ def _last_accepted(times: np.ndarray, starts: np.ndarray, wait: int) -> np.ndarr
         current[moving] = step[moving]
 
 
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cut sorted batches into one frame per (key, chunk); a run may span batches."""
+    rest = None
+    for batch in batches:
+        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        keys, chunks = rows["key"].to_numpy(), rows["chunk"].to_numpy()
+        starts = np.flatnonzero((keys[1:] != keys[:-1]) | (chunks[1:] != chunks[:-1])) + 1
+        bounds = [0, *starts.tolist()]
+        for start, end in zip(bounds[:-1], bounds[1:]):
+            yield rows.iloc[start:end]
+        rest = rows.iloc[bounds[-1]:]
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _joined(parts: list[dict], columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({c: np.concatenate([np.asarray(p[c]) for p in parts]) for c in columns})
+
+
 def _summarise(wait: int, width: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(rows["t"].to_numpy())
-        opened = int(key[1]) * width + wait          # the chunk is surely open from here on
+    def summary(rows: pd.DataFrame) -> dict:
+        times, chunk = rows["t"].to_numpy(), int(rows["chunk"].iat[0])
+        opened = chunk * width + wait                # the chunk is surely open from here on
         starts = np.arange(min(np.searchsorted(times, opened) + 1, len(times)))
         exits = times[_last_accepted(times, starts, wait)]
         ends = np.append(np.flatnonzero(np.diff(exits)), len(exits) - 1)
-        return pd.DataFrame(
-            {"key": key[0], "chunk": key[1], "until": times[starts[ends]], "last": exits[ends]}
-        )
+        return {
+            "key": np.full(len(ends), rows["key"].iat[0], dtype=object), "chunk": np.full(len(ends), chunk),
+            "until": times[starts[ends]], "last": exits[ends],
+        }
+
+    return _in_blocks(summary, ["key", "chunk", "until", "last"])
+
+
+def _mark(wait: int):
+    def marks(rows: pd.DataFrame) -> dict:
+        times = rows["t"].to_numpy()
+        keep = []
+        at = int(np.searchsorted(times, rows["opens"].iat[0]))
+        while at < len(times):
+            keep.append(at)
+            at = int(np.searchsorted(times, times[at] + wait))
+        return {"row_id": rows["row_id"].to_numpy()[keep]}
+
+    return _in_blocks(marks, ["row_id"])
+
+
+def _in_blocks(per_run, columns: list[str], rows_per_block: int = 50_000):
+    """Apply ``per_run`` to every run and hand the results on in larger frames."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, size = [], 0
+        for rows in _runs(batches):
+            parts.append(per_run(rows))
+            size += len(parts[-1][columns[0]])
+            if size >= rows_per_block:
+                yield _joined(parts, columns)
+                parts, size = [], 0
+        if parts:
+            yield _joined(parts, columns)
 
     return run
 
@@ -84,20 +134,6 @@ def _follow(wait: int):
     return run
 
 
-def _mark(wait: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        times = rows["t"].to_numpy()
-        keep = []
-        at = int(np.searchsorted(times, rows["opens"].iloc[0]))
-        while at < len(times):
-            keep.append(at)
-            at = int(np.searchsorted(times, times[at] + wait))
-        return rows.iloc[keep][["row_id"]]
-
-    return run
-
-
 def accepted_rows(
     df: DataFrame, key: str, time: str, row_id: str, window_seconds: int, hit_at_limit: bool
 ) -> DataFrame:
@@ -116,7 +152,8 @@ def accepted_rows(
         .agg(F.min(row_id).cast("long").alias("row_id"))
         .withColumn("chunk", F.expr(f"(t - pmod(t, {width}L)) div {width}L"))
     )
-    summaries = instants.groupBy("key", "chunk").applyInPandas(
+    placed = instants.repartition("key", "chunk")
+    summaries = placed.sortWithinPartitions("key", "chunk", "t").select("key", "chunk", "t").mapInPandas(
         _summarise(wait, width), "key string, chunk long, until long, last long"
     )
     opened = (
@@ -125,9 +162,10 @@ def accepted_rows(
         .mapInPandas(_follow(wait), "key string, chunk long, opens long")
     )
     return (
-        instants.join(opened, ["key", "chunk"])
-        .groupBy("key", "chunk")
-        .applyInPandas(_mark(wait), "row_id long")
+        placed.join(opened, ["key", "chunk"])
+        .repartition("key", "chunk")
+        .sortWithinPartitions("key", "chunk", "t")
+        .mapInPandas(_mark(wait), "row_id long")
     )
 
 

@@ -70,7 +70,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, whole, as a message."""
-    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return as_messages(spread(documents, "doc_id"))
+
+
+def as_messages(documents: DataFrame) -> DataFrame:
+    spark = documents.sparkSession
     templates = F.broadcast(spark.createDataFrame(TEMPLATES, TEMPLATE_SCHEMA))      # 16 rows
     joined = documents.withColumn(
         "tid", F.pmod("doc_id", F.lit(len(TEMPLATES))).cast("int")
@@ -102,7 +107,10 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def risk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Click events as event-table rows."""
-    events = table(spark, sf_dir, "events")
+    return as_risk_events(table(spark, sf_dir, "events"))
+
+
+def as_risk_events(events: DataFrame) -> DataFrame:
     risk = F.round(F.least(F.col("value") / 100, F.lit(1.0)), 4)
     brand = (
         F.when(F.col("event_type") == "purchase", "PayPal")
@@ -127,7 +135,11 @@ def risk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks and errors as user feedback, many per message."""
-    events = table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "error"))
+    return as_feedback(table(spark, sf_dir, "events"))
+
+
+def as_feedback(events: DataFrame) -> DataFrame:
+    events = events.filter(F.col("event_type").isin("click", "error"))
     risk = F.round(F.least(F.col("value") / 100, F.lit(1.0)), 4)
     return events.select(
         F.col("event_id").alias("feedback_id"),

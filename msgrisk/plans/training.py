@@ -15,6 +15,7 @@ from msgrisk import fixed_values as fv
 from msgrisk.operators import learning
 from msgrisk.plans.assess import extract_features
 from msgrisk.registry import Registry
+from msgrisk.session import store
 
 
 class TextPassThrough:
@@ -113,7 +114,7 @@ def logistic_regression(n_rows: int) -> LogisticRegression:
     """L2 strength 1 on balanced rows: the weights add up to n, hence 1/n here."""
     return LogisticRegression(
         featuresCol="features_vector", labelCol="label", weightCol="weight",
-        regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, standardization=False, maxIter=1000,
+        regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-4,
     )
 
 
@@ -124,25 +125,32 @@ def split_rule(frame: DataFrame) -> tuple[float, bool, int]:
     return (0.25 if rows >= 8 else 0.5), len(counts) > 1 and min(counts.values()) >= 2, rows
 
 
-def train_model(frame: DataFrame, text_size: int = fv.VOCABULARY_SIZE, seed: int = 42):
-    """(model, metrics, test predictions) from a training frame.
+def _split_vectors(frame: DataFrame, text_size: int, seed: int):
+    """(model without classifier, feature pipeline, training vectors, test vectors, rows).
 
-    The split frame is stored once (it feeds several passes) and released at the end
-    by the caller's session; memory and disk hold it, nothing passes the driver.
+    The split frame and the vectors are read by many passes, so they are stored.
     """
     share, stratify, n_rows = split_rule(frame)
-    parts = learning.stratified_split(frame, "label", "msg_id", share, seed, stratify).persist()
+    parts = store(learning.stratified_split(frame, "label", "msg_id", share, seed, stratify))
     train, test = parts.filter(~F.col("is_test")), parts.filter("is_test")
+    model = TrainedModel(fit_text_stage(train, text_size), None)
     weights = learning.class_weights(train).select("label", "weight")
-    text_stage = fit_text_stage(train, text_size)
-    model = TrainedModel(text_stage, None)
-    prepared = model.prepare(train).join(F.broadcast(weights), "label")     # one row per class
-    n_train = train.count()
-    final = Pipeline(stages=[*feature_stages(train), logistic_regression(n_train)]).fit(prepared)
-    model.final_stage = final
-    predictions = model.predict(model.prepare(test)).select(
-        "msg_id", "label", F.col("ml_probability").alias("score"),
-        (F.col("ml_probability") >= 0.5).cast("int").alias("prediction"),
+    weighted = model.prepare(train).join(F.broadcast(weights), "label")     # one row per class
+    stages = Pipeline(stages=feature_stages(train)).fit(weighted)
+    vectors = store(stages.transform(weighted).select("label", "weight", "features_vector"))
+    return model, stages, vectors, test, n_rows
+
+
+def train_model(frame: DataFrame, text_size: int = fv.VOCABULARY_SIZE, seed: int = 42):
+    """(model, metrics, test predictions) from a training frame."""
+    model, stages, vectors, test, n_rows = _split_vectors(frame, text_size, seed)
+    classifier = logistic_regression(vectors.count()).fit(vectors)
+    model.final_stage = PipelineModel(stages=[*stages.stages, classifier])
+    predictions = store(
+        model.predict(model.prepare(test)).select(
+            "msg_id", "label", F.col("ml_probability").alias("score"),
+            (F.col("ml_probability") >= 0.5).cast("int").alias("prediction"),
+        )
     )
     report = {r["name"]: r.asDict() for r in learning.evaluation_report(predictions).collect()}
     metrics = {
@@ -161,18 +169,11 @@ def model_run_row(spark: SparkSession, metrics: dict, version: str = fv.MODEL_VE
 
 def compare_models(frame: DataFrame, seed: int = 42) -> DataFrame:
     """Several classifiers on one split: best recall first, lower false-positive rate breaks ties."""
-    share, stratify, _ = split_rule(frame)
-    parts = learning.stratified_split(frame, "label", "msg_id", share, seed, stratify).persist()
-    train, test = parts.filter(~F.col("is_test")), parts.filter("is_test")
-    weights = learning.class_weights(train).select("label", "weight")
-    model = TrainedModel(fit_text_stage(train), None)
-    prepared = model.prepare(train).join(F.broadcast(weights), "label")
-    stages = Pipeline(stages=feature_stages(train)).fit(prepared)
-    train_vectors = stages.transform(prepared).select("label", "weight", "features_vector").persist()
-    test_vectors = stages.transform(model.prepare(test)).select("label", "features_vector")
+    model, stages, train_vectors, test, _ = _split_vectors(frame, fv.VOCABULARY_SIZE, seed)
+    test_vectors = store(stages.transform(model.prepare(test)).select("label", "features_vector"))
     common = dict(featuresCol="features_vector", labelCol="label", weightCol="weight")
     candidates = {
-        "logistic_regression": logistic_regression(train.count()),
+        "logistic_regression": logistic_regression(train_vectors.count()),
         "linear_svm": LinearSVC(**common, regParam=0.01, maxIter=50),
         "random_forest": RandomForestClassifier(**common, numTrees=30, seed=seed),
         "boosted_trees": GBTClassifier(**common, maxIter=10, seed=seed),

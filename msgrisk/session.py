@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that change results or plans.  They are safe defaults for a cluster
 # too: AQE sizes the reducers and splits skewed join partitions at run time.
@@ -58,3 +59,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Cuts the lineage of tables that many later passes read: the passes then plan
+    and ship a plain file scan, and a lost executor costs no recomputation.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
