@@ -12,11 +12,13 @@ _HOST = _SCHEME + r"(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)"
 _AFTER_HOST = _SCHEME + r"[^/?#]*([^?#]*)"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IPV4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
-# Eight groups of hex digits, or fewer around one '::'; an IPv4 tail stands for two.
-_GROUP, _TAIL = "[0-9a-f]{1,4}", rf"(?:[0-9a-f]{{1,4}}:[0-9a-f]{{1,4}}|{_IPV4})"
+# Eight groups of hex digits, or at most seven around one '::'; an IPv4 tail counts as two.
+_GROUP = "[0-9a-f]{1,4}"
+_TAIL = rf"(?:{_GROUP}:{_GROUP}|{_IPV4})"
+_AT_MOST_SEVEN = rf"(?!(?::*{_GROUP}(?![0-9a-f])){{8}})(?!(?::*{_GROUP}:){{6}}:*[0-9]+\.)"
 _IPV6 = (
     rf"^(?=[^%]*:)(?:(?:{_GROUP}:){{6}}{_TAIL}"
-    rf"|(?!(?:[^:%]*:+){{8}})(?:{_GROUP}(?::{_GROUP})*)?::(?:(?:{_GROUP}:)*(?:{_TAIL}|{_GROUP}))?)(?:%.+)?$"
+    rf"|{_AT_MOST_SEVEN}(?:{_GROUP}(?::{_GROUP})*)?::(?:(?:{_GROUP}:)*(?:{_IPV4}|{_GROUP}))?)(?:%.+)?$"
 )
 
 

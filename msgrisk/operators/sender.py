@@ -32,7 +32,7 @@ def sender_host(domain: Column, sender: Column) -> Column:
 def _mentioned(registry: Registry):
     if registry.mention_mode == "word":
         before, after = F.lit(r"(?<![\p{L}\p{N}])\Q"), F.lit(r"\E(?![\p{L}\p{N}])")
-        return lambda text, term: text.rlike(F.concat(before, term, after))
+        return lambda text, term: F.regexp_like(text, F.concat(before, term, after))
     return F.contains
 
 

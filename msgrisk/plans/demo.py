@@ -77,7 +77,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_messages(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     templates = F.broadcast(spark.createDataFrame(TEMPLATES, TEMPLATE_SCHEMA))      # 16 rows
-    joined = documents.withColumn(
+    joined = documents.select("doc_id", "text").withColumn(
         "tid", F.pmod("doc_id", F.lit(len(TEMPLATES))).cast("int")
     ).join(templates, "tid")
 

@@ -174,9 +174,9 @@ def compare_models(frame: DataFrame, seed: int = 42) -> DataFrame:
     common = dict(featuresCol="features_vector", labelCol="label", weightCol="weight")
     candidates = {
         "logistic_regression": logistic_regression(train_vectors.count()),
-        "linear_svm": LinearSVC(**common, regParam=0.01, maxIter=50),
-        "random_forest": RandomForestClassifier(**common, numTrees=30, seed=seed),
-        "boosted_trees": GBTClassifier(**common, maxIter=10, seed=seed),
+        "linear_svm": LinearSVC(**common, regParam=0.01, maxIter=30),
+        "random_forest": RandomForestClassifier(**common, numTrees=20, maxDepth=4, seed=seed),
+        "boosted_trees": GBTClassifier(**common, maxIter=5, maxDepth=3, seed=seed),
     }
     results = None
     for name, estimator in candidates.items():
