@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from msgrisk import fixed_values as fv
-from msgrisk.functions.text import flag, text_or_empty
+from msgrisk.functions.text import bind, flag, text_or_empty
 
 _ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 _TAG = rf"</?[a-zA-Z]{_ATTRS}>|<[!?][^>]*>"
@@ -78,10 +78,16 @@ def add_structure(df: DataFrame, html: str = "html", body: str = "body_text") ->
 
 def main_part(html: Column) -> Column:
     """The first article or main element, else the body, else everything."""
-    seen = without_unseen(text_or_empty(html))
-    root = F.regexp_extract(seen, r"(?is)<(article|main)\b[^>]*>(.*?)</\1\s*>", 2)
-    body = F.regexp_extract(seen, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|$)", 1)
-    return F.when(root != "", root).when(body != "", body).otherwise(seen)
+
+    def first_filled(value: Column, fallback: Column) -> Column:
+        return bind(value, lambda v: F.when(v != "", v).otherwise(fallback))
+
+    def pick(seen: Column) -> Column:
+        root = F.regexp_extract(seen, r"(?is)<(article|main)\b[^>]*>(.*?)</\1\s*>", 2)
+        body = F.regexp_extract(seen, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|$)", 1)
+        return first_filled(root, first_filled(body, seen))
+
+    return bind(without_unseen(text_or_empty(html)), pick)
 
 
 def text_lines(fragment: Column) -> Column:

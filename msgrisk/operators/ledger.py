@@ -43,66 +43,62 @@ def _last_accepted(times: np.ndarray, starts: np.ndarray, wait: int) -> np.ndarr
         current[moving] = step[moving]
 
 
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Cut sorted batches into one frame per (key, chunk); a run may span batches."""
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
+    """Sorted batches as arrays with the bounds of their complete (key, chunk) runs.
+
+    A run may span batches: the unfinished last run is carried into the next one.
+    """
     rest = None
     for batch in batches:
         rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
         keys, chunks = rows["key"].to_numpy(), rows["chunk"].to_numpy()
         starts = np.flatnonzero((keys[1:] != keys[:-1]) | (chunks[1:] != chunks[:-1])) + 1
-        bounds = [0, *starts.tolist()]
-        for start, end in zip(bounds[:-1], bounds[1:]):
-            yield rows.iloc[start:end]
-        rest = rows.iloc[bounds[-1]:]
+        bounds = np.concatenate([[0], starts])
+        rest = rows.iloc[bounds[-1] :]
+        if len(bounds) > 1:
+            yield {c: rows[c].to_numpy() for c in rows.columns}, bounds[:-1], bounds[1:]
     if rest is not None and len(rest):
-        yield rest
-
-
-def _joined(parts: list[dict], columns: list[str]) -> pd.DataFrame:
-    return pd.DataFrame({c: np.concatenate([np.asarray(p[c]) for p in parts]) for c in columns})
+        yield {c: rest[c].to_numpy() for c in rest.columns}, np.array([0]), np.array([len(rest)])
 
 
 def _summarise(wait: int, width: int):
-    def summary(rows: pd.DataFrame) -> dict:
-        times, chunk = rows["t"].to_numpy(), int(rows["chunk"].iat[0])
-        opened = chunk * width + wait                # the chunk is surely open from here on
-        starts = np.arange(min(np.searchsorted(times, opened) + 1, len(times)))
-        exits = times[_last_accepted(times, starts, wait)]
-        ends = np.append(np.flatnonzero(np.diff(exits)), len(exits) - 1)
-        return {
-            "key": np.full(len(ends), rows["key"].iat[0], dtype=object), "chunk": np.full(len(ends), chunk),
-            "until": times[starts[ends]], "last": exits[ends],
-        }
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts, ends in _runs(batches):
+            lone = starts[ends - starts == 1]       # nothing to follow in a run of one instant
+            pick, until, last = [lone], [rows["t"][lone]], [rows["t"][lone]]
+            for start, end in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
+                times = rows["t"][start:end]
+                opened = rows["chunk"][start] * width + wait     # surely open from here on
+                first = np.arange(min(np.searchsorted(times, opened) + 1, len(times)))
+                exits = times[_last_accepted(times, first, wait)]
+                merged = np.append(np.flatnonzero(np.diff(exits)), len(exits) - 1)
+                pick.append(np.full(len(merged), start))
+                until.append(times[merged])
+                last.append(exits[merged])
+            at = np.concatenate(pick)
+            yield pd.DataFrame(
+                {
+                    "key": rows["key"][at], "chunk": rows["chunk"][at],
+                    "until": np.concatenate(until), "last": np.concatenate(last),
+                }
+            )
 
-    return _in_blocks(summary, ["key", "chunk", "until", "last"])
+    return run
 
 
 def _mark(wait: int):
-    def marks(rows: pd.DataFrame) -> dict:
-        times = rows["t"].to_numpy()
-        keep = []
-        at = int(np.searchsorted(times, rows["opens"].iat[0]))
-        while at < len(times):
-            keep.append(at)
-            at = int(np.searchsorted(times, times[at] + wait))
-        return {"row_id": rows["row_id"].to_numpy()[keep]}
-
-    return _in_blocks(marks, ["row_id"])
-
-
-def _in_blocks(per_run, columns: list[str], rows_per_block: int = 50_000):
-    """Apply ``per_run`` to every run and hand the results on in larger frames."""
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts, size = [], 0
-        for rows in _runs(batches):
-            parts.append(per_run(rows))
-            size += len(parts[-1][columns[0]])
-            if size >= rows_per_block:
-                yield _joined(parts, columns)
-                parts, size = [], 0
-        if parts:
-            yield _joined(parts, columns)
+        for rows, starts, ends in _runs(batches):
+            lone = starts[ends - starts == 1]
+            keep = [lone[rows["t"][lone] >= rows["opens"][lone]]]
+            for start, end in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
+                times, taken = rows["t"][start:end], []
+                at = int(np.searchsorted(times, rows["opens"][start]))
+                while at < len(times):
+                    taken.append(start + at)
+                    at = int(np.searchsorted(times, times[at] + wait))
+                keep.append(np.array(taken, dtype=np.int64))
+            yield pd.DataFrame({"row_id": rows["row_id"][np.concatenate(keep)]})
 
     return run
 

@@ -38,7 +38,7 @@ def joined(col: str):
 
 
 def masked(spark, sf_dir) -> DataFrame:
-    return plan.mask_messages(schemas.with_defaults(triage.triage(demo.messages(spark, sf_dir))))
+    return plan.mask_messages(schemas.with_defaults(demo.messages(spark, sf_dir)))
 
 
 def exploded_links(spark, sf_dir) -> DataFrame:
@@ -58,7 +58,9 @@ def features(spark, sf_dir) -> DataFrame:
 
 
 def scored(spark, sf_dir) -> DataFrame:
-    return plan.score_features(features(spark, sf_dir))
+    triaged = triage.triage(demo.messages(spark, sf_dir))
+    rows = plan.extract_features(plan.mask_messages(schemas.with_defaults(triaged)), REG)
+    return plan.score_features(rows)
 
 
 def assessed(spark, sf_dir) -> DataFrame:
@@ -419,7 +421,9 @@ def assess(spark, sf_dir):
 @query
 def page_assess(spark, sf_dir):
     pages = tables.spread(demo.table(spark, sf_dir, "pages"), "page_id")
-    rows = plan.assess(triage.triage(source.pages_to_messages(pages)), REG, key=demo.HMAC_KEY)
+    # two jobs: the pages are parsed once, then the stored messages are assessed
+    envelopes = store(source.pages_to_messages(pages))
+    rows = plan.assess(triage.triage(envelopes), REG, key=demo.HMAC_KEY)
     return rows.select("msg_id", "domain", "risk_score", "classification", "confidence", "impersonated_brand", joined("reasons").alias("reasons"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from msgrisk import fixed_values as fv
 from msgrisk.functions import structure, urls
-from msgrisk.functions.text import normalize_text, text_or_empty
+from msgrisk.functions.text import bind, normalize_text, text_or_empty
 from msgrisk.schemas import MESSAGE, with_defaults
 
 _ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))[^>]*>(.*?)</a\s*>"""
@@ -49,11 +49,11 @@ def page_links(fragment: Column, base: Column, drop_mailto: bool = False) -> Col
 
     def link(tag: Column) -> Column:
         raw = F.concat(*[F.regexp_extract(tag, _ANCHOR, i) for i in (1, 2, 3)])
-        href = resolve(structure.decode_entities(structure.strip_blanks(raw)), base)
+        written = structure.decode_entities(structure.strip_blanks(raw))
         text = F.array_join(structure.text_lines(F.regexp_extract(tag, _ANCHOR, 4)), " ")
-        return F.struct(
-            href.alias("href"), F.when(text != "", text).otherwise(href).alias("anchor_text")
-        )
+        parts = F.struct(bind(written, lambda h: resolve(h, base)).alias("href"), text.alias("text"))
+        shown = lambda p: F.when(p["text"] != "", p["text"]).otherwise(p["href"])
+        return bind(parts, lambda p: F.struct(p["href"].alias("href"), shown(p).alias("anchor_text")))
 
     found = F.transform(tags, link)
     if drop_mailto:
@@ -81,7 +81,8 @@ def pages_to_messages(pages: DataFrame, drop_mailto: bool = False) -> DataFrame:
         structure.text_lines(F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)), " "
     )
     has_heading = F.col("html").rlike(r"(?i)<h1\b")
-    staged = parts.withColumn("sender_email", sender)
+    staged = parts.withColumns({"sender_email": sender, "_subject": subject, "_heading": heading, "_title": title})
+    subject, heading, title = F.col("_subject"), F.col("_heading"), F.col("_title")
     return staged.select(
         F.col("page_id").alias("msg_id"),
         "sender_email",
