@@ -26,14 +26,16 @@ def explode_suffixes(df: DataFrame, host: str = "host") -> DataFrame:
 
 
 def trust_and_verified(hosts: DataFrame, registry: Registry) -> DataFrame:
-    """Per distinct host: the trust record (longest suffix wins), the first verified
-    brand, and all brands the host is verified for.
+    """Add to distinct hosts the trust record (``trust``, longest suffix wins) and the
+    brands each is verified for (``verified``, in registry order).
 
     Suffix matching is an equality join on the exploded suffixes, never a scan of
-    the registry per host.  ``hosts`` is already partitioned by host, so the
-    regrouping below needs no further shuffle.
+    the registry per host.  The suffixes of a host sit in one task, so grouping
+    them again combines to one row per host before anything is shuffled; other
+    columns of ``hosts`` ride along instead of being joined back.
     """
     spark = hosts.sparkSession
+    others = [F.max(c).alias(c) for c in hosts.columns if c != "host"]
     trust = registry.trust_table(spark).select(
         F.col("domain").alias("suffix"),
         F.struct("brand", "trust_type", "strong").alias("_trust"),
@@ -41,7 +43,7 @@ def trust_and_verified(hosts: DataFrame, registry: Registry) -> DataFrame:
     verified = registry.verified_table(spark).select(
         F.col("domain").alias("suffix"), F.col("brands").alias("_brands")
     )
-    pieces = explode_suffixes(hosts.select("host"))
+    pieces = explode_suffixes(hosts)
     # the trust lookup drops a leading www label, the brand lookup keeps it
     www = (F.col("cut") == 0) & F.startswith("host", F.lit("www."))
     matched = (
@@ -50,6 +52,7 @@ def trust_and_verified(hosts: DataFrame, registry: Registry) -> DataFrame:
         .withColumn("_trust", F.when(~www, F.col("_trust")))
     )
     return matched.groupBy("host").agg(
+        *others,
         F.min_by("_trust", F.when(F.col("_trust").isNotNull(), F.col("cut"))).alias("trust"),
         F.array_sort(F.flatten(F.collect_list("_brands"))).alias("verified"),
     )
@@ -236,7 +239,7 @@ def host_profile(hosts: DataFrame, registry: Registry) -> DataFrame:
     """
     sender = F.col("is_sender") if "is_sender" in hosts.columns else F.lit(True)
     extra = [c for c in hosts.columns if c != "host"]
-    looked_up = hosts.join(trust_and_verified(hosts, registry), "host")
+    looked_up = trust_and_verified(hosts, registry)
     near = add_nearest_brand(add_lookalike(looked_up, registry), registry, wanted=sender)
     best = near.withColumn("_best", F.when(sender, dom.best_random_label(F.col("host"))))
     infra = {

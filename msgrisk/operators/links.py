@@ -8,6 +8,7 @@ from msgrisk import fixed_values as fv
 from msgrisk.functions import urls
 from msgrisk.operators.hosts import first_match, host_profile, membership_columns
 from msgrisk.registry import Registry, term_array, CHUNK_TERMS
+from msgrisk.session import store
 
 HOT_HOSTS = 256     # hosts whose references are spread over several tasks
 HOT_SPLITS = 32
@@ -118,7 +119,8 @@ def host_usage(df: DataFrame, sender_host: Column | None = None) -> DataFrame:
 def join_profile(refs: DataFrame, usage: DataFrame, registry: Registry) -> DataFrame:
     """Join every reference with the profile of its host.
 
-    ``usage`` gives the distinct hosts and names the busiest ones.  These few (a
+    ``usage`` (best a stored table, as it is read three times) gives the distinct
+    hosts and names the busiest ones.  These few (a
     fixed number of rows, so safe to broadcast) get their references spread over
     ``HOT_SPLITS`` join keys and their profile row copied as often; all other
     hosts join on one key.  No task sees more than its share of a host that
@@ -229,7 +231,7 @@ LINK_FEATURES = [
 def link_features(messages: DataFrame, registry: Registry) -> DataFrame:
     """Link features and link reputation, one row per message."""
     refs = host_references(messages, registry)
-    scored = add_link_scores(join_profile(refs, host_usage(messages), registry))
+    scored = add_link_scores(join_profile(refs, store(host_usage(messages)), registry))
     per_message = scored.groupBy("msg_id").agg(*link_aggregates())
     none = {name: 0.0 for name in [*LINK_FEATURES, "link_points"]}
     joined = messages.select("msg_id").join(per_message, "msg_id", "left").fillna(none)

@@ -21,6 +21,7 @@ from msgrisk.operators import sender as sender_ops
 from msgrisk.operators.hosts import PROFILE_COLUMNS
 from msgrisk.registry import Registry
 from msgrisk.schemas import with_defaults
+from msgrisk.session import store
 
 _NO_REASONS = "cast(array() as array<string>)"
 
@@ -108,10 +109,14 @@ def message_features(masked: DataFrame, registry: Registry, model: Model) -> Dat
 
 
 def reference_features(masked: DataFrame, registry: Registry) -> DataFrame:
-    """Link features and the sender-domain profile, one row per message."""
+    """Link features and the sender-domain profile, one row per message.
+
+    The distinct hosts with their counts are stored first (one pass over the link
+    columns): the profile, the busiest hosts and both sides of the join read them.
+    """
     host = sender_ops.sender_host(F.col("domain"), F.col("sender_email"))
     refs = link_ops.host_references(masked, registry, sender_host=host)
-    usage = link_ops.host_usage(masked, sender_host=host)
+    usage = store(link_ops.host_usage(masked, sender_host=host))
     scored = link_ops.add_link_scores(link_ops.join_profile(refs, usage, registry))
     profile = F.max(F.when(F.col("is_sender"), F.struct(*PROFILE_COLUMNS))).alias("profile")
     per_message = scored.groupBy("msg_id").agg(profile, *link_ops.link_aggregates())

@@ -260,8 +260,7 @@ def infra_score(spark, sf_dir):
 
 
 def _trusted(spark, sf_dir):
-    found = distinct_hosts(spark, sf_dir)
-    return found.join(hosts.trust_and_verified(found, REG), "host")
+    return hosts.trust_and_verified(distinct_hosts(spark, sf_dir), REG)
 
 
 @query
@@ -324,7 +323,7 @@ def domain_lookalike(spark, sf_dir):
 def _link_scores(spark, sf_dir):
     rows = masked(spark, sf_dir)
     refs = links.host_references(rows, REG)
-    return links.add_link_scores(links.join_profile(refs, links.host_usage(rows), REG))
+    return links.add_link_scores(links.join_profile(refs, store(links.host_usage(rows)), REG))
 
 
 @query
