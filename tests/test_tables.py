@@ -1,6 +1,7 @@
 """Batch operators against brute force, sinks, streams and the model."""
 
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,7 +76,7 @@ def test_term_counts(spark):
 
 
 def test_event_table_roundtrip(spark, sf_dir):
-    path = f"{checkpoint_root(spark)}/events"
+    path = f"{checkpoint_root(spark)}/events-{uuid.uuid4().hex}"
     rows = assess(demo.messages(spark, sf_dir), key="k")
     tables.write_events(rows, path)
     stored = tables.read_events(spark, path)
@@ -86,7 +87,7 @@ def test_event_table_roundtrip(spark, sf_dir):
 
 
 def test_feedback_is_stored_once(spark, sf_dir):
-    path = f"{checkpoint_root(spark)}/feedback"
+    path = f"{checkpoint_root(spark)}/feedback-{uuid.uuid4().hex}"
     rows = demo.feedback(spark, sf_dir)
     tables.append_feedback(rows, path)
     first = spark.read.parquet(path).count()
