@@ -2,7 +2,7 @@
 
 Entries are word beginnings (`` scum`` or `` lowei``, with the space that opens a word) or whole words (with
 a closing space too).  Their weights are log-odds learned from labelled documents; exception phrases are an
-entry with the word before or behind it which labelled clean documents hold, and take the entry's weight back.
+entry with the word before or behind it which labelled clean documents hold, and there the entry doesn't count.
 """
 
 from __future__ import annotations
@@ -72,7 +72,7 @@ def folded(text: str | None) -> str:
 @dataclass
 class Lexicon:
     weights: dict[str, float] = field(default_factory=dict)
-    exceptions: dict[str, float] = field(default_factory=dict)
+    exceptions: dict[str, str] = field(default_factory=dict)        # phrase -> the entry in it that doesn't count
     slope: float = 1.0
     offset: float = -3.0
 
@@ -81,20 +81,22 @@ class Lexicon:
             return None
         found = ahocorasick.Automaton()
         for entry, weight in self.weights.items():
-            found.add_word(entry, weight)
-        for phrase, weight in self.exceptions.items():
-            found.add_word(phrase, -weight)
+            found.add_word(entry, (1 - len(entry), weight))
+        for phrase, entry in self.exceptions.items():
+            place = 0 if phrase.startswith(entry) else phrase.rindex(" ", 0, -1)
+            found.add_word(phrase, (1 - len(phrase) + place, 0.0))      # where the entry starts, and no weight
         found.make_automaton()
         return found
 
 
 def density(text: str | None, matcher: ahocorasick.Automaton | None) -> float:
-    """Weight of all matches for the root of the number of words, at least zero."""
+    """Weight of all matches outside of exception phrases, for the root of the number of words."""
     plain = folded(text)
     if matcher is None or plain == " ":
         return 0.0
-    total = sum(weight for _, weight in matcher.iter(plain))
-    return max(0.0, total) / math.sqrt(plain.count(" "))
+    found = [(end + back, weight) for end, (back, weight) in matcher.iter(plain)]
+    excused = {start for start, weight in found if not weight}
+    return sum(weight for start, weight in found if start not in excused) / math.sqrt(plain.count(" "))
 
 
 def _beginnings(word: str) -> list[str]:
@@ -127,6 +129,10 @@ def fit(texts: list[str], toxic: list[int]) -> Lexicon:
     for plain, mark in zip(plains, marks):
         if not mark:
             clean.update(e for e in _entries(plain) if e in held)
+    # entries that clean documents hold now and then may be telling outside the phrases these have
+    doubtful = {e for e, n in held.items() if n < clean[e] * TELLING and clean[e] * 4 <= n}
+    excused, outside = _exceptions(doubtful, plains, marks)
+    clean.update({e: outside[e] - clean[e] for e in doubtful})
     odds = {e: math.log((n + 0.1) / (n_toxic + 0.2)) - math.log((clean[e] + 0.1) / (n_clean + 0.2)) for e, n in held.items()}
     strong = {e: w for e, w in odds.items() if w > 2.5 and clean[e] * TELLING <= held[e]}
     chosen: dict[str, float] = {}
@@ -135,28 +141,35 @@ def fit(texts: list[str], toxic: list[int]) -> Lexicon:
         if not any(entry[:n] in chosen for n in range(5, len(entry))):
             chosen[entry] = strong[entry]
     heavy = dict(sorted(chosen.items(), key=lambda x: (-x[1] * held[x[0]], x[0]))[:LEXICON])
-    lexicon = Lexicon(heavy, _exceptions(heavy, plains, marks))
+    lexicon = Lexicon(heavy, {p: e for p, e in excused.items() if e in heavy})
     matcher = lexicon.automaton()
     lexicon.slope, lexicon.offset = _logistic(np.array([density(t, matcher) for t in texts]), marks)
     return lexicon
 
 
-def _exceptions(weights: dict[str, float], plains: list[str], marks: np.ndarray) -> dict[str, float]:
-    """Phrases of two words with an entry in them which clean documents hold, and toxic ones hardly do."""
+def _phrases(plain: str, entries: set[str]) -> Iterator[tuple[str, list[str]]]:
+    """Each occurrence of an entry, with the phrases of two words around it."""
+    words = plain.split()
+    for k, word in enumerate(words):
+        for entry in _beginnings(word):
+            if entry in entries:
+                around = [f" {words[k - 1]} {word} "] if k else []
+                yield entry, around + ([f" {word} {words[k + 1]} "] if k + 1 < len(words) else [])
+
+
+def _exceptions(entries: set[str], plains: list[str], marks: np.ndarray) -> tuple[dict[str, str], Counter]:
+    """Phrases around entries which clean documents hold, and toxic ones hardly do, with their entry; and the
+    clean documents that hold an entry outside of them."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for plain, mark in zip(plains, marks):
-        words = plain.split()
-        phrases = set()
-        for k, word in enumerate(words):
-            entry = next((e for e in _beginnings(word) if e in weights), None)
-            if entry:
-                if k:
-                    phrases.add((f" {words[k - 1]} {word} ", entry))
-                if k + 1 < len(words):
-                    phrases.add((f" {word} {words[k + 1]} ", entry))
-        seen[int(mark)].update(phrases)
+        seen[int(mark)].update({(p, entry) for entry, around in _phrases(plain, entries) for p in around})
     kept = [(n, p, e) for (p, e), n in seen[0].items() if n >= 2 and n > 4 * seen[1][(p, e)]]
-    return {p: weights[e] for _, p, e in sorted(kept, key=lambda x: (-x[0], x[1]))[:EXCEPTIONS]}
+    excused = {p: e for _, p, e in sorted(kept, key=lambda x: (-x[0], x[1], -len(x[2])))[:EXCEPTIONS]}
+    outside: Counter[str] = Counter()
+    for plain, mark in zip(plains, marks):
+        if not mark:
+            outside.update({e for e, around in _phrases(plain, entries) if not any(p in excused for p in around)})
+    return excused, outside
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 400) -> tuple[float, float]:
