@@ -8,17 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from msgrisk.llm import decontaminate, embeddings, language, packing, pii, quality, secret_scan, simhash, toxicity, warc
-from msgrisk.llm.shared import fold, scratch
-from msgrisk.session import apply_settings
+from msgrisk.llm.shared import fold, prepare, scratch
+from msgrisk.llm.sql import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return function(apply_settings(spark), sf_dir)
+        return function(prepare(spark), sf_dir)
 
     QUERIES[function.__name__] = run
     return run

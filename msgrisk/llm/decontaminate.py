@@ -71,7 +71,7 @@ def _close_pairs(windows: DataFrame, items: DataFrame) -> DataFrame:
     probes = probes.select("item", "size", "item_fp", "b.block", "b.value", F.explode("flips").alias("flip"))
     probes = probes.withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).drop("flip")
     spread = windows.withColumn("b", F.explode(own)).select("win", "size", "fp", "b.block", "b.value")
-    met = spread.join(probes, ["size", "block", "value"])
+    met = spread.join(probes.hint("merge"), ["size", "block", "value"])     # probes are many for a few items: no broadcast
     met = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     return met.select("win", "item").distinct()
 

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from msgrisk.llm import ngrams
 from msgrisk.llm.shared import labelled_sample
 
-SAMPLE_PER_CLASS = 2500     # labelled rows of each class that a fit reads
-BUCKETS = 1 << 16           # rows of the embedding table
+SAMPLE_PER_CLASS = 1500     # labelled rows of each class that a fit reads
+BUCKETS = 1 << 16           # rows of the embedding table; their numbers fit 16 bits
 DIMENSIONS = 8
 EPOCHS = 8
 RATE = 0.5
@@ -77,13 +77,19 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> QualityModel:
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
     out, offset = np.zeros((DIMENSIONS, len(classes)), np.float32), np.zeros(len(classes), np.float32)
-    rows = [_features(t) for t in texts]
+    ids_of, values_of, ends = bytearray(), bytearray(), [0]     # all rows one after another, in few bytes each
+    for text in texts:
+        ids, values = _features(text)
+        ids_of += ids.astype("<u2").tobytes()
+        values_of += values.tobytes()
+        ends.append(ends[-1] + len(ids))
+    all_ids, all_values = np.frombuffer(ids_of, "<u2"), np.frombuffer(values_of, np.float32)
     marks = np.array([classes.index(x) for x in labels])
     share = len(marks) / (len(classes) * np.bincount(marks, minlength=len(classes)))
-    steps, done = EPOCHS * len(rows), 0
+    steps, done = EPOCHS * len(marks), 0
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(rows)):
-            ids, values = rows[i]
+        for i in rng.permutation(len(marks)):
+            ids, values = all_ids[ends[i] : ends[i + 1]], all_values[ends[i] : ends[i + 1]]
             vector = values @ table[ids]
             z = vector @ out + offset
             error = np.exp(z - z.max())

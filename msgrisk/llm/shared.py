@@ -7,7 +7,15 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from msgrisk.session import checkpoint_root
+from msgrisk.session import apply_settings, checkpoint_root
+
+BATCH_ROWS = 1000       # texts that a Python worker holds at once; Spark bounds the bytes of a batch as well
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings that the corpus operators rely on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return apply_settings(spark)
 
 
 def scratch(spark: SparkSession, kind: str = "table") -> str:
