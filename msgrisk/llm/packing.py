@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import sys
+import types
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -15,33 +18,56 @@ from msgrisk.llm.shared import keep
 
 SEQUENCE = 2048
 ROWS_PER_BUCKET = 256
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 500_000     # about 80 MB
+# Signs between a letter (ASCII, or of U+00C0 to U+00FF) and white space.
+_SIGNS = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([^\sa-z0-9\x80-\xff]+)(?=\s)")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordIds(dict):
     """Token ids, as packed 32-bit integers, of words between ASCII white space; a word's ids don't depend
-    on its neighbours for tokenizers that split at white space first."""
+    on its neighbours for tokenizers that split at white space first.
+
+    The words met first are kept, which are the frequent ones in the main; when far more words than those
+    have been unknown, the texts have changed and it starts anew.
+    """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.tokenizer, self.unknown = Tokenizer.from_file(tokenizer_path), 0
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        if len(self) >= _CACHED_WORDS:
+        packed = np.array(ids, "<u4").tobytes()
+        self.unknown += 1
+        if self.unknown > 8 * _CACHED_WORDS:
             self.clear()
-        packed = self[word] = np.array(ids, "<u4").tobytes()
+            self.unknown = 0
+        if len(self) < _CACHED_WORDS:
+            self[word] = packed
         return packed
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split())) + b"\0\0\0\0"
+        """Ids of a text, then id 0.  Where no special token can be meant, A-Z are lower-cased and the signs
+        behind a word's last letter, which the tokenizer parts from it anyway, become a word of their own."""
+        line = (text or "").encode("utf-8", "replace")
+        if b"<|" not in line:
+            line = _SIGNS.sub(rb" \1", line.lower())
+        return b"".join(map(self.__getitem__, line.split())) + b"\0\0\0\0"
+
+    @classmethod
+    def of_worker(cls, tokenizer_path: str) -> WordIds:
+        """The words of this Python worker, which Spark uses for many tasks one after another."""
+        held = sys.modules.setdefault("_words_of_worker", types.ModuleType("_words_of_worker")).__dict__
+        if tokenizer_path not in held:
+            held[tokenizer_path] = cls(tokenizer_path)
+        return held[tokenizer_path]
 
 
 def _cut(batches: Iterator[pd.DataFrame], tokenizer_path: str, size: int) -> Iterator[pd.DataFrame]:
-    ids = WordIds(tokenizer_path)
+    ids = WordIds.of_worker(tokenizer_path)
     for batch in batches:
         rows = []
         for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
