@@ -57,7 +57,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         .groupBy("doc_id").agg(F.min("label").alias("label"))
     )
     known = docs.where(F.col("text").isNotNull()).select("doc_id").where(usable)
-    wanted = wanted.join(known, "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id"))
+    wanted = keep(wanted.join(known, "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id")))
     classes = [r["label"] for r in wanted.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(64).collect()]
     frames = [wanted.where(F.col("label") == c).orderBy("h", "doc_id").limit(per_class).toPandas() for c in classes]
     chosen = pd.concat(frames) if frames else pd.DataFrame({"doc_id": [], "label": []})
