@@ -114,9 +114,10 @@ def is_non_ascii(col: Column) -> Column:
 
 def skeleton(col: Column) -> Column:
     """What a label looks like once confusable characters are replaced."""
-    value = F.translate(col, fv.CONFUSABLE_FROM, fv.CONFUSABLE_TO)
-    for pair, single in fv.CONFUSABLE_PAIRS:
-        value = F.replace(value, F.lit(pair), F.lit(single))
+    single = {k: v for k, v in fv.CONFUSABLES.items() if len(k) == 1}
+    value = F.translate(col, "".join(single), "".join(single.values()))
+    for pair in (k for k in fv.CONFUSABLES if len(k) > 1):
+        value = F.replace(value, F.lit(pair), F.lit(fv.CONFUSABLES[pair]))
     return F.lower(value)
 
 

@@ -112,7 +112,7 @@ def add_nearest_brand(hosts: DataFrame, registry: Registry, wanted: Column | Non
     if wanted is not None:
         inner = pick
         pick = lambda terms: F.when(wanted, inner(terms))
-    found = best_term(hosts, "host", registry.aliases, "_near", pick)
+    found = best_term(hosts, registry.aliases, "_near", pick)
     share = F.round(F.col("_near")["distance"] / F.greatest(F.length(label), F.lit(1)), 4)
     nameless = F.col("host") == ""      # no name, no neighbour: distance 1, no brand
     return found.withColumns(
@@ -138,7 +138,7 @@ def add_unicode_facts(hosts: DataFrame) -> DataFrame:
 
 def add_nearest_label(hosts: DataFrame, registry: Registry) -> DataFrame:
     """``label_distance`` and ``label_brand``: verified label nearest to the skeleton."""
-    found = best_term(hosts, "host", registry.labels, "_label", nearest_term(F.col("skeleton")))
+    found = best_term(hosts, registry.labels, "_label", nearest_term(F.col("skeleton")))
     return found.withColumns(
         {"label_distance": F.col("_label")["distance"], "label_brand": F.col("_label")["brand"]}
     ).drop("_label")
@@ -161,11 +161,11 @@ def add_hidden_brands(hosts: DataFrame, registry: Registry) -> DataFrame:
 
     long_labels = [t for t in registry.labels if len(t.term) >= 5]
     sub = best_term(
-        hosts, "host", registry.domains, "_sub",
+        hosts, registry.domains, "_sub",
         lambda terms: F.when(untrusted, first_match(F.concat(F.lit("."), host), as_subdomain)(terms)),
     )
     both = best_term(
-        sub, "host", long_labels, "_emb",
+        sub, long_labels, "_emb",
         lambda terms: F.when(untrusted, first_match(candidates, embedded)(terms)),
     )
     return both.withColumns(

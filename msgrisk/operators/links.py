@@ -7,30 +7,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 from msgrisk import fixed_values as fv
 from msgrisk.functions import urls
 from msgrisk.operators.hosts import first_match, host_profile, membership_columns
-from msgrisk.registry import Registry, term_array, CHUNK_TERMS
+from msgrisk.registry import Registry, term_array
 from msgrisk.session import store
 
-HOT_HOSTS = 256     # hosts whose references are spread over several tasks
-HOT_SPLITS = 32
-
 
 def path_has_brand(path: Column, registry: Registry) -> Column:
     """A verified domain occurs in the URL path.
 
     One alternation over the domains; the paths are short, the registry bounded.
     """
-    found = F.lit(False)
-    domains = [t.term for t in registry.domains]
-    for start in range(0, len(domains), CHUNK_TERMS):
-        pattern = "|".join(d.replace(".", r"\.") for d in domains[start : start + CHUNK_TERMS])
-        found = found | path.rlike(pattern)
-    return (path != "") & found
+    pattern = "|".join(t.term.replace(".", r"\.") for t in registry.domains)
+    return (path != "") & path.rlike(pattern)
 
 
 def path_brand(path: Column, registry: Registry) -> Column:
     """First brand in registry order with a verified domain in the URL path."""
-    if len(registry.domains) > CHUNK_TERMS:
-        raise ValueError("use path_has_brand for a registry of this size")
     return first_match(path, F.contains)(term_array(registry.domains))["brand"]
 
 
@@ -119,24 +110,13 @@ def host_usage(df: DataFrame, sender_host: Column | None = None) -> DataFrame:
 def join_profile(refs: DataFrame, usage: DataFrame, registry: Registry) -> DataFrame:
     """Join every reference with the profile of its host.
 
-    ``usage`` (best a stored table, as it is read three times) gives the distinct
-    hosts and names the busiest ones.  These few (a
-    fixed number of rows, so safe to broadcast) get their references spread over
-    ``HOT_SPLITS`` join keys and their profile row copied as often; all other
-    hosts join on one key.  No task sees more than its share of a host that
-    holds a large part of all references.
+    ``usage`` (best a stored table) gives the distinct hosts.  The join key is the reversed host, a
+    one-to-one image: the profile is grouped by host already, and only a join that shuffles both sides anew
+    is split by adaptive execution where one host holds a large part of all references.
     """
-    hot = F.broadcast(
-        usage.orderBy(F.desc("n_refs"), "host").limit(HOT_HOSTS).select("host", F.lit(True).alias("hot"))
-    )
     profile = host_profile(usage.select("host", "is_sender"), registry).drop("is_sender")
-    copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(HOT_SPLITS - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    spread_profile = profile.join(hot, "host", "left").withColumn("split", F.explode(copies)).drop("hot")
-    split = F.when(F.col("hot"), F.pmod(F.xxhash64("msg_id"), F.lit(HOT_SPLITS))).otherwise(F.lit(0))
-    spread_refs = refs.join(hot, "host", "left").withColumn("split", split.cast("int")).drop("hot")
-    return spread_refs.join(spread_profile, ["host", "split"]).drop("split")
+    profile = profile.withColumn("_key", F.reverse("host")).drop("host")
+    return refs.withColumn("_key", F.reverse("host")).join(profile, "_key").drop("_key")
 
 
 def link_scores() -> dict[str, Column]:

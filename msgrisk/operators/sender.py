@@ -8,7 +8,7 @@ from msgrisk import fixed_values as fv
 from msgrisk.functions import domains as dom
 from msgrisk.functions.text import bind, flag, text_or_empty
 from msgrisk.operators.hosts import first_match
-from msgrisk.registry import Registry, best_term, term_array, CHUNK_TERMS
+from msgrisk.registry import Registry, best_term, term_array
 
 
 def reason_list(*pairs: tuple[Column, str]) -> Column:
@@ -36,10 +36,10 @@ def _mentioned(registry: Registry):
     return F.contains
 
 
-def add_first_mention(df: DataFrame, key: str, text: Column, name: str, registry: Registry) -> DataFrame:
+def add_first_mention(df: DataFrame, text: Column, name: str, registry: Registry) -> DataFrame:
     """Add ``name``: the first brand in registry order that the text mentions."""
     found = best_term(
-        df, key, registry.aliases, name, first_match(F.lower(text), _mentioned(registry))
+        df, registry.aliases, name, first_match(F.lower(text), _mentioned(registry))
     )
     return found.withColumn(name, F.col(name)["brand"])
 
@@ -49,12 +49,8 @@ def brand_mentions(text: Column, registry: Registry) -> Column:
     condition = _mentioned(registry)
 
     def found(lowered: Column) -> Column:
-        parts = []
-        for start in range(0, len(registry.aliases), CHUNK_TERMS):
-            terms = term_array(registry.aliases[start : start + CHUNK_TERMS])
-            hits = F.filter(terms, lambda t: condition(lowered, t["term"]))
-            parts.append(F.transform(hits, lambda t: t["brand"]))
-        return F.array_distinct(F.concat(*parts))
+        hits = F.filter(term_array(registry.aliases), lambda t: condition(lowered, t["term"]))
+        return F.array_distinct(F.transform(hits, lambda t: t["brand"]))
 
     return bind(F.lower(text), found)
 

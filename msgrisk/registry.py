@@ -2,23 +2,24 @@
 
 The registry is a curated table of a few hundred to a few thousand rows.  It is
 read once on the driver under a hard row bound, because the matching operators
-ship it to every task: as broadcast tables for the equality lookups, and as
-array constants (in chunks of bounded size) for the nearest-name and substring
-searches, which have no equality key.
+ship it to every task: as small tables for the equality lookups, and as array
+constants for the nearest-name and substring searches, which have no equality
+key.  There is one plan for all sizes.
 """
 
 from __future__ import annotations
 
+import csv
 import json
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from msgrisk import fixed_values as fv
 
-MAX_ROWS = 50_000          # refuse to bring a larger registry to the driver
-BROADCAST_ROWS = 20_000    # equality lookups broadcast up to this many rows
-CHUNK_TERMS = 2_000        # terms per array constant
+MOST_ROWS = 50_000         # a longer table is refused: it is read on the driver and shipped to every task
+SAMPLE = Path(__file__).parent / "data" / "registry.csv"
 TERMS_TYPE = "array<struct<term:string,position:int,brand:string>>"
 
 
@@ -87,19 +88,25 @@ class Registry:
 
     @classmethod
     def sample(cls, mention_mode: str = "substring") -> "Registry":
-        return cls.build(fv.SEED_BRANDS, fv.TRUST_SAMPLE, mention_mode)
+        """A small registry that comes with the package."""
+        with SAMPLE.open(newline="") as file:
+            rows = [(r["brand"], r["domain"], r["trust_type"]) for r in csv.DictReader(file)]
+        return cls.build([], rows, mention_mode)
 
     @classmethod
     def from_tables(
-        cls, trust: DataFrame, seed: DataFrame | None = None, mention_mode: str = "substring"
+        cls, trust: DataFrame, seed: DataFrame | None = None, mention_mode: str = "substring",
+        most_rows: int = MOST_ROWS,
     ) -> "Registry":
         """Build from a trust table (position, brand, domain, trust_type) and an optional
-        seed table (position, brand, domain); ``position`` gives the registry order."""
+        seed table (position, brand, domain); ``position`` gives the registry order.
+
+        A table of more than ``most_rows`` rows is refused."""
 
         def rows(df: DataFrame) -> list:
-            got = df.limit(MAX_ROWS + 1).collect()
-            if len(got) > MAX_ROWS:
-                raise ValueError(f"registry table exceeds {MAX_ROWS} rows; it must be a curated list")
+            got = df.limit(most_rows + 1).collect()
+            if len(got) > most_rows:
+                raise ValueError(f"registry table exceeds {most_rows} rows; it must be a curated list")
             return sorted(got, key=lambda r: r["position"])
 
         seeds: dict[str, list[str]] = {}
@@ -136,11 +143,10 @@ class Registry:
 
     @staticmethod
     def _table(spark: SparkSession, rows: list[str], columns: str) -> DataFrame:
-        """A constant table.  Up to the checked size it is broadcast; beyond, it is shuffled."""
+        """A constant table; the planner knows its size and picks the join."""
         if not rows:
             raise ValueError("the registry has no rows for this table")
-        df = spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t({columns})")
-        return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
+        return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t({columns})")
 
 
 def term_array(terms: list[Term]) -> Column:
@@ -153,27 +159,6 @@ def term_array(terms: list[Term]) -> Column:
     return F.from_json(F.lit(text), TERMS_TYPE)
 
 
-def best_term(df: DataFrame, key: str, terms: list[Term], name: str, pick) -> DataFrame:
-    """Add column ``name``: the smallest struct ``pick(term array)`` yields over all terms.
-
-    ``df`` has one row per ``key``.  Up to ``CHUNK_TERMS`` terms this is a plain
-    projection over an array constant.  A longer list is cut into chunks held in
-    a table; each row meets each chunk by an equality join on the chunk number
-    and keeps only its best candidate per chunk, so the result is the same and
-    no pair of (row, term) is ever emitted.
-    """
-    if len(terms) <= CHUNK_TERMS:
-        return df.withColumn(name, pick(term_array(terms)))
-    chunks = [terms[i : i + CHUNK_TERMS] for i in range(0, len(terms), CHUNK_TERMS)]
-    table = df.sparkSession.createDataFrame(
-        [(i, [(t.term, t.position, t.brand) for t in chunk]) for i, chunk in enumerate(chunks)],
-        f"chunk int, terms {TERMS_TYPE}",
-    )
-    spread = df.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(len(chunks) - 1))))
-    best = (
-        spread.join(table, "chunk")
-        .withColumn("_best", pick(F.col("terms")))
-        .groupBy(key)
-        .agg(F.min("_best").alias(name))
-    )
-    return df.join(best, key, "left")
+def best_term(df: DataFrame, terms: list[Term], name: str, pick) -> DataFrame:
+    """Add column ``name``: the smallest struct ``pick(term array)`` yields over all terms."""
+    return df.withColumn(name, pick(term_array(terms)))
