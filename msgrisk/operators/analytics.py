@@ -6,22 +6,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from msgrisk import fixed_values as fv
 
-CAP_RECENT, CAP_POINTS, CAP_EXPORT, CAP_FEEDBACK, CAP_BRANDS = 100, 200, 1000, 200, 25
-
-
-def capped(limit: int, cap: int) -> int:
-    if limit < 0:
-        raise ValueError(f"limit must not be negative: {limit}")
-    return min(limit, cap)
-
 
 def iso(col: str) -> Column:
     return F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
-def newest(df: DataFrame, limit: int, cap: int, id_col: str = "id") -> DataFrame:
-    """Newest rows first; the id settles equal times.  Runs as one bounded top-k."""
-    return df.orderBy(F.desc("created_at"), F.desc(id_col)).limit(capped(limit, cap))
+def newest(df: DataFrame, limit: int, id_col: str = "id") -> DataFrame:
+    """The ``limit`` newest rows, newest first; the id settles equal times."""
+    if limit < 0:
+        raise ValueError(f"limit must not be negative: {limit}")
+    return df.orderBy(F.desc("created_at"), F.desc(id_col)).limit(limit)
 
 
 def summary(events: DataFrame) -> DataFrame:
@@ -66,7 +60,7 @@ def top_brands(events: DataFrame, limit: int = 10) -> DataFrame:
         .groupBy(F.col("impersonated_brand").alias("brand"))
         .agg(F.count("*").alias("n_events"), F.round(F.avg("risk_score"), 4).alias("average_risk"))
         .orderBy(F.desc("n_events"), "brand")
-        .limit(capped(limit, CAP_BRANDS))
+        .limit(limit)
     )
 
 
@@ -85,7 +79,7 @@ def with_class(events: DataFrame, name: str) -> DataFrame:
 
 def recent_events(events: DataFrame, limit: int = 25) -> DataFrame:
     """Newest events in display form."""
-    return newest(events, limit, CAP_RECENT).select(
+    return newest(events, limit).select(
         "id", "sample_hash", "sender_hash", "subject_hash", "domain", "source", "risk_score",
         "classification", "confidence", "impersonated_brand", "reasons",
         iso("created_at").alias("created_at"),
@@ -95,14 +89,14 @@ def recent_events(events: DataFrame, limit: int = 25) -> DataFrame:
 def risk_points(events: DataFrame, limit: int = 40) -> DataFrame:
     """Newest points, returned oldest first."""
     return (
-        newest(events, limit, CAP_POINTS)
+        newest(events, limit)
         .orderBy("created_at", "id")
         .select("id", iso("created_at").alias("created_at"), "risk_score", "classification", "domain")
     )
 
 
 def trend_points(events: DataFrame, days: int = 14) -> DataFrame:
-    """Points shown for a number of days: 24 per day, within the cap."""
+    """Points shown for a number of days: 24 per day."""
     return risk_points(events, days * 24)
 
 
@@ -128,9 +122,9 @@ def shown_reasons(col: str, count: int) -> Column:
     return F.slice(col, 1, count)
 
 
-def siem_rows(events: DataFrame, prefix: str = "msgrisk", limit: int | None = 100) -> DataFrame:
-    """Flat dotted-key rows for a SIEM.  ``prefix`` names the vendor fields."""
-    rows = events if limit is None else newest(events, limit, CAP_EXPORT)
+def siem_rows(events: DataFrame, prefix: str = "msgrisk", limit: int | None = None) -> DataFrame:
+    """Flat dotted-key rows for a SIEM: all, or the ``limit`` newest.  ``prefix`` names the vendor fields."""
+    rows = events if limit is None else newest(events, limit)
     kind = F.when(F.col("classification") != "safe", "alert").otherwise("event")
     own = [
         "sample_hash", "sender_hash", "subject_hash", "domain", "risk_score", "classification",
@@ -149,7 +143,7 @@ def siem_rows(events: DataFrame, prefix: str = "msgrisk", limit: int | None = 10
 
 
 def siem_envelope(events: DataFrame, prefix: str = "msgrisk", limit: int = 100) -> DataFrame:
-    """One row {schema, format, count, events}; the event list is capped, so it fits a row."""
+    """One row {schema, format, count, events} of the ``limit`` newest; larger exports use ``siem_rows``."""
     rows = siem_rows(events, prefix, limit)
     fields = F.struct(*[F.col(f"`{name}`") for name in rows.columns])
     return rows.agg(
@@ -164,7 +158,7 @@ def feedback_queue(feedback: DataFrame, limit: int = 50) -> DataFrame:
     """Newest feedback with readable labels."""
     names = F.create_map(*[F.lit(x) for pair in fv.FEEDBACK_LABELS.items() for x in pair])
     label = F.coalesce(F.try_element_at(names, F.col("user_feedback")), F.col("user_feedback"))
-    return newest(feedback, limit, CAP_FEEDBACK, "feedback_id").select(
+    return newest(feedback, limit, "feedback_id").select(
         "feedback_id", "sample_hash", "domain", "source", "current_risk_score", "current_classification",
         "user_feedback", "review_status", "reasons", label.alias("feedback_label"),
         iso("created_at").alias("created_at"),

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from msgrisk import fixed_values as fv
 
-SPLIT_BUCKETS = 4096
 SCORE_BUCKETS = 1000
 
 

@@ -20,7 +20,7 @@ from msgrisk.operators import links as link_ops
 from msgrisk.operators import sender as sender_ops
 from msgrisk.operators.hosts import PROFILE_COLUMNS
 from msgrisk.registry import Registry
-from msgrisk.schemas import with_defaults
+from msgrisk.schemas import split_valid, validate_messages, with_defaults
 from msgrisk.session import store
 
 _NO_REASONS = "cast(array() as array<string>)"
@@ -77,9 +77,8 @@ def mask_messages(messages: DataFrame) -> DataFrame:
     """Mask the personal fields; derive the mailbox category where it is missing."""
 
     def mask_link(link: Column) -> Column:
-        href = F.substring(F.coalesce(link["href"], F.lit("")), 1, fv.MAX_HREF)
-        anchor = F.substring(privacy.mask_pii(link["anchor_text"]), 1, fv.MAX_ANCHOR)
-        return F.struct(href.alias("href"), anchor.alias("anchor_text"))
+        href = F.coalesce(link["href"], F.lit(""))
+        return F.struct(href.alias("href"), privacy.mask_pii(link["anchor_text"]).alias("anchor_text"))
 
     given = F.when(F.col("sender_local_category") != "", F.col("sender_local_category"))
     return messages.withColumns(
@@ -102,8 +101,8 @@ def message_features(masked: DataFrame, registry: Registry, model: Model) -> Dat
     featured = model.prepare(add_text_features(named)).drop("text", "body_text", "html")
     narrow = sender_ops.mention_text(F.col("display_name"), F.col("subject"))
     wide = sender_ops.mention_text(F.col("display_name"), F.col("subject"), F.col("normalized_domain"))
-    with_narrow = sender_ops.add_first_mention(featured, "msg_id", narrow, "mention", registry)
-    return sender_ops.add_first_mention(with_narrow, "msg_id", wide, "wide_mention", registry).drop(
+    with_narrow = sender_ops.add_first_mention(featured, narrow, "mention", registry)
+    return sender_ops.add_first_mention(with_narrow, wide, "wide_mention", registry).drop(
         "display_name", "subject", "sender_email", "links"
     )
 
@@ -119,8 +118,10 @@ def reference_features(masked: DataFrame, registry: Registry) -> DataFrame:
     usage = store(link_ops.host_usage(masked, sender_host=host))
     scored = link_ops.add_link_scores(link_ops.join_profile(refs, usage, registry))
     profile = F.max(F.when(F.col("is_sender"), F.struct(*PROFILE_COLUMNS))).alias("profile")
-    per_message = scored.groupBy("msg_id").agg(profile, *link_ops.link_aggregates())
-    others = [c for c in per_message.columns if c != "profile"]
+    per_message = scored.groupBy("msg_id").agg(profile, F.count_if("is_sender").alias("n_rows"), *link_ops.link_aggregates())
+    repeated = F.raise_error(F.concat(F.lit("repeated msg_id: "), F.col("msg_id").cast("string")))
+    per_message = per_message.withColumn("msg_id", F.when(F.col("n_rows") == 1, F.col("msg_id")).otherwise(repeated))
+    others = [c for c in per_message.columns if c not in ("profile", "n_rows")]
     return per_message.select(*others, "profile.*")
 
 
@@ -176,10 +177,15 @@ COMPONENTS = [
 ]
 
 
+def checked(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid, quarantined) messages; the latter with ``violations``, the names of the rules they break."""
+    return split_valid(validate_messages(with_defaults(messages)))
+
+
 def assess(
     messages: DataFrame, registry: Registry | None = None, model: Model | None = None, key: str = ""
 ) -> DataFrame:
-    """Assess every message.  ``msg_id`` must be unique.
+    """Assess every valid message; ``checked`` gives the others.  A repeated ``msg_id`` stops the job.
 
     Returns one row per message: hashes, domain, risk, class, confidence, brand,
     reasons, a ``components`` struct and a ``features`` struct.  No raw text.
@@ -187,7 +193,8 @@ def assess(
     registry = registry or Registry.sample()
     if "received_at" not in messages.columns:
         messages = messages.withColumn("received_at", F.current_timestamp())
-    masked = mask_messages(add_hashes(with_defaults(messages), key))
+    valid, _ = checked(messages)
+    masked = mask_messages(add_hashes(valid, key))
     scored = score_features(extract_features(masked, registry, model), model)
     features = [
         *fv.NUMERIC_FEATURES, "recognized_brand", "domain_trust_type", "likely_brand",

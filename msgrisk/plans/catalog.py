@@ -70,7 +70,7 @@ def assessed(spark, sf_dir) -> DataFrame:
 # ---------------------------------------------------------------------- privacy
 @query
 def mask_pii(spark, sf_dir):
-    docs = tables.spread(demo.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = demo.table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", F.md5(privacy.mask_pii(F.col("text"))).alias("masked_md5"))
 
 
@@ -419,7 +419,7 @@ def assess(spark, sf_dir):
 
 @query
 def page_assess(spark, sf_dir):
-    pages = tables.spread(demo.table(spark, sf_dir, "pages"), "page_id")
+    pages = demo.table(spark, sf_dir, "pages")
     # two jobs: the pages are parsed once, then the stored messages are assessed
     envelopes = store(source.pages_to_messages(pages))
     rows = plan.assess(triage.triage(envelopes), REG, key=demo.HMAC_KEY)
@@ -500,9 +500,20 @@ def validate_messages(spark, sf_dir):
 
 @query
 def validate_feedback(spark, sf_dir):
-    rows = schemas.validate_feedback(demo.feedback(spark, sf_dir))
-    good, _ = schemas.split_valid(rows)
-    return good.groupBy("user_feedback").agg(F.count("*").alias("n_valid"))
+    rows = schemas.validate_feedback(demo.as_feedback(demo.table(spark, sf_dir, "events")))
+    return rows.select("feedback_id", joined("violations").alias("violations"))
+
+
+@query
+def quarantined_messages(spark, sf_dir):
+    _, bad = plan.checked(demo.headed_messages(spark, sf_dir))
+    return bad.select("msg_id", joined("violations").alias("violations"))
+
+
+@query
+def assess_valid(spark, sf_dir):
+    rows = plan.assess(demo.headed_messages(spark, sf_dir), REG, key=demo.HMAC_KEY)
+    return rows.select("msg_id", "domain", "source")
 
 
 # ------------------------------------------------------------------------ pages
@@ -566,7 +577,8 @@ def recent_events(spark, sf_dir):
 @query
 def shown_reasons(spark, sf_dir):
     rows = demo.risk_events(spark, sf_dir)
-    return rows.select("id", joined(analytics.shown_reasons("reasons", 1)).alias("first_reason"))
+    shown = {f"first_{n}": joined(analytics.shown_reasons("reasons", n)) for n in (1, 4)}
+    return rows.select("id", *[col.alias(name) for name, col in shown.items()])
 
 
 @query
@@ -583,7 +595,7 @@ def normalized_points(spark, sf_dir):
 
 @query
 def siem_events(spark, sf_dir):
-    rows = analytics.siem_rows(demo.risk_events(spark, sf_dir), "msgrisk", 1000)
+    rows = analytics.siem_rows(demo.risk_events(spark, sf_dir))
     flat = {"event.category", "event.type", "msgrisk.reasons"}
     return rows.select(*[
         (joined(f"`{c}`") if c in flat else F.col(f"`{c}`")).alias(c.replace(".", "_")) for c in rows.columns
@@ -592,8 +604,9 @@ def siem_events(spark, sf_dir):
 
 @query
 def siem_envelope(spark, sf_dir):
+    shown = F.transform("events", lambda e: F.concat_ws(" ", e["event.created"], e["event.kind"], e["msgrisk.sample_hash"]))
     return analytics.siem_envelope(demo.risk_events(spark, sf_dir), "msgrisk", 100).select(
-        "schema", "format", "count", F.get("events", F.lit(0))["event.created"].alias("newest")
+        "schema", "format", "count", joined(F.array_sort(shown)).alias("events")
     )
 
 
@@ -603,6 +616,31 @@ def rate_minute(spark, sf_dir):
     return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("minute"), "client", "n_requests", "over_limit")
 
 
+@query
+def rate_clients(spark, sf_dir):
+    """Requests by forwarded address, else peer, without health checks."""
+    rows = demo.table(spark, sf_dir, "events")
+    forwarded = F.when(F.col("event_type") == "view", F.concat(F.lit(" 10.0.0."), F.col("user_id").cast("string"), F.lit(", 10.9.9.9")))
+    peer = F.when(F.col("event_type") != "signup", F.concat(F.lit("peer"), F.col("user_id").cast("string")))
+    path = F.concat(F.lit("/api/"), F.when(F.col("event_type") == "error", "health").otherwise(F.col("event_type")))
+    requests = rows.select(F.col("ts").cast("timestamp").alias("ts"), analytics.client_of(forwarded, peer).alias("client"), path.alias("path"))
+    counts = analytics.rate_counts(requests, 1)
+    return counts.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("minute"), "client", "n_requests", "over_limit")
+
+
+@query
+def message_source(spark, sf_dir):
+    """Messages written as JSON without their empty columns, and read with the fixed schema and defaults."""
+    work = _work(spark)
+    rows = demo.messages(spark, sf_dir).drop("heuristic_score", "sender_local_category", "client_reasons")
+    rows.write.json(work)
+    read = source.read_messages(spark, work)
+    return read.select(
+        "msg_id", "subject", "source", "heuristic_score", F.size("client_reasons").cast("long").alias("n_reasons"),
+        F.size("links").cast("long").alias("n_links"), F.md5("body_text").alias("body_md5"),
+    )
+
+
 @query
 def ttl_cache(spark, sf_dir):
     return ledger.ttl_cache(demo.requests(spark, sf_dir), "client", "ts", "event_id", 21600).select("event_id", "is_hit")
@@ -629,8 +667,8 @@ def feedback_first(spark, sf_dir):
 def feedback_new(spark, sf_dir):
     """Second half of the month against the stored first half."""
     rows = demo.feedback(spark, sf_dir)
-    stored = fb.first_feedback(rows.filter(F.col("created_at") < F.lit("2024-01-03").cast("timestamp")))
-    later = rows.filter(F.col("created_at") >= F.lit("2024-01-03").cast("timestamp"))
+    stored = fb.first_feedback(rows.filter(F.col("created_at") < F.lit("2024-01-16").cast("timestamp")))
+    later = rows.filter(F.col("created_at") >= F.lit("2024-01-16").cast("timestamp"))
     return fb.new_feedback(later, stored).select("sample_hash", "user_feedback", "feedback_id", "review_status")
 
 
@@ -691,8 +729,8 @@ def deduplicated_texts(spark, sf_dir):
 
 
 def _terms(spark, sf_dir):
-    docs = tables.spread(demo.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return docs.withColumn("w", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{2,}"), F.lit(0))).select(
+    docs = demo.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.withColumn("w", learning.words(F.col("text"))).select(
         "doc_id", learning.words_and_pairs(F.col("w")).alias("terms")
     )
 
@@ -745,7 +783,7 @@ def training_frame(spark, sf_dir):
 
 
 def _training_frame(spark, sf_dir):
-    labelled = tables.spread(demo.labelled(spark, sf_dir), "doc_id")
+    labelled = source.deduplicate_texts(demo.labelled(spark, sf_dir), "text", "doc_id")
     return store(training.training_frame(source.training_messages(labelled, "doc_id"), REG))
 
 
@@ -777,7 +815,7 @@ def stream_rate(spark, sf_dir):
         F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("client")
     )
     jobs.rate_stream(rows, f"{work}/out", f"{work}/progress", 1).awaitTermination()
-    out = spark.read.schema("window_start timestamp, client string, n_requests long, over_limit boolean").parquet(f"{work}/out")
+    out = jobs.read_rates(spark, f"{work}/out")
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("minute"), "client", "n_requests", "over_limit")
 
 
@@ -785,10 +823,11 @@ def stream_rate(spark, sf_dir):
 def stream_dedup(spark, sf_dir):
     work = _work(spark)
     rows = _event_stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), "event_id", "user_id")
-    kept = jobs.deduplicate_stream(rows, "user_id", "ts")
+    kept = jobs.deduplicate_stream(rows, "user_id", "ts", "event_id")
     writer = kept.writeStream.format("parquet").option("path", f"{work}/out").option("checkpointLocation", f"{work}/progress")
     writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("ts timestamp, event_id long, user_id long").parquet(f"{work}/out").select("event_id", "user_id")
+    out = spark.read.schema("key string, row_id long, ts timestamp").parquet(f"{work}/out")
+    return out.select(F.col("row_id").alias("event_id"), F.col("key").cast("long").alias("user_id"))
 
 
 def _marked(spark, marks: DataFrame, name: str) -> DataFrame:
@@ -823,8 +862,10 @@ def stream_feedback(spark, sf_dir):
 def stream_dashboard(spark, sf_dir):
     work = _work(spark)
     arriving = demo.as_risk_events(_event_stream(spark, sf_dir))
-    jobs.dashboard_stream(arriving, f"{work}/out", f"{work}/progress", {"availableNow": True}).awaitTermination()
-    return spark.read.parquet(f"{work}/out")
+    tables.append_feedback(demo.feedback(spark, sf_dir), f"{work}/feedback")
+    places = [f"{work}/{name}" for name in ("events", "feedback", "out", "progress")]
+    jobs.dashboard_stream(arriving, *places, AS_OF, {"availableNow": True}).awaitTermination()
+    return jobs.latest_panels(spark, f"{work}/out")
 
 
 @query

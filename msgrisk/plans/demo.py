@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from msgrisk import fixed_values as fv
 from msgrisk.functions import scoring
-from msgrisk.sources.tables import spread
+from msgrisk.schemas import split_valid, validate_feedback
 
 # number, sender, name, subject, lead text, link 1, anchor 1, link 2, anchor 2, html, source
 # '{n}' stands for the document id.
@@ -71,7 +71,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, whole, as a message."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return as_messages(spread(documents, "doc_id"))
+    return as_messages(documents)
 
 
 def as_messages(documents: DataFrame) -> DataFrame:
@@ -105,6 +105,12 @@ def as_messages(documents: DataFrame) -> DataFrame:
     )
 
 
+def headed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a message whose subject is the text's first line, whole; some are too long for one."""
+    first_line = F.substring_index("body_text", "\n", 1)
+    return messages(spark, sf_dir).withColumns({"subject": first_line, "client_reasons": F.array(first_line)})
+
+
 def risk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Click events as event-table rows."""
     return as_risk_events(table(spark, sf_dir, "events"))
@@ -134,13 +140,15 @@ def as_risk_events(events: DataFrame) -> DataFrame:
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clicks and errors as user feedback, many per message."""
-    return as_feedback(table(spark, sf_dir, "events"))
+    """The valid feedback among the events, many per message."""
+    valid, _ = split_valid(validate_feedback(as_feedback(table(spark, sf_dir, "events"))))
+    return valid
 
 
 def as_feedback(events: DataFrame) -> DataFrame:
-    events = events.filter(F.col("event_type").isin("click", "error"))
-    risk = F.round(F.least(F.col("value") / 100, F.lit(1.0)), 4)
+    """Every event as user feedback: clicks and errors are of the known kinds, other types are not; events of
+    a value beyond 100 have a risk beyond 1.  Both break rules."""
+    risk = F.round(F.col("value") / 100, 4)
     return events.select(
         F.col("event_id").alias("feedback_id"),
         F.sha2(F.col("user_id").cast("string"), 256).alias("sample_hash"),
@@ -148,7 +156,8 @@ def as_feedback(events: DataFrame) -> DataFrame:
         F.lit("extension").alias("source"),
         risk.alias("current_risk_score"),
         scoring.classification(risk).alias("current_classification"),
-        F.when(F.col("event_type") == "click", fv.FEEDBACK_KINDS[0]).otherwise(fv.FEEDBACK_KINDS[1]).alias("user_feedback"),
+        F.when(F.col("event_type") == "click", fv.FEEDBACK_KINDS[0]).when(F.col("event_type") == "error", fv.FEEDBACK_KINDS[1])
+        .otherwise(F.col("event_type")).alias("user_feedback"),
         F.array(F.col("event_type")).alias("reasons"),
         F.col("ts").cast("timestamp").alias("created_at"),
     )

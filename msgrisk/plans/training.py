@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import logging
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
@@ -17,6 +19,8 @@ from msgrisk.plans.assess import extract_features
 from msgrisk.registry import Registry
 from msgrisk.session import store
 
+log = logging.getLogger(__name__)
+
 
 class TextPassThrough:
     """Keeps the normalised text among the features, for building training frames."""
@@ -57,14 +61,16 @@ class TrainedModel:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "TrainedModel | None":
-        """The stored model, or None when there is none to read (the fallback is used then)."""
+        """The stored model, or None where none is stored (the fallback is used then); other errors are raised."""
         try:
             meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
-            text_stage = PipelineModel.load(f"{path}/text_stage")
-            final_stage = PipelineModel.load(f"{path}/final_stage")
-        except Exception:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            log.warning("no model at %s, the fallback is used", path)
             return None
-        return cls(text_stage, final_stage, meta["version"])
+        stages = [PipelineModel.load(f"{path}/{name}") for name in ("text_stage", "final_stage")]
+        return cls(*stages, meta["version"])
 
 
 def training_frame(messages: DataFrame, registry: Registry) -> DataFrame:
@@ -167,9 +173,9 @@ def model_run_row(spark: SparkSession, metrics: dict, version: str = fv.MODEL_VE
     return spark.createDataFrame([row], "version string, n_rows long, roc_auc double, report string")
 
 
-def compare_models(frame: DataFrame, seed: int = 42) -> DataFrame:
+def compare_models(frame: DataFrame, seed: int = 42, text_size: int = fv.VOCABULARY_SIZE) -> DataFrame:
     """Several classifiers on one split: best recall first, lower false-positive rate breaks ties."""
-    model, stages, train_vectors, test, _ = _split_vectors(frame, fv.VOCABULARY_SIZE, seed)
+    model, stages, train_vectors, test, _ = _split_vectors(frame, text_size, seed)
     test_vectors = store(stages.transform(model.prepare(test)).select("label", "features_vector"))
     common = dict(featuresCol="features_vector", labelCol="label", weightCol="weight")
     candidates = {

@@ -64,13 +64,15 @@ def _violations(checks: dict[str, Column]) -> Column:
 
 def message_violations() -> Column:
     """Names of the rules a message breaks, as an array column."""
-    checks = {name: F.length(name) > limit for name, limit in fv.MAX_LENGTHS.items()}
+    checks = {"msg_id": F.col("msg_id").isNull()}
+    checks |= {name: F.length(name) > limit for name, limit in fv.MAX_LENGTHS.items()}
     checks["links"] = F.size("links") > fv.MAX_LINKS
     checks["href"] = F.exists("links", lambda l: l["href"].isNull() | (F.length(l["href"]) > fv.MAX_HREF))
     checks["anchor_text"] = F.exists("links", lambda l: F.length(l["anchor_text"]) > fv.MAX_ANCHOR)
     checks["heuristic_score"] = ~F.col("heuristic_score").between(0.0, 1.0)
     checks["sender_local_category"] = ~F.col("sender_local_category").isin(fv.LOCAL_CATEGORIES)
     checks["client_reasons"] = F.size("client_reasons") > fv.MAX_REASONS
+    checks["client_reason"] = F.exists("client_reasons", lambda r: F.length(r) > fv.REASON_LENGTH)
     checks["source"] = ~F.col("source").isin(fv.MESSAGE_SOURCES)
     return _violations(checks)
 
@@ -85,24 +87,18 @@ def feedback_violations() -> Column:
             "current_classification": F.length("current_classification") > 32,
             "user_feedback": F.col("user_feedback").isNull() | ~F.col("user_feedback").isin(fv.FEEDBACK_KINDS),
             "reasons": F.size("reasons") > fv.MAX_REASONS,
+            "reason": F.exists("reasons", lambda r: F.length(r) > fv.REASON_LENGTH),
         }
     )
 
 
-def clamp_reasons(col: Column) -> Column:
-    return F.transform(col, lambda r: F.substring(r, 1, fv.REASON_LENGTH))
-
-
 def validate_messages(df: DataFrame) -> DataFrame:
-    """Add ``violations``; shorten the reasons.  Valid rows have none."""
-    checked = df.withColumn("violations", message_violations())
-    return checked.withColumn("client_reasons", clamp_reasons(F.col("client_reasons")))
+    """Add ``violations``, the names of the rules a row breaks.  Valid rows have none; nothing is cut."""
+    return df.withColumn("violations", message_violations())
 
 
 def validate_feedback(df: DataFrame) -> DataFrame:
-    return df.withColumn("violations", feedback_violations()).withColumn(
-        "reasons", clamp_reasons(F.col("reasons"))
-    )
+    return df.withColumn("violations", feedback_violations())
 
 
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:

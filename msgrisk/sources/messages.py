@@ -99,13 +99,12 @@ def pages_to_messages(pages: DataFrame, drop_mailto: bool = False) -> DataFrame:
 
 
 def looks_like_mail(html: Column, url: Column) -> Column:
-    """The page starts with mail header lines or has a mailto link, and is not webmail."""
+    """The page shows mail header lines or has a mailto link, and is not webmail."""
     shown = F.array_join(structure.text_lines(structure.without_unseen(html)), "\n")
-    head = F.substring(shown, 1, 4000)
     host = urls.host_of(url)
     webmail = (host == "mail.google.com") | F.contains(host, F.lit("outlook."))
     mailto = html.rlike(r"""(?i)<a\b[^>]*\bhref\s*=\s*["']?mailto:""")
-    return ~webmail & (head.rlike(_HEADER) | mailto)
+    return ~webmail & (shown.rlike(_HEADER) | mailto)
 
 
 def longest_block(html: Column) -> Column:

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from msgrisk.operators.feedback import new_feedback
+from msgrisk.schemas import split_valid, validate_feedback
 
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on a table that is read in fewer tasks than there are cores
-    (few files that cannot be split).  A large table has many splits and is left as is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+FEEDBACK_PARTS = 256
 
 
 def event_rows(assessed: DataFrame) -> DataFrame:
@@ -28,28 +25,47 @@ def event_rows(assessed: DataFrame) -> DataFrame:
 def write_events(assessed: DataFrame, path: str, mode: str = "append") -> None:
     """Write event rows, one folder per day, so that time filters skip whole days.
 
-    Rows of a day are spread over a few files by id: a day with most of the rows
-    is not written by one task.
+    Rows are rebalanced by day: adaptive execution cuts a day with many rows into as many files as its size
+    asks for, so that it is not written by one task.
     """
-    rows = event_rows(assessed)
-    spread = F.pmod(F.xxhash64("id"), F.lit(16))
-    rows.repartition("event_date", spread).write.mode(mode).partitionBy("event_date").parquet(path)
+    event_rows(assessed).hint("rebalance", "event_date").write.mode(mode).partitionBy("event_date").parquet(path)
+
+
+def write_event_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write the event rows of one stream batch into its own folder of each day.
+
+    A batch that is repeated replaces those folders, so no row is stored twice."""
+    marked = rows.withColumn("batch", F.lit(batch_id)).hint("rebalance", "event_date")
+    writer = marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("event_date", "batch").parquet(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _part(sample_hash: str = "sample_hash"):
+    return F.pmod(F.xxhash64(sample_hash), F.lit(FEEDBACK_PARTS)).cast("int")
+
+
 def append_feedback(incoming: DataFrame, path: str) -> None:
-    """Append first feedback per key that is not stored yet (single writer)."""
+    """Append first feedback per key that is not stored yet (single writer).
+
+    The table is cut into folders by a hash of the key; only the folders that the incoming keys fall into
+    are read.  Rows that break a rule are not stored; ``schemas.validate_feedback`` names the rules.
+    """
     spark = incoming.sparkSession
+    incoming, _ = split_valid(validate_feedback(incoming))
+    incoming = incoming.withColumn("part", _part())
     try:
-        stored = spark.read.parquet(path)
-    except Exception as error:  # no table yet
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+        stored = spark.read.parquet(path).select("sample_hash", "user_feedback", "part")
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        stored = incoming.select("sample_hash", "user_feedback").limit(0)
-    new_feedback(incoming, stored).write.mode("append").parquet(path)
+        stored = incoming.select("sample_hash", "user_feedback", "part").limit(0)
+    touched = [r["part"] for r in incoming.select("part").distinct().collect()]      # FEEDBACK_PARTS at most
+    rows = new_feedback(incoming, stored.where(F.col("part").isin(touched)))
+    rows.write.mode("append").partitionBy("part").parquet(path)
 
 
 def write_siem(rows: DataFrame, path: str, mode: str = "append") -> None:

@@ -9,15 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from msgrisk.operators import analytics
 from msgrisk.operators.ledger import NEVER
-from msgrisk.plans.assess import Model, assess
+from msgrisk.plans.assess import Model, assess, checked
 from msgrisk.registry import Registry
-from msgrisk.sources.tables import append_feedback, event_rows, write_siem
+from msgrisk.schemas import split_valid, validate_feedback
+from msgrisk.sources.tables import append_feedback, event_rows, read_events, write_event_batch, write_siem
 
 
 def _start(writer, checkpoint: str, trigger: dict | None) -> StreamingQuery:
@@ -26,18 +28,19 @@ def _start(writer, checkpoint: str, trigger: dict | None) -> StreamingQuery:
 
 def assess_stream(
     messages: DataFrame, events_path: str, checkpoint: str, registry: Registry | None = None,
-    model: Model | None = None, key: str = "", trigger: dict | None = None,
+    model: Model | None = None, key: str = "", trigger: dict | None = None, quarantine: str | None = None,
 ) -> StreamingQuery:
-    """Assess arriving messages and append event rows.
+    """Assess arriving messages and append event rows, by day; messages that break a rule go to ``quarantine``.
 
     Each micro-batch runs the batch plan (its distinct-host step aggregates and
     joins back, which one streaming plan cannot).  A batch writes into its own
-    folder and replaces it when it is repeated, so a retry adds no rows twice.
+    folders and replaces them when it is repeated, so a retry adds no rows twice.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = event_rows(assess(batch, registry, model, key))
-        rows.write.mode("overwrite").parquet(f"{events_path}/batch={batch_id}")
+        write_event_batch(event_rows(assess(batch, registry, model, key)), events_path, batch_id)
+        if quarantine:
+            checked(batch)[1].write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
 
     return _start(messages.writeStream.foreachBatch(write), checkpoint, trigger)
 
@@ -46,19 +49,22 @@ def rate_stream(
     requests: DataFrame, path: str, checkpoint: str, limit: int = 120, lateness: str = "2 minutes",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Per-client minute counts.  A minute is final once the watermark has passed it;
-    requests later than that are dropped with the state of their minute."""
-    counted = analytics.rate_counts(requests.withWatermark("ts", lateness), limit)
-    return _start(counted.writeStream.outputMode("append").format("parquet").option("path", path), checkpoint, trigger)
+    """Per-client minute counts, written whenever they change; ``read_rates`` gives the newest of each.
 
+    Requests later than the watermark are dropped with the state of their minute."""
 
-def deduplicate_stream(payloads: DataFrame, key: str, time: str, ttl: str = "60 minutes") -> DataFrame:
-    """Drop repeats of a payload seen within the time limit.
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    Close to, but not the same as, the cache: here the limit counts from the
-    watermark.  ``TtlProcessor`` gives the exact rule.
-    """
-    return payloads.withWatermark(time, ttl).dropDuplicatesWithinWatermark([key])
+    counted = analytics.rate_counts(requests.withWatermark("ts", lateness), limit)
+    return _start(counted.writeStream.outputMode("update").foreachBatch(write), checkpoint, trigger)
+
+
+def read_rates(spark: SparkSession, path: str) -> DataFrame:
+    """The state of every minute: counts only grow, so the largest is the newest."""
+    schema = "window_start timestamp, client string, n_requests long, over_limit boolean"
+    rows = spark.read.schema(schema).parquet(path)
+    return rows.groupBy("window_start", "client").agg(F.max("n_requests").alias("n_requests"), F.max("over_limit").alias("over_limit"))
 
 
 class WindowProcessor(StatefulProcessor):
@@ -79,20 +85,20 @@ class WindowProcessor(StatefulProcessor):
         self.last = handle.getValueState("last_accepted", "ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = int(self.last.get()[0]) if self.last.exists() else NEVER
-        # one pass over sorted rows; a micro-batch bounds what arrives per key
+        before = last = int(self.last.get()[0]) if self.last.exists() else NEVER
+        # the source's rows per micro-batch bound what arrives per key; one step for each accepted row
         batch = pd.concat(list(rows)).sort_values(["ts", "row_id"])
-        millis = batch["ts"].astype("datetime64[ms]").astype("int64")
-        accepted = []
-        for moment in millis:
-            taken = moment - last >= self.wait_ms
-            accepted.append(taken)
-            if taken:
-                last = moment
-        self.last.update((int(last),))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(last) + self.keep_ms)
+        millis = batch["ts"].astype("datetime64[ms]").astype("int64").to_numpy()
+        accepted = np.zeros(len(millis), bool)
+        at = int(np.searchsorted(millis, last + self.wait_ms))
+        while at < len(millis):
+            accepted[at], last = True, int(millis[at])
+            at = int(np.searchsorted(millis, last + self.wait_ms))
+        if last != before:
+            self.last.update((last,))
+            if before != NEVER:
+                self.handle.deleteTimer(before + self.keep_ms)
+            self.handle.registerTimer(last + self.keep_ms)
         yield pd.DataFrame(
             {"key": key[0], "row_id": batch["row_id"], "ts": batch["ts"], "accepted": accepted}
         )
@@ -135,26 +141,75 @@ def ttl_stream(
     return _windowed(payloads, key, time, row_id, wait, wait, lateness)
 
 
-def feedback_stream(feedback: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Store the first feedback per message and kind; later ones add no row."""
+def deduplicate_stream(
+    payloads: DataFrame, key: str, time: str, row_id: str, seconds: int = 3600, lateness: str = "1 minute"
+) -> DataFrame:
+    """Rows (key, row_id, ts) of payloads that were not stored in the last ``seconds``; a repeat does not
+    extend the life of the stored one."""
+    return ttl_stream(payloads, key, time, row_id, seconds, lateness).where("accepted").drop("accepted")
+
+
+def feedback_stream(
+    feedback: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, quarantine: str | None = None
+) -> StreamingQuery:
+    """Store the first valid feedback per message and kind; later ones add no row.
+
+    Rows that break a rule go to ``quarantine``, if given."""
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, batch_id: int) -> None:
         append_feedback(batch, path)
+        if quarantine:
+            split_valid(validate_feedback(batch))[1].write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
 
     return _start(feedback.writeStream.foreachBatch(write), checkpoint, trigger)
 
 
-def dashboard_stream(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keep the class counts of all events up to date, rewritten per micro-batch."""
-    counts = events.groupBy("classification").agg(
-        F.count("*").alias("n_events"), F.round(F.avg("risk_score"), 4).alias("average_risk")
-    )
+PANEL = "panel string, item string, n_events long, average_risk double"
+
+
+def dashboard_panels(events: DataFrame, feedback: DataFrame, as_of: str, limit: int = 25) -> DataFrame:
+    """The five panels of the dashboard as rows (panel, item, n_events, average_risk)."""
+    one = F.lit(1).cast("long").alias("n_events")
+    classes = events.groupBy("classification").agg(F.count("*").alias("n_events"), F.round(F.avg("risk_score"), 4).alias("average_risk"))
+    panels = {
+        "classes": classes.withColumnRenamed("classification", "item"),
+        "trend": analytics.daily_trend(events, as_of).withColumnRenamed("day", "item"),
+        "brands": analytics.top_brands(events).withColumnRenamed("brand", "item"),
+        "recent": analytics.recent_events(events, limit).select(F.col("id").alias("item"), one, F.col("risk_score").alias("average_risk")),
+        "feedback": analytics.feedback_queue(feedback, limit).select(
+            F.col("feedback_id").alias("item"), one, F.col("current_risk_score").alias("average_risk")),
+    }
+    out = None
+    for name, rows in panels.items():
+        rows = rows.select(F.lit(name).alias("panel"), F.col("item").cast("string"), "n_events", "average_risk")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def dashboard_stream(
+    events: DataFrame, events_path: str, feedback_path: str, path: str, checkpoint: str, as_of: str | None = None,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Store arriving events and refresh the panels, every batch in a version of its own.
+
+    A version counts once its folder is complete (``latest_panels``), so a reader never sees half of one.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        write_event_batch(batch.withColumn("event_date", F.to_date("created_at")), events_path, batch_id)
+        now = as_of or str(spark.sql("SELECT current_timestamp()").first()[0])
+        panels = dashboard_panels(read_events(spark, events_path), spark.read.parquet(feedback_path), now)
+        panels.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+
+    return _start(events.writeStream.foreachBatch(write), checkpoint, trigger or {"processingTime": "30 seconds"})
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
 
-    writer = counts.writeStream.outputMode("complete").foreachBatch(write)
-    return _start(writer, checkpoint, trigger or {"processingTime": "30 seconds"})
+def latest_panels(spark: SparkSession, path: str) -> DataFrame:
+    """The panels of the newest complete version: its files appear together, when its write commits."""
+    rows = spark.read.schema(PANEL + ", version long").parquet(path)
+    newest = rows.agg(F.max("version").alias("version"))
+    return rows.join(newest, "version").drop("version")
 
 
 def export_stream(

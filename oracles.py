@@ -8,11 +8,31 @@ from __future__ import annotations
 
 import hashlib
 
+import csv
+from pathlib import Path
+
 from msgrisk import fixed_values as fv
 from msgrisk.plans import demo
-from msgrisk.registry import Registry
 
-REG = Registry.sample()
+REGISTRY = list(csv.DictReader((Path(__file__).parent / "msgrisk/data/registry.csv").open(newline="")))
+VERIFIED = [r for r in REGISTRY if r["trust_type"] in ("primary", "email")]
+BRANDS = list(dict.fromkeys(r["brand"] for r in VERIFIED))
+FIRST_LABELS = list(dict.fromkeys(r["domain"].split(".")[0] for r in sorted(VERIFIED, key=lambda r: BRANDS.index(r["brand"]))))
+
+
+def registry_aliases():
+    """Every brand in lower case, with and without blanks."""
+    for place, brand in enumerate(BRANDS):
+        for alias in sorted({brand.lower(), brand.lower().replace(" ", "")}):
+            yield alias, place, brand
+
+
+def registry_labels():
+    """First labels of three letters or more in the order of their brands; the last brand with it owns a label."""
+    kept = [x for x in FIRST_LABELS if len(x) >= 3]
+    for place, label in enumerate(kept):
+        owners = [r["brand"] for r in sorted(VERIFIED, key=lambda r: BRANDS.index(r["brand"])) if r["domain"].split(".")[0] == label]
+        yield label, place, owners[-1]
 
 
 def q(value) -> str:
@@ -115,8 +135,9 @@ def ascii_only(x: str) -> str:
 
 
 def skeleton(x: str) -> str:
-    x = f"translate({x}, {q(fv.CONFUSABLE_FROM)}, {q(fv.CONFUSABLE_TO)})"
-    return f"lower(replace(replace({x}, 'rn', 'm'), 'vv', 'w'))"
+    for looks, like in fv.CONFUSABLES.items():
+        x = f"replace({x}, {q(looks)}, {q(like)})"
+    return f"lower({x})"
 
 
 def random_score(label: str) -> str:
@@ -331,15 +352,15 @@ client AS (
 
 # ------------------------------------------------------------------ scoring views
 SCORES = rf"""
-aliases(alias, pos, brand) AS (SELECT * FROM (VALUES {values((t.term, t.position, t.brand) for t in REG.aliases)})),
-verified(vdomain, pos, brand) AS (SELECT * FROM (VALUES {values((t.term, t.position, t.brand) for t in REG.domains)})),
-vlabels(vlabel, pos, brand) AS (SELECT * FROM (VALUES {values((t.term, t.position, t.brand) for t in REG.labels)})),
-trust(tdomain, brand, trust_type) AS (SELECT * FROM (VALUES {values((d, b, k) for d, (b, k) in REG.trust.items())})),
+aliases(alias, pos, brand) AS (SELECT * FROM (VALUES {values(registry_aliases())})),
+verified(vdomain, pos, brand) AS (SELECT * FROM (VALUES {values((r['domain'], BRANDS.index(r['brand']), r['brand']) for r in VERIFIED)})),
+vlabels(vlabel, pos, brand) AS (SELECT * FROM (VALUES {values(registry_labels())})),
+trust(tdomain, brand, trust_type) AS (SELECT * FROM (VALUES {values((r['domain'], r['brand'], r['trust_type']) for r in REGISTRY)})),
 masked AS (
   SELECT msg_id, {category('sender_email')} AS category,
     CASE WHEN contains(sender_email, '@') THEN '[local]@' || lower(split_part(sender_email, '@', -1)) ELSE {mask('sender_email')} END AS sender_email,
     {mask('display_name')} AS display_name, {mask('subject')} AS subject, {mask('body_text')} AS body_text, html,
-    list_transform(links, lambda l: {{'href': left(l.href, 2048), 'anchor_text': left({mask("coalesce(l.anchor_text, '')")}, 512)}}) AS links,
+    list_transform(links, lambda l: {{'href': l.href, 'anchor_text': {mask("coalesce(l.anchor_text, '')")}}}) AS links,
     domain, source
   FROM messages),
 texts AS (
@@ -447,7 +468,7 @@ link_facts AS (
     plain_host IN ({listing(fv.BLOCKLIST)}) AS blocklisted, split_part(plain_host, '.', -1) AS tld,
     split_part(plain_host, '.', -1) IN ({listing(fv.SUSPICIOUS_TLDS)}) AS suspicious_tld,
     l.host IN ({listing(fv.SHORTENERS)}) AS shortener,
-    p.trust_brand IS NULL AND regexp_matches(path, '{"|".join(t.term.replace(".", chr(92) + ".") for t in REG.domains)}') AS path_flag,
+    p.trust_brand IS NULL AND regexp_matches(path, '{"|".join(r["domain"].replace(".", chr(92) + ".") for r in VERIFIED)}') AS path_flag,
     p.trust_brand IS NULL AND length(href) - length(replace(href, '%', '')) > 4 AS heavy, p.lookalike_score
   FROM links l JOIN profile p ON p.host = l.host),
 link_scores AS (
@@ -547,10 +568,19 @@ risk_events AS (
 FEEDBACK = f"""
 feedback AS (
   SELECT event_id AS feedback_id, sha256(user_id::VARCHAR) AS sample_hash, 'user' || user_id::VARCHAR || '.example' AS domain, 'extension' AS source,
-    round(least(value / 100, 1.0), 4) AS current_risk_score, {klass('round(least(value / 100, 1.0), 4)')} AS current_classification,
+    round(value / 100, 4) AS current_risk_score, {klass('round(value / 100, 4)')} AS current_classification,
     CASE event_type WHEN 'click' THEN 'mark_not_risky' ELSE 'report_risky' END AS user_feedback, ts AS created_at
-  FROM events WHERE event_type IN ('click', 'error'))
+  FROM events WHERE event_type IN ('click', 'error') AND round(value / 100, 4) <= 1)
 """
+# Documents whose first line is the subject of a message and its only reason.
+BAD_HEADS = """
+lead(tid, lead) AS (SELECT * FROM (VALUES LEADS)),
+heads AS (
+  SELECT doc_id AS msg_id, array_to_string(list_filter([CASE WHEN length(split_part(lead || ' ' || text, chr(10), 1)) > 512 THEN 'subject' END,
+      CASE WHEN length(lead || ' ' || text) > 50000 THEN 'body_text' END,
+      CASE WHEN length(split_part(lead || ' ' || text, chr(10), 1)) > 240 THEN 'client_reason' END], lambda v: v IS NOT NULL), ' | ') AS violations
+  FROM documents JOIN lead ON tid = doc_id % TEMPLATE_COUNT)
+""".replace("LEADS", values((t[0], t[4]) for t in demo.TEMPLATES)).replace("TEMPLATE_COUNT", str(len(demo.TEMPLATES)))
 ISO = "strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f')"
 
 
@@ -719,7 +749,10 @@ def statements() -> dict[str, str]:
         "validate_messages": over_messages(f"""SELECT msg_id, array_to_string(list_filter([{lens}
             CASE WHEN len(links) > 200 THEN 'links' END, CASE WHEN len(list_filter(links, lambda l: l.href IS NULL OR length(l.href) > 2048)) > 0 THEN 'href' END,
             CASE WHEN len(list_filter(links, lambda l: length(l.anchor_text) > 512)) > 0 THEN 'anchor_text' END], lambda v: v IS NOT NULL), ' | ') AS violations FROM messages"""),
-        "validate_feedback": f"WITH {FEEDBACK} SELECT user_feedback, count(*) AS n_valid FROM feedback WHERE length(sample_hash) BETWEEN 16 AND 128 AND current_risk_score BETWEEN 0 AND 1 GROUP BY 1",
+        "validate_feedback": """SELECT event_id AS feedback_id, array_to_string(list_filter([CASE WHEN round(value / 100, 4) > 1 THEN 'current_risk_score' END,
+            CASE WHEN event_type NOT IN ('click', 'error') THEN 'user_feedback' END], lambda v: v IS NOT NULL), ' | ') AS violations FROM events""",
+        "quarantined_messages": f"WITH {BAD_HEADS} SELECT msg_id, violations FROM heads WHERE violations <> ''",
+        "assess_valid": f"WITH {DEMO_MESSAGES}, {BAD_HEADS} SELECT msg_id, {norm_domain('domain')} AS domain, source FROM messages JOIN heads USING (msg_id) WHERE violations = ''",
         # pages
         "page_messages": over_pages("SELECT msg_id, sender_email, display_name, subject, md5(body_text) AS body_md5, len(links) AS n_links, domain FROM messages"),
         "page_links": f"""WITH anchors AS (SELECT page_id, url, unnest(range(1, len(tags) + 1)) AS pos, unnest(tags) AS tag
@@ -729,7 +762,7 @@ def statements() -> dict[str, str]:
             found AS (SELECT page_id, pos, {resolve('raw', 'url')} AS href, label FROM parts)
             SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS pos, href, CASE WHEN label <> '' THEN label ELSE href END AS anchor FROM found WHERE NOT starts_with(lower(href), 'mailto:')""",
         "page_is_mail": f"""SELECT page_id, NOT ({host('url')} = 'mail.google.com' OR contains({host('url')}, 'outlook.')) AND (
-            regexp_matches(left(array_to_string({lines(unseen('html'))}, chr(10)), 4000), '(?im)^\\s*(?:from|sender|subject|to):')
+            regexp_matches(array_to_string({lines(unseen('html'))}, chr(10)), '(?im)^\\s*(?:from|sender|subject|to):')
             OR regexp_matches(html, '(?i)<a\\b[^>]*\\bhref\\s*=\\s*["'']?mailto:')) AS is_mail FROM pages""",
         "longest_block": f"""WITH {PAGE_PARTS}, blocks AS (SELECT page_id, unnest(shown) AS block, unnest(range(len(shown))) AS pos FROM page_lines),
             longest AS (SELECT page_id, arg_max(block, length(block) * 100000 - pos) AS block FROM blocks GROUP BY page_id)
@@ -744,21 +777,27 @@ def statements() -> dict[str, str]:
             WHERE impersonated_brand IS NOT NULL GROUP BY 1 ORDER BY n_events DESC, brand LIMIT 10"""),
         "recent_events": over_events(f"""SELECT id, sample_hash, sender_hash, subject_hash, domain, source, risk_score, classification, confidence, impersonated_brand,
             array_to_string(reasons, ' | ') AS reasons, {ISO} AS created_at FROM risk_events ORDER BY risk_events.created_at DESC, id DESC LIMIT 25"""),
-        "shown_reasons": over_events("SELECT id, array_to_string(reasons[1:1], ' | ') AS first_reason FROM risk_events"),
-        "risk_points": over_events(f"SELECT id, {ISO} AS created_at, risk_score, classification, domain FROM (SELECT * FROM risk_events ORDER BY created_at DESC, id DESC LIMIT 200)"),
+        "shown_reasons": over_events("SELECT id, array_to_string(reasons[1:1], ' | ') AS first_1, array_to_string(reasons[1:4], ' | ') AS first_4 FROM risk_events"),
+        "risk_points": over_events(f"SELECT id, {ISO} AS created_at, risk_score, classification, domain FROM (SELECT * FROM risk_events ORDER BY created_at DESC, id DESC LIMIT 336)"),
         "normalized_points": over_events("SELECT id, strftime(created_at, '%H:%M') AS label, least(greatest(risk_score, 0), 1) AS risk FROM risk_events"),
         "siem_events": over_events(f"""SELECT CASE WHEN classification <> 'safe' THEN 'alert' ELSE 'event' END AS event_kind, 'email | threat' AS event_category, 'indicator' AS event_type,
             'msgrisk' AS event_module, {ISO} AS event_created, 'email' AS threat_indicator_type, confidence AS threat_indicator_confidence, sample_hash AS msgrisk_sample_hash,
             sender_hash AS msgrisk_sender_hash, subject_hash AS msgrisk_subject_hash, domain AS msgrisk_domain, risk_score AS msgrisk_risk_score, classification AS msgrisk_classification,
-            impersonated_brand AS msgrisk_impersonated_brand, array_to_string(reasons, ' | ') AS msgrisk_reasons FROM (SELECT * FROM risk_events ORDER BY created_at DESC, id DESC LIMIT 1000)"""),
-        "siem_envelope": over_events(f"SELECT 'msgrisk.siem.v1' AS schema, 'json' AS format, count(*) AS count, max({ISO}) AS newest FROM (SELECT * FROM risk_events ORDER BY created_at DESC, id DESC LIMIT 100)"),
+            impersonated_brand AS msgrisk_impersonated_brand, array_to_string(reasons, ' | ') AS msgrisk_reasons FROM risk_events"""),
+        "siem_envelope": over_events(f"""SELECT 'msgrisk.siem.v1' AS schema, 'json' AS format, count(*) AS count,
+            string_agg({ISO} || CASE WHEN classification <> 'safe' THEN ' alert ' ELSE ' event ' END || sample_hash, ' | '
+              ORDER BY {ISO} || CASE WHEN classification <> 'safe' THEN ' alert ' ELSE ' event ' END || sample_hash) AS events FROM (SELECT * FROM risk_events ORDER BY created_at DESC, id DESC LIMIT 100)"""),
         "rate_minute": rates,
+        "rate_clients": """SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute,
+            CASE event_type WHEN 'view' THEN '10.0.0.' || user_id WHEN 'signup' THEN 'local' ELSE 'peer' || user_id END AS client,
+            count(*) AS n_requests, count(*) > 1 AS over_limit FROM events WHERE event_type <> 'error' GROUP BY 1, 2""",
+        "message_source": f"WITH {DEMO_MESSAGES} SELECT msg_id, subject, source, 0.0::DOUBLE AS heuristic_score, 0::BIGINT AS n_reasons, len(links) AS n_links, md5(body_text) AS body_md5 FROM messages",
         "ttl_cache": accepted(21600000, ">") + " SELECT event_id, NOT accepted AS is_hit FROM fold",
         "cooldown": accepted(7200000, ">=") + " SELECT event_id, accepted FROM fold",
         "fresh_entries": "SELECT event_id AS id FROM events WHERE epoch_ms(TIMESTAMP '2024-01-30 12:00:00') - epoch_ms(ts) <= 86400000",
         # feedback
         "feedback_first": f"WITH {FEEDBACK}, {FIRST_FEEDBACK} SELECT sample_hash, user_feedback, feedback_id, current_risk_score FROM first_ones",
-        "feedback_new": f"""WITH {FEEDBACK}, {FIRST_FEEDBACK} SELECT sample_hash, user_feedback, feedback_id, 'pending' AS review_status FROM first_ones WHERE created_at >= TIMESTAMP '2024-01-03'""",
+        "feedback_new": f"""WITH {FEEDBACK}, {FIRST_FEEDBACK} SELECT sample_hash, user_feedback, feedback_id, 'pending' AS review_status FROM first_ones WHERE created_at >= TIMESTAMP '2024-01-16'""",
         "recent_feedback": f"""WITH {FEEDBACK}, {FIRST_FEEDBACK} SELECT feedback_id, sample_hash, CASE user_feedback WHEN 'mark_not_risky' THEN 'Marked not risky' ELSE 'Reported risky' END AS feedback_label,
             'pending' AS review_status, {ISO} AS created_at FROM first_ones ORDER BY first_ones.created_at DESC, feedback_id DESC LIMIT 50""",
         # rules and feeds
@@ -770,7 +809,7 @@ def statements() -> dict[str, str]:
         "label_normalize": "SELECT doc_id, toxic, CASE WHEN quality = 1 THEN 0 ELSE 1 END AS label FROM labels",
         "class_weights": "SELECT toxic AS label, count(*) AS n_rows, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6)::DOUBLE AS weight FROM labels JOIN documents USING (doc_id) GROUP BY 1",
         "deduplicated_texts": f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY lower(trim(regexp_replace(text, '[\\x00{WS}]+', ' ', 'g')))",
-        "ngram_vocab": """WITH tokens AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS w FROM documents),
+        "ngram_vocab": """WITH tokens AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}\\p{Pc}]{2,}') AS w FROM documents),
             terms AS (SELECT doc_id, unnest(w) AS term FROM tokens UNION ALL
               SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM tokens)
             SELECT term, count(*) AS n_total, count(DISTINCT doc_id) AS n_docs FROM terms GROUP BY term ORDER BY n_total DESC, term LIMIT 8000""",
@@ -787,10 +826,16 @@ def statements() -> dict[str, str]:
             len(regexp_extract_all(text, '(?i)https?://\\S+|www\\.\\S+'))::DOUBLE AS url_count, 1.0::DOUBLE AS levenshtein_distance_to_brand
             FROM documents JOIN labels USING (doc_id)""",
         # streaming: the final state equals the batch result
+        "stream_rate": rates,
+        "stream_dedup": accepted(3600000, ">") + " SELECT event_id, user_id FROM fold WHERE accepted",
         "stream_cooldown": accepted(7200000, ">=") + " SELECT event_id, accepted FROM fold",
         "stream_ttl": accepted(21600000, ">") + " SELECT event_id, NOT accepted AS is_hit FROM fold",
         "stream_feedback": f"WITH {FEEDBACK}, {FIRST_FEEDBACK} SELECT sample_hash, user_feedback, feedback_id, 'pending' AS review_status FROM first_ones",
-        "stream_dashboard": over_events("SELECT classification, count(*) AS n_events, round(avg(risk_score), 4) AS average_risk FROM risk_events GROUP BY 1"),
+        "stream_dashboard": over_events(f"""(SELECT 'classes' AS panel, classification AS item, count(*) AS n_events, round(avg(risk_score), 4) AS average_risk FROM risk_events GROUP BY 2)
+            UNION ALL (SELECT 'trend', strftime(created_at, '%Y-%m-%d'), count(*), round(avg(risk_score), 4) FROM risk_events WHERE created_at >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY GROUP BY 2)
+            UNION ALL (SELECT 'brands', impersonated_brand, count(*), round(avg(risk_score), 4) FROM risk_events WHERE impersonated_brand IS NOT NULL GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)
+            UNION ALL (SELECT 'recent', id::VARCHAR, 1, risk_score FROM risk_events ORDER BY created_at DESC, id DESC LIMIT 25)
+            UNION ALL (SELECT 'feedback', feedback_id::VARCHAR, 1, current_risk_score FROM (WITH {FEEDBACK}, {FIRST_FEEDBACK} SELECT * FROM first_ones) ORDER BY created_at DESC, feedback_id DESC LIMIT 25)"""),
         "stream_export": over_events(f"SELECT 'alert' AS event_kind, {ISO} AS event_created, sample_hash AS msgrisk_sample_hash, risk_score AS msgrisk_risk_score FROM risk_events WHERE classification <> 'safe'"),
         "stream_assess": f"""WITH {DEMO_MESSAGES}, {canonical}, {TRIAGE}, {SCORES} SELECT msg_id AS id, sample_hash, sender_host AS domain, risk_score, classification, confidence, reasons
             FROM assessed JOIN hashed USING (msg_id)""",

@@ -165,19 +165,23 @@ def test_fused_scores(spark):
 
 def test_validation(spark):
     row = dict.fromkeys([f.name for f in schemas.MESSAGE.fields])
-    good = dict(row, msg_id=1, client_reasons=["r" * 500])
+    good = dict(row, msg_id=1, client_reasons=["r" * 240])
+    long = dict(row, msg_id=3, client_reasons=["r" * 241])
     bad = dict(row, msg_id=2, sender_email="x" * 321, links=[{"href": "h", "anchor_text": "a"}] * 201, heuristic_score=1.5, source="fax", client_reasons=["r"] * 26)
-    rows = [tuple(r[f.name] for f in schemas.MESSAGE.fields) for r in (good, bad)]
+    rows = [tuple(r[f.name] for f in schemas.MESSAGE.fields) for r in (good, bad, long)]
     checked = schemas.validate_messages(schemas.with_defaults(spark.createDataFrame(rows, schemas.MESSAGE)))
     valid, quarantined = schemas.split_valid(checked)
     assert [len(r) for r in valid.first()["client_reasons"]] == [240]
-    assert quarantined.first()["violations"] == ["sender_email", "links", "heuristic_score", "client_reasons", "source"]
+    found = {r["msg_id"]: r["violations"] for r in quarantined.collect()}
+    assert found[3] == ["client_reason"]
+    assert found[2] == ["sender_email", "links", "heuristic_score", "client_reasons", "source"]
 
 
-def test_limits_are_capped_and_not_negative():
-    assert analytics.capped(5000, 100) == 100
+def test_limits_are_taken_as_given(spark):
+    rows = spark.range(3000).select("id", F.lit("2024-01-01").cast("timestamp").alias("created_at"))
+    assert analytics.newest(rows, 2500).count() == 2500
     with pytest.raises(ValueError):
-        analytics.capped(-1, 100)
+        analytics.newest(rows, -1)
 
 
 def test_training_columns():

@@ -124,19 +124,40 @@ def test_results_do_not_depend_on_partitioning(spark, table):
     assert one == many
 
 
-def test_long_registry_runs_in_chunks_with_the_same_result(table, results, monkeypatch):
-    from msgrisk import registry
-    from msgrisk.operators import links
-
-    monkeypatch.setattr(registry, "CHUNK_TERMS", 7)
-    monkeypatch.setattr(links, "CHUNK_TERMS", 7)
-    scored = plan.score_features(plan.extract_features(plan.mask_messages(table), Registry.sample()))
+def test_registry_from_a_long_table_gives_the_same_result(spark, table, results):
+    own = Registry.sample()
+    rows = [(i, brand, domain, kind) for i, (domain, (brand, kind)) in enumerate(own.trust.items())]
+    rows += [(1000 + i, f"zzq{i}qzz", f"zzq{i}qzz.invalid", "primary") for i in range(3000)]
+    long = Registry.from_tables(spark.createDataFrame(rows, "position int, brand string, domain string, trust_type string"))
+    with pytest.raises(ValueError, match="exceeds"):
+        Registry.from_tables(spark.createDataFrame(rows, "position int, brand string, domain string, trust_type string"), most_rows=100)
+    scored = plan.score_features(plan.extract_features(plan.mask_messages(table), long))
     for row in scored.collect():
         expected = results[row["msg_id"]]
         for name in ("risk_score", "lookalike_brand", "likely_brand", "impersonated_brand", "url_lookalike_score"):
             assert row[name] == expected[name], (row["msg_id"], name)
 
 
+def test_invalid_messages_are_kept_apart(spark, table):
+    bad = table.withColumn("subject", F.when(F.col("msg_id") == 3, F.repeat(F.lit("x"), 513)).otherwise(F.col("subject")))
+    bad = bad.withColumn("msg_id", F.when(F.col("msg_id") != 4, F.col("msg_id")))
+    assert sorted(r["msg_id"] for r in assess(bad).select("msg_id").collect()) == [1, 2, 5, 6, 7, 8, 9, 10]
+    found = {r["msg_id"]: r["violations"] for r in plan.checked(bad)[1].collect()}
+    assert found == {3: ["subject"], None: ["msg_id"]}
+
+
+def test_repeated_ids_stop_the_job(table):
+    with pytest.raises(Exception, match="repeated msg_id"):
+        assess(table.union(table.where("msg_id = 2"))).collect()
+
+
+def test_long_links_are_taken_whole(spark, table):
+    href = "https://unknown.example/" + "a" * 1900 + "/google.com/" + "%41" * 40
+    links = F.array(F.struct(F.lit(href).alias("href"), F.lit("b" * 500).alias("anchor_text")))
+    row = plan.score_features(plan.extract_features(plan.mask_messages(table.withColumn("links", links)), Registry.sample())).first()
+    assert row["encoded_character_count"] == 120 and row["url_brand_in_path_flag"] == 1.0
+
+
 def test_word_mode_needs_whole_words(table):
     registry = Registry.sample(mention_mode="word")
     rows = plan.score_features(plan.extract_features(plan.mask_messages(table), registry))

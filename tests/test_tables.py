@@ -1,19 +1,22 @@
 """Batch operators against brute force, sinks, streams and the model."""
 
+import os
 import random
 import uuid
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import check
 import oracles
 from msgrisk import Registry
-from msgrisk.operators import learning, ledger, links
+from msgrisk.operators import analytics, learning, ledger, links
 from msgrisk.plans import catalog, demo, training
 from msgrisk.plans.assess import FunctionModel, assess
 from msgrisk.session import checkpoint_root
 from msgrisk.sources import messages as source, tables
+from msgrisk.streaming import jobs
 
 
 def fold(rows, wait):
@@ -92,9 +95,74 @@ def test_feedback_is_stored_once(spark, sf_dir):
     tables.append_feedback(rows, path)
     first = spark.read.parquet(path).count()
     tables.append_feedback(rows, path)
+    bad = rows.withColumn("user_feedback", F.lit("other"))
+    tables.append_feedback(bad, path)
     assert spark.read.parquet(path).count() == first == rows.select("sample_hash", "user_feedback").distinct().count()
 
 
+def test_repeated_batches_of_a_stream_store_no_row_twice(spark, sf_dir):
+    path = f"{checkpoint_root(spark)}/events-{uuid.uuid4().hex}"
+    rows = tables.event_rows(assess(demo.messages(spark, sf_dir), key="k"))
+    tables.write_event_batch(rows, path, 0)
+    tables.write_event_batch(rows, path, 0)
+    tables.write_event_batch(rows, path, 1)
+    assert tables.read_events(spark, path).count() == 2 * rows.count()
+
+
+@pytest.fixture(scope="module")
+def arriving(spark, sf_dir, tmp_path_factory):
+    """Events in four files by time, and the stream that reads one file a batch."""
+    folder = tmp_path_factory.mktemp("arriving")
+    rows = demo.table(spark, sf_dir, "events").toPandas().sort_values(["ts", "event_id"])
+    size = -(-len(rows) // 4)
+    for i in range(4):
+        rows.iloc[i * size : (i + 1) * size].to_parquet(folder / f"part-{i}.parquet", coerce_timestamps="us")
+        os.utime(folder / f"part-{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    schema = spark.read.parquet(str(folder)).schema
+
+    def stream():
+        read = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        return read.select(F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("user_id").cast("string").alias("client"))
+
+    return stream
+
+
+def collected(spark, rows, tmp_path, schema):
+    writer = rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "progress"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(str(tmp_path / "out"))
+
+
+@pytest.mark.parametrize("seconds", [600, 21600])
+def test_stream_of_several_batches_equals_the_table(spark, sf_dir, arriving, tmp_path, seconds):
+    """State goes from batch to batch; users that stay away longer than it is kept come back after its timer."""
+    marks = collected(spark, jobs.ttl_stream(arriving(), "client", "ts", "event_id", seconds), tmp_path, jobs.WindowProcessor.OUTPUT)
+    expected = ledger.ttl_cache(demo.requests(spark, sf_dir), "client", "ts", "event_id", seconds)
+    assert {(r["row_id"], r["accepted"]) for r in marks.collect()} == {(r["event_id"], not r["is_hit"]) for r in expected.collect()}
+
+
+def test_rates_of_several_batches_are_complete(spark, sf_dir, arriving, tmp_path):
+    jobs.rate_stream(arriving(), str(tmp_path / "out"), str(tmp_path / "progress"), 1).awaitTermination()
+    found = jobs.read_rates(spark, str(tmp_path / "out")).select("window_start", "client", "n_requests", "over_limit")
+    expected = analytics.rate_counts(demo.requests(spark, sf_dir), 1)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_late_requests_are_left_out(spark, tmp_path):
+    rows = [(0, "2024-01-01 00:00:10", "a"), (1, "2024-01-01 01:00:00", "a"), (2, "2024-01-01 01:00:10", "a"),
+            (3, "2024-01-01 00:00:20", "a"), (4, "2024-01-01 01:00:30", "a")]
+    for i, row in enumerate(rows):
+        frame = pd.DataFrame([row], columns=["event_id", "ts", "client"])
+        frame.assign(ts=pd.to_datetime(frame["ts"])).to_parquet(tmp_path / f"part-{i}.parquet", coerce_timestamps="us")
+        os.utime(tmp_path / f"part-{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    read = spark.readStream.schema("event_id long, ts timestamp_ntz, client string").option("maxFilesPerTrigger", 1)
+    read = read.parquet(f"{tmp_path}/part-*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    (tmp_path / "jobs").mkdir()
+    jobs.rate_stream(read, str(tmp_path / "jobs/out"), str(tmp_path / "jobs/progress"), 1).awaitTermination()
+    found = jobs.read_rates(spark, str(tmp_path / "jobs/out")).collect()
+    assert sorted((str(r["window_start"]), r["n_requests"]) for r in found) == [("2024-01-01 00:00:00", 1), ("2024-01-01 01:00:00", 3)]
+
+
 def test_small_training_set_from_csv(spark, tmp_path):
     (tmp_path / "t.csv").write_text(
         "text,label\n" + "".join(f'"verify your account now {i} http://x{i}.example/",phishing\n"see you at lunch {i}",safe\n' for i in range(3))
@@ -120,7 +188,7 @@ def test_any_function_can_be_the_model(spark, sf_dir):
 CHECKED = [
     "mask_pii", "canonical_hash", "text_stats", "domain_lookalike", "link_features", "assess", "page_assess", "triage_score",
     "page_links", "daily_trend", "siem_events", "feedback_new", "ngram_vocab", "stratified_split", "eval_report",
-    "stream_cooldown", "stream_ttl", "stream_feedback", "stream_export", "stream_assess",
+    "stream_cooldown", "stream_ttl", "stream_rate", "stream_dedup", "stream_dashboard", "validate_feedback", "quarantined_messages", "rate_clients", "message_source", "stream_feedback", "stream_export", "stream_assess",
 ]
 
 
