@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from msgrisk.session import apply_settings, checkpoint_root
 
@@ -58,9 +58,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     )
     known = docs.where(F.col("text").isNotNull()).select("doc_id").where(usable)
     wanted = keep(wanted.join(known, "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id")))
-    classes = [r["label"] for r in wanted.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(64).collect()]
-    frames = [wanted.where(F.col("label") == c).orderBy("h", "doc_id").limit(per_class).toPandas() for c in classes]
-    chosen = pd.concat(frames) if frames else pd.DataFrame({"doc_id": [], "label": []})
+    # Hashes are spread evenly: four times the rows wanted are below this bound, and only these are ranked.
+    sizes = wanted.groupBy("label").agg(F.count("*").alias("n"))
+    bound = F.least(F.lit(1.0), F.lit(4.0 * per_class) / F.col("n")) * 2.0**64 - 2.0**63
+    few = wanted.join(sizes, "label").where(F.col("h").cast("double") <= bound)
+    place = F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id"))
+    chosen = few.withColumn("place", place).where(F.col("place") <= per_class).select("doc_id", "label").toPandas()
     if chosen.empty:
         return pd.DataFrame({"doc_id": pd.Series(dtype="int64"), "text": pd.Series(dtype=str), "label": pd.Series(dtype=str)})
     ids = F.broadcast(docs.sparkSession.createDataFrame(chosen[["doc_id"]].astype("int64"), "doc_id long"))
