@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +63,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
 
 
+_open = threading.local()
+
+
+@contextmanager
+def stored_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what ``store`` writes within: for work that is over then, such as a stream's batch."""
+    before, _open.paths = getattr(_open, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _open.paths = _open.paths, before
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
@@ -68,5 +87,7 @@ def store(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/table-{uuid.uuid4().hex}"
+    if getattr(_open, "paths", None) is not None:
+        _open.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

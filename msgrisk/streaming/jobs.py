@@ -19,6 +19,7 @@ from msgrisk.operators.ledger import NEVER
 from msgrisk.plans.assess import Model, assess, checked
 from msgrisk.registry import Registry
 from msgrisk.schemas import split_valid, validate_feedback
+from msgrisk.session import stored_tables
 from msgrisk.sources.tables import append_feedback, event_rows, read_events, write_event_batch, write_siem
 
 
@@ -38,7 +39,8 @@ def assess_stream(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_event_batch(event_rows(assess(batch, registry, model, key)), events_path, batch_id)
+        with stored_tables(batch.sparkSession):
+            write_event_batch(event_rows(assess(batch, registry, model, key)), events_path, batch_id)
         if quarantine:
             checked(batch)[1].write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
 

@@ -14,6 +14,7 @@ from msgrisk import Registry
 from msgrisk.operators import analytics, learning, ledger, links
 from msgrisk.plans import catalog, demo, training
 from msgrisk.plans.assess import FunctionModel, assess
+from msgrisk import session
 from msgrisk.session import checkpoint_root
 from msgrisk.sources import messages as source, tables
 from msgrisk.streaming import jobs
@@ -109,6 +110,16 @@ def test_repeated_batches_of_a_stream_store_no_row_twice(spark, sf_dir):
     assert tables.read_events(spark, path).count() == 2 * rows.count()
 
 
+def test_stored_tables_go_at_the_end(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "checkpoint_root", lambda spark: str(tmp_path))
+    with session.stored_tables(spark):
+        assert session.store(spark.range(5)).count() == 5
+        assert len(os.listdir(tmp_path)) == 1
+    assert os.listdir(tmp_path) == []
+    session.store(spark.range(5))
+    assert len(os.listdir(tmp_path)) == 1
+
+
 @pytest.fixture(scope="module")
 def arriving(spark, sf_dir, tmp_path_factory):
     """Events in four files by time, and the stream that reads one file a batch."""
