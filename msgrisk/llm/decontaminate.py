@@ -1,20 +1,19 @@
-"""Benchmark decontamination by SimHash windows of item size, by DataFrame functions only.
+"""Benchmark decontamination by exact weighted shingles of item-sized windows, by DataFrame functions only.
 
 A window of a document is as long as an item.  Windows are taken where the document shares a shingle with
-the item, at the places that line the shared shingles up; a window without a shared shingle has similarity
-zero.  Their SimHash meets that of the items in multi-index Hamming blocks, which give all pairs within the
-radius, and the exact similarity of weighted shingles (weight: times it occurs) decides.
+the item, at the places that line the shared shingles up.  The similarity of weighted shingles (weight: times
+it occurs) of every such window is computed from the shared shingles alone; nothing is filtered by a sketch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from msgrisk.llm.shared import keep
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-RADIUS = 15                 # one-word features: windows of similarity 0.8 differ in about 8 bits at most, deviation 2.6
+RADIUS = 15                 # of _close_pairs only: contaminated() has no radius, as any would lose pairs
 BLOCK_BITS = 16             # four blocks; within the radius one of them differs in at most RADIUS // 4 bits
 BROADCAST_SHINGLES = 500_000        # rows of five numbers, 20 MB; more shingles are met by a shuffled join
 _BLOCKS = 64 // BLOCK_BITS
@@ -40,23 +39,6 @@ def _item_shingles(words: Column) -> Column:
     return cases.otherwise(_shingles(words, SHINGLE_WORDS))
 
 
-def _simhash(rows: DataFrame, keys: list[str], words: str) -> DataFrame:
-    """Keys and fp for rows of distinct keys and word arrays: a bit is set if over half the words' hashes have it.
-
-    Each of 32 sums counts two bits, 32 positions apart."""
-    lanes = F.lit((1 << 32) + 1)
-    each = rows.select(*keys, F.explode(words).alias("w")).withColumn("h", F.xxhash64("w"))
-    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(lanes)).alias(f"s{i}") for i in range(32)]
-    counted = each.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
-    fp = F.lit(0).cast("long")
-    low = F.lit((1 << 32) - 1)
-    for i in range(32):
-        few, many = F.col(f"s{i}").bitwiseAND(low), F.shiftrightunsigned(f"s{i}", 32)
-        fp = fp.bitwiseOR(F.shiftleft((few * 2 > F.col("n")).cast("long"), i))
-        fp = fp.bitwiseOR(F.shiftleft((many * 2 > F.col("n")).cast("long"), i + 32))
-    return counted.select(*keys, fp.alias("fp"))
-
-
 def _block(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, i * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
 
@@ -97,7 +79,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """
     spark = docs.sparkSession
     items = keep(benchmark_items(benchmark))
-    grams = keep(items.select("item", "size", F.size("grams").alias("n_grams"), F.posexplode("grams").alias("off", "gram")))
+    grams = items.select("item", "size", F.size("grams").alias("n_grams"), F.posexplode("grams").alias("off", "gram"))
+    grams = keep(grams.withColumn("times", F.count("*").over(Window.partitionBy("item", "gram"))))
     n_grams = grams.count()
     short = [r["size"] for r in items.where(F.col("size") < SHINGLE_WORDS).select("size").distinct().collect()]
 
@@ -114,36 +97,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         found = places.join(side, "gram")
         hits = found if hits is None else hits.union(found)
     # A window of similarity s shares at least s times the item's shingles, and each shared one is a hit.
-    hits = keep(hits.select("doc_id", "text_key", "n_words", "item", "size", "n_grams", "at", "off"))
+    hits = keep(hits.select("doc_id", "text_key", "n_words", "item", "size", "n_grams", "at", "off", "gram", "times"))
     enough = hits.groupBy("doc_id", "text_key", "item").agg(F.count("*").alias("n"), F.min("n_grams").alias("least"))
     enough = enough.where(F.col("n") >= F.col("least") * similarity - 1e-9)
     hits = hits.withColumn("doc", F.struct("doc_id", "text_key"))
     enough = enough.select(F.struct("doc_id", "text_key").alias("doc"), "item")
-    likely = hits.join(enough, ["doc", "item"], "left_semi")
+    likely = keep(hits.drop("doc_id", "text_key").join(enough, ["doc", "item"], "left_semi"))
     last = F.greatest(F.col("n_words") - F.col("size"), F.lit(0))
     begin = F.least(F.greatest(F.col("at") - F.col("off"), F.lit(0)), last)
-    places = keep(likely.select("doc", "item", "size", begin.alias("start")).distinct())
-
-    wanted = places.select("doc", "size", "start").distinct()
-    sources = keyed.withColumn("doc", F.struct("doc_id", "text_key")).select("doc", "words").join(places.select("doc").distinct(), "doc", "left_semi")
-    cut = F.slice("words", F.col("start") + 1, F.col("size"))
-    windows = sources.dropDuplicates(["doc"]).join(wanted, "doc").select(F.struct("doc", "size", "start").alias("win"), "size", cut.alias("words"))
-    windows = keep(windows)
-    prints = _simhash(windows, ["win", "size"], "words")
-    pairs = _close_pairs(prints, _simhash(items, ["item", "size"], "words"))
-    spans = keep(pairs)
-
-    held = windows.join(spans.select("win").distinct(), "win", "left_semi")
-    held = held.select("win", F.explode(_item_shingles(F.col("words"))).alias("gram"))
-    held = held.groupBy("win", "gram").agg(F.count("*").alias("n"))
-    sizes = held.groupBy("win").agg(F.sum("n").alias("n_win"))
-    asked = grams.groupBy("item", "n_grams", "gram").agg(F.count("*").alias("m"))
-    common = spans.join(asked, "item").join(held, ["win", "gram"])
-    common = common.groupBy("win", "item", "n_grams").agg(F.sum(F.least("n", "m")).alias("both"))
+    n_win = F.greatest(F.least("size", "n_words") - SHINGLE_WORDS + 1, F.lit(1))    # an item shorter than a shingle is one
+    places = likely.select("doc", "item", "size", "n_grams", n_win.alias("n_win"), begin.alias("start")).distinct()
+    covered = places.withColumn("at", F.explode(F.sequence("start", F.col("start") + F.col("n_win") - 1)))
+    held = covered.join(likely.select("doc", "item", "at", "gram", "times").distinct(), ["doc", "item", "at"])
+    window = ["doc", "item", "start", "size", "n_grams", "n_win"]
+    held = held.groupBy(*window, "gram", "times").agg(F.count("*").alias("n"))
+    common = held.groupBy(*window).agg(F.sum(F.least("n", "times")).alias("both"))
     ratio = F.col("both") / (F.col("n_win") + F.col("n_grams") - F.col("both"))
-    scored = common.join(sizes, "win").withColumn("similarity", ratio).where(F.col("similarity") >= similarity)
-    best = scored.groupBy(F.col("win.doc.doc_id").alias("doc_id"), F.col("win.doc.text_key").alias("text_key"), "item").agg(
-        F.max(F.struct("similarity", (-F.col("win.start")).alias("back"), F.col("win.size").alias("words"))).alias("b")
+    scored = common.withColumn("similarity", ratio).where(F.col("similarity") >= similarity)
+    best = scored.groupBy(F.col("doc.doc_id").alias("doc_id"), F.col("doc.text_key").alias("text_key"), "item").agg(
+        F.max(F.struct("similarity", (-F.col("start")).alias("back"), F.col("size").alias("words"))).alias("b")
     )
     best = best.groupBy("doc_id", "item").agg(F.max("b").alias("b"))
     names = benchmark.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)

@@ -73,6 +73,27 @@ def test_edited_passages(spark):
     assert set(found(spark, docs, items)) == pairs(docs, items)
 
 
+def test_cut_and_shifted_passages_at_the_threshold(spark):
+    rng = random.Random(8)
+    items = [(k, " ".join(f"w{rng.getrandbits(40)}" for _ in range(58))) for k in range(20)]
+    docs = []
+    for i in range(600):
+        passage, lost = items[i % 20][1].split(), 5 + i % 2      # similarity 49/59 or 48/60
+        strange = [f"x{rng.getrandbits(40)}" for _ in range(80)]
+        docs.append((i, " ".join(strange[:40] + passage[lost:] + strange[40:] if i % 4 < 2 else strange[:40] + passage[:-lost] + strange[40:])))
+    rows = found(spark, docs, items)
+    assert set(rows) == {(i, i % 20) for i in range(600)}
+    assert all(r.similarity == (0.8 if i % 2 else 0.830508) for (i, _), r in rows.items())
+
+
+def test_balanced_repeated_words(spark):
+    items = [(1, "a b " * 10 + "a"), (2, "c d e f " * 6)]
+    docs = [(1, "b a " * 10 + "b"), (2, "d e f c " * 6), (3, "b a b a b"), (4, "x y " + "e f c d " * 6 + " z"), (5, "a b " * 400)]
+    rows = found(spark, docs, items)
+    assert set(rows) == pairs(docs, items) >= {(1, 1), (5, 1)}
+    assert rows[(1, 1)].similarity == 0.888889
+
+
 def test_odd_documents_and_items(spark):
     items = [(1, None), (2, ""), (3, "?!"), (4, "one two three"), (5, "ünïcödé 日本語 текст words and more words here"), (6, "a row without an id"),
              (7, "a row without an id"), (8, " ".join(["ha"] * 20)), (9, LONG), (10, "one")]
