@@ -77,15 +77,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     out with a null id.  Null or wordless texts and items match nothing; items of fewer than five words match
     where all their words stand together.  A document shorter than an item is a window as a whole.
     """
-    spark = docs.sparkSession
     items = keep(benchmark_items(benchmark))
+    best = _best_windows(docs, items, similarity)
+    best = best.groupBy("doc_id", "item").agg(F.max("b").alias("b"))
+    names = benchmark.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
+    names = names.select("item_id", _name(F.col("w")).alias("name")).distinct().join(items.select("name", "item"), "name")
+    return best.join(names, "item").select(
+        "doc_id", "item_id", (-F.col("b.back")).cast("int").alias("start"), F.col("b.words").cast("int").alias("words"),
+        F.round("b.similarity", 6).alias("similarity"),
+    )
+
+
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _best_windows(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """Columns doc_id, text_key, item, b (similarity, back, words): the best window of each text of an id."""
     grams = items.select("item", "size", F.size("grams").alias("n_grams"), F.posexplode("grams").alias("off", "gram"))
     grams = keep(grams.withColumn("times", F.count("*").over(Window.partitionBy("item", "gram"))))
     n_grams = grams.count()
     short = [r["size"] for r in items.where(F.col("size") < SHINGLE_WORDS).select("size").distinct().collect()]
 
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keyed = texts.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words"))
+    keyed = docs.select("doc_id", _text_key(F.col("text")).alias("text_key"), words_of(F.col("text")).alias("words"))
     kinds = [_shingles(F.col("words"), SHINGLE_WORDS)]
     for k in short:
         runs = F.transform(F.sequence(F.lit(1), F.size("words") - k + 1), lambda i: F.aggregate(F.slice("words", i, k), F.lit(42).cast("long"), lambda h, w: F.xxhash64(h, w)))
@@ -114,19 +128,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     common = held.groupBy(*window).agg(F.sum(F.least("n", "times")).alias("both"))
     ratio = F.col("both") / (F.col("n_win") + F.col("n_grams") - F.col("both"))
     scored = common.withColumn("similarity", ratio).where(F.col("similarity") >= similarity)
-    best = scored.groupBy(F.col("doc.doc_id").alias("doc_id"), F.col("doc.text_key").alias("text_key"), "item").agg(
+    return scored.groupBy(F.col("doc.doc_id").alias("doc_id"), F.col("doc.text_key").alias("text_key"), "item").agg(
         F.max(F.struct("similarity", (-F.col("start")).alias("back"), F.col("size").alias("words"))).alias("b")
     )
-    best = best.groupBy("doc_id", "item").agg(F.max("b").alias("b"))
-    names = benchmark.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
-    names = names.select("item_id", _name(F.col("w")).alias("name")).distinct().join(items.select("name", "item"), "name")
-    return best.join(names, "item").select(
-        "doc_id", "item_id", (-F.col("b.back")).cast("int").alias("start"), F.col("b.words").cast("int").alias("words"),
-        F.round("b.similarity", 6).alias("similarity"),
-    )
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a benchmark item; rows without id stay only if no such row holds one."""
+    """``docs`` without the ids that hold a benchmark item; rows without id stay only if no such row holds one.
+
+    ``clean_rows`` judges each row by its own text and is what the pipeline uses."""
     found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_found")).distinct()
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_found")), "left_anti")
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose own text holds a benchmark item; other rows of the same id, or without id, stay."""
+    found = _best_windows(docs, keep(benchmark_items(benchmark)), SIMILARITY)
+    found = found.select(F.col("doc_id").alias("_found"), F.col("text_key").alias("_key")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_found")) & (_text_key(F.col("text")) == F.col("_key"))
+    return docs.join(found, same, "left_anti")

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import corpus_pipeline
 from msgrisk.llm import catalog, decontaminate
 from tests.llm.conftest import LONG, ODD_ROWS, documents
 
@@ -112,6 +113,15 @@ def test_documents_with_items_go(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
 
 
+def test_clean_rows_of_a_shared_or_missing_id_stay(spark, tmp_path):
+    rows = [(1, "a b c d e f g"), (2, "x y z"), (None, "a b c d e f g"), (None, "other"), (None, None), (3, None), (2, "b c d e f g"), (4, "x"), (4, "x")]
+    docs = documents(spark, rows)
+    spark.createDataFrame([(1, "b c d e f g")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.without_benchmark(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(2, "x y z"), (None, "other"), (None, None), (3, None), (4, "x"), (4, "x")], key=str)
+
+
 def test_shuffled_join_gives_the_same(spark, sf_dir, monkeypatch):
     query = catalog.QUERIES["op7_benchmark_decontamination"]
     whole = sorted(map(tuple, query(spark, sf_dir).collect()))
