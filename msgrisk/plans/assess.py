@@ -183,18 +183,19 @@ def checked(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def assess(
-    messages: DataFrame, registry: Registry | None = None, model: Model | None = None, key: str = ""
+    messages: DataFrame, registry: Registry | None = None, model: Model | None = None, key: str = "", valid_only: bool = True
 ) -> DataFrame:
     """Assess every valid message; ``checked`` gives the others.  A repeated ``msg_id`` stops the job.
 
+    Without ``valid_only`` messages that break a rule are assessed like others, whole; only those without msg_id are left out.
     Returns one row per message: hashes, domain, risk, class, confidence, brand,
     reasons, a ``components`` struct and a ``features`` struct.  No raw text.
     """
     registry = registry or Registry.sample()
     if "received_at" not in messages.columns:
         messages = messages.withColumn("received_at", F.current_timestamp())
-    valid, _ = checked(messages)
-    masked = mask_messages(add_hashes(valid, key))
+    taken = checked(messages)[0] if valid_only else with_defaults(messages)
+    masked = mask_messages(add_hashes(taken, key))
     scored = score_features(extract_features(masked, registry, model), model)
     features = [
         *fv.NUMERIC_FEATURES, "recognized_brand", "domain_trust_type", "likely_brand",

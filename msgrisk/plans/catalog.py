@@ -64,7 +64,8 @@ def scored(spark, sf_dir) -> DataFrame:
 
 
 def assessed(spark, sf_dir) -> DataFrame:
-    return plan.assess(triage.triage(demo.messages(spark, sf_dir)), REG, key=demo.HMAC_KEY)
+    """Every document, also those too long for a valid message."""
+    return plan.assess(triage.triage(demo.messages(spark, sf_dir)), REG, key=demo.HMAC_KEY, valid_only=False)
 
 
 # ---------------------------------------------------------------------- privacy
@@ -422,7 +423,7 @@ def page_assess(spark, sf_dir):
     pages = demo.table(spark, sf_dir, "pages")
     # two jobs: the pages are parsed once, then the stored messages are assessed
     envelopes = store(source.pages_to_messages(pages))
-    rows = plan.assess(triage.triage(envelopes), REG, key=demo.HMAC_KEY)
+    rows = plan.assess(triage.triage(envelopes), REG, key=demo.HMAC_KEY, valid_only=False)
     return rows.select("msg_id", "domain", "risk_score", "classification", "confidence", "impersonated_brand", joined("reasons").alias("reasons"))
 
 
@@ -883,5 +884,5 @@ def stream_assess(spark, sf_dir):
     schema = demo.table(spark, sf_dir, "documents").schema
     arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
     envelopes = triage.triage(demo.as_messages(arriving))
-    jobs.assess_stream(envelopes, f"{work}/out", f"{work}/progress", REG, key=demo.HMAC_KEY).awaitTermination()
+    jobs.assess_stream(envelopes, f"{work}/out", f"{work}/progress", REG, key=demo.HMAC_KEY, valid_only=False).awaitTermination()
     return spark.read.parquet(f"{work}/out").select("id", "sample_hash", "domain", "risk_score", "classification", "confidence", joined("reasons").alias("reasons"))

@@ -30,8 +30,10 @@ def _start(writer, checkpoint: str, trigger: dict | None) -> StreamingQuery:
 def assess_stream(
     messages: DataFrame, events_path: str, checkpoint: str, registry: Registry | None = None,
     model: Model | None = None, key: str = "", trigger: dict | None = None, quarantine: str | None = None,
+    valid_only: bool = True,
 ) -> StreamingQuery:
-    """Assess arriving messages and append event rows, by day; messages that break a rule go to ``quarantine``.
+    """Assess arriving messages and append event rows, by day; messages that break a rule go to ``quarantine``,
+    without ``valid_only`` they are assessed as well.
 
     Each micro-batch runs the batch plan (its distinct-host step aggregates and
     joins back, which one streaming plan cannot).  A batch writes into its own
@@ -40,7 +42,7 @@ def assess_stream(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         with stored_tables(batch.sparkSession):
-            write_event_batch(event_rows(assess(batch, registry, model, key)), events_path, batch_id)
+            write_event_batch(event_rows(assess(batch, registry, model, key, valid_only)), events_path, batch_id)
         if quarantine:
             checked(batch)[1].write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
 

@@ -1,10 +1,14 @@
 """Message fixtures: each row states a message and what must come out of it."""
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import check
+from __spark_entry__ import oracle_sql
 from msgrisk import Registry, assess
-from msgrisk.plans import assess as plan
+from msgrisk.plans import assess as plan, catalog
 from msgrisk.schemas import MESSAGE, with_defaults
 
 FIELDS = [f.name for f in MESSAGE.fields]
@@ -146,6 +150,20 @@ def test_invalid_messages_are_kept_apart(spark, table):
     assert found == {3: ["subject"], None: ["msg_id"]}
 
 
+def test_queries_account_for_texts_of_any_length(spark, tmp_path):
+    docs = [(1, "a short text"), (2, "word " * 10_050), (3, "verify your account now, " * 5_200), (8, "x" * 60_000)]
+    pages = [(1, "https://a.example/", "<p>short</p>"), (2, "https://b.example/", "<p>" + "word " * 10_050 + "</p>")]
+    pd.DataFrame(docs, columns=["doc_id", "text"]).to_parquet(f"{tmp_path}/documents.parquet")
+    pd.DataFrame(pages, columns=["page_id", "url", "html"]).to_parquet(f"{tmp_path}/pages.parquet")
+    sql = duckdb.connect()
+    for name in ("documents", "pages"):
+        sql.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    for name, rows in {"assess": 4, "event_table": 4, "stream_assess": 4, "page_assess": 2, "assessed_summary": 1, "assessed_brands": None}.items():
+        frame = catalog.QUERIES[name](spark, str(tmp_path)).toPandas()
+        verdict = check.compare(frame, check.sql_frame(sql, oracle_sql()[name]))
+        assert verdict == f"ok {len(frame)}" and rows in (None, len(frame)), (name, verdict)
+
+
 def test_repeated_ids_stop_the_job(table):
     with pytest.raises(Exception, match="repeated msg_id"):
         assess(table.union(table.where("msg_id = 2"))).collect()
