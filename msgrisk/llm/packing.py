@@ -50,10 +50,11 @@ class WordIds(dict):
         return packed
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of a text, then id 0.  Where no special token can be meant, A-Z are lower-cased and the signs
-        behind a word's last letter, which the tokenizer parts from it anyway, become a word of their own."""
+        """Ids of a text, then id 0.  Where no special token can be meant and no mark of U+0300 to U+037F (first
+        byte CC or CD) can be composed with a capital, which comes before lower-casing, A-Z are lower-cased and the
+        signs behind a word's last letter, which the tokenizer parts from it anyway, become a word of their own."""
         line = (text or "").encode("utf-8", "replace")
-        if b"<|" not in line:
+        if b"<|" not in line and b"\xcc" not in line and b"\xcd" not in line:
             line = _SIGNS.sub(rb" \1", line.lower())
         return b"".join(map(self.__getitem__, line.split())) + b"\0\0\0\0"
 

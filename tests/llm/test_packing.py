@@ -56,6 +56,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert packing.pack(no_docs, catalog.TOKENIZER).count() == 0
 
 
+@pytest.mark.parametrize("text", [f"{a}{m} and {w}{a}{m}!" for a, m in zip("HTWYJT", "\u0331\u0308\u030a\u030a\u030c\u0344") for w in ("", "Wo")] + ["H\u1dc4\u0331 X."])
+def test_capitals_with_combining_marks(text):
+    ids = packing.WordIds(catalog.TOKENIZER).encode(text)
+    expected = Tokenizer.from_file(catalog.TOKENIZER).encode(text, add_special_tokens=False).ids + [0]
+    assert np.frombuffer(ids, "<u4").tolist() == expected
+
+
 def test_word_ids_equal_those_of_the_whole_text(monkeypatch):
     monkeypatch.setattr(packing, "_CACHED_WORDS", 50)
     words = packing.WordIds(catalog.TOKENIZER)
