@@ -120,28 +120,51 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     link like others; equal texts share a fingerprint.  Rows without doc_id are kept; they take part in
     links, but only ids name a component, so it is null if none of its rows has one.
     """
-    rows = keep(docs.select("doc_id", fingerprints(F.col("text")).alias("fp")))
+    return _grouped(docs).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, *more: Column) -> DataFrame:
+    """``near_duplicates`` with component, a fingerprint that names the group (an id may be the least of several), and ``more``."""
+    rows = keep(docs.select("doc_id", fingerprints(F.col("text")).alias("fp"), *more))
     prints = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     groups = fingerprint_components(prints.select("fp"))
     grouped = prints.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     grouped = keep(grouped)
     least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     least = least.select(regrouped(F.col("component")).alias("k"), "component_id")
-    named = grouped.withColumn("k", regrouped(F.col("component"))).join(least, "k").select("fp", "component_id")
-    named = named.select(regrouped(F.col("fp")).alias("k"), "component_id")
-    return rows.withColumn("k", regrouped(F.col("fp"))).join(named, "k").select("doc_id", "fp", "component_id")
+    named = grouped.withColumn("k", regrouped(F.col("component"))).join(least, "k").select("fp", "component", "component_id")
+    named = named.select(regrouped(F.col("fp")).alias("k"), "component", "component_id")
+    return rows.withColumn("k", regrouped(F.col("fp"))).join(named, "k").drop("k")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: that with the least doc_id.
 
     Of repeated rows of that id any one is kept.  Rows without doc_id go if an id is in their group, else one
-    is kept for each fingerprint.
+    is kept for each fingerprint.  ``one_row_of_each_group`` judges the texts of a repeated id apart.
     """
     found = keep(near_duplicates(docs))
     first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
     named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return named.unionByName(_nameless(docs, found))
+
+
+def one_row_of_each_group(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: one with the group's least doc_id.
+
+    Rows of one id whose texts lie in different groups are judged apart, so an id may stay with several texts.
+    Rows without doc_id go if an id is in their group, else one is kept for each fingerprint.
+    """
+    text_key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key")
+    found = keep(_grouped(docs, text_key))
+    first = found.where(F.col("doc_id") == F.col("component_id")).groupBy("component").agg(F.min(F.struct("doc_id", "_key")).alias("row"))
+    named = docs.withColumn("_key", text_key).join(first.select("row.*"), ["doc_id", "_key"], "left_semi")
+    named = named.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    return named.unionByName(_nameless(docs, found))
+
+
+def _nameless(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row without doc_id for each fingerprint of the groups that have no id."""
     alone = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("_print"))
     nameless = docs.where(F.col("doc_id").isNull()).withColumn("_print", fingerprints(F.col("text")))
-    nameless = nameless.join(alone, "_print", "left_semi").dropDuplicates(["_print"]).select(*docs.columns)
-    return named.unionByName(nameless)
+    return nameless.join(alone, "_print", "left_semi").dropDuplicates(["_print"]).select(*docs.columns)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from msgrisk.llm import catalog, embeddings, simhash
 from msgrisk.llm.components import connected_components
 from tests.llm.conftest import LONG, ODD_ROWS, documents
@@ -183,3 +184,11 @@ def test_quantisation_bound_holds(size):
     cosine = (a @ b.T) / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
     found = [(int(i), int(j)) for x, y in embeddings.close_pairs(a, b, 0.93) for i, j in zip(x, y)]
     assert sorted(found) == sorted(map(tuple, np.argwhere(cosine >= 0.93).tolist()))
+
+
+def test_texts_of_a_repeated_id_are_judged_apart(spark, sf_dir):
+    rng = random.Random(3)
+    a, b, c = (" ".join(f"w{rng.getrandbits(40)}" for _ in range(50)) for _ in range(3))
+    kept = corpus_pipeline.one_of_near_duplicates(spark, documents(spark, [(1, a), (1, b), (1, b), (2, b), (3, c), (2, c), (2, None), (2, "")]), sf_dir)
+    rows = sorted((r.doc_id, r.text or "") for r in kept.collect())
+    assert rows == sorted([(1, a), (1, b), (2, c), (2, "")])
