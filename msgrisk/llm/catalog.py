@@ -7,12 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from msgrisk.llm import decontaminate, embeddings, language, packing, pii, quality, secret_scan, simhash, toxicity, warc
+from msgrisk.llm import (
+    centroids, decontaminate, embeddings, language, lexical_search, packing, pii, quality, secret_scan, simhash, token_counts, toxicity, warc,
+)
 from msgrisk.llm.shared import fold, prepare, scratch
 from msgrisk.llm.sql import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]):
@@ -107,3 +110,18 @@ def op10_language(spark, sf_dir):
     model = language.learn(docs, ~held_out(4, 2))
     rows = language.identified(docs.select("doc_id", "text"), model)
     return rows.select("doc_id", held_out(4, 2).alias("held_out"), "language.lang_pred", "language.score")
+
+
+@query
+def op11_centroid_clusters(spark, sf_dir):
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), BYTE_TOKENIZER)
+
+
+@query
+def op13_lexical_search(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -72,9 +72,47 @@ VECTORS = """WITH RECURSIVE
     SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(m, vec_id) AS component_id, coalesce(m, vec_id) = vec_id AS kept
     FROM embeddings LEFT JOIN least_of l ON l.a = vec_id LEFT JOIN degrees d ON d.a = vec_id"""
 
+# ------------------------------------------------------------------- centroids
+def _round(i: int) -> str:
+    """Nearest centroid of each vector, ties by number, and the centroids moved to the floor of the mean."""
+    gap = "list_sum(list_transform(range(1, 65), lambda j: (k.v[j] - c.v[j]) * (k.v[j] - c.v[j])))::BIGINT"
+    return f"""near{i} AS MATERIALIZED (SELECT r, vec_id, v, m.gap AS gap, m.c AS c FROM (
+        SELECT k.r, any_value(k.vec_id) AS vec_id, any_value(k.v) AS v, min({{'gap': {gap}, 'c': c.c}}) AS m FROM kept k, cent{i} c GROUP BY k.r)),
+      sums{i} AS (SELECT c, j, sum(v[j])::HUGEINT AS s, count(*) AS n FROM near{i}, range(1, 65) t(j) GROUP BY c, j),
+      cent{i + 1} AS MATERIALIZED (SELECT c, coalesce(any_value(moved), any_value(old.v)) AS v FROM cent{i} old
+        LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS moved FROM sums{i} GROUP BY c) USING (c) GROUP BY c),"""
+
+
+CENTROIDS = f"""WITH
+    kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    cent0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM kept ORDER BY h LIMIT 16)),
+    {_round(0)} {_round(1)} {_round(2)} {_round(3)}
+    whole AS (SELECT sum(gap)::BIGINT AS inertia FROM near3),
+    own AS (SELECT c, sum(gap)::BIGINT AS cluster_inertia FROM near3 GROUP BY c)
+    SELECT vec_id, n.c::INT AS cluster, gap AS distance, cluster_inertia, inertia, sha256(array_to_string(f.v, ',')) AS centroid_sha256
+    FROM near3 n JOIN own USING (c) JOIN cent3 f USING (c), whole"""
+
+# ---------------------------------------------------------------------- search
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SEARCH = f"""WITH
+    docs AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, {_TERMS} AS w FROM documents),
+    sizes AS (SELECT d, doc_id, len(w)::BIGINT AS n FROM docs WHERE len(w) > 0),
+    corpus AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM sizes),
+    postings AS MATERIALIZED (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(w) AS term FROM docs) GROUP BY d, term),
+    df AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+    items AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+    parts AS (SELECT item_id, d, doc_id, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df.df + 1)::DOUBLE))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))) AS part
+      FROM items JOIN postings USING (term) JOIN df USING (term) JOIN sizes USING (d), corpus),
+    scored AS (SELECT item_id, d, doc_id, sum(part)::BIGINT AS score FROM parts GROUP BY ALL HAVING sum(part) > 0),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored)
+    SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
 ORACLES = {
     "op5_secret_scan": secret_spans(),
     "op6_warc_pages": PAGES,
     "op7_benchmark_decontamination": DECONTAMINATION,
     "op8_embedding_near_duplicates": VECTORS,
+    "op11_centroid_clusters": CENTROIDS,
+    "op13_lexical_search": SEARCH,
 }
