@@ -6,94 +6,100 @@ distinct hosts and the result (the host profile) is joined back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from msgrisk import fixed_values as fv
 from msgrisk.functions import domains as dom
 from msgrisk.functions.text import bind, flag
 from msgrisk.functions.urls import is_ip_host, labels_of, last_label
-from msgrisk.registry import Registry, best_term
+from msgrisk.operators import names
+from msgrisk.registry import Registry, constant_table
 
 
-def explode_suffixes(df: DataFrame, host: str = "host") -> DataFrame:
-    """One row per (host, suffix); ``cut`` counts the labels left out."""
-    parts = F.split(host, r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(0), F.size(parts) - 1),
-        lambda i: F.array_join(F.slice(parts, i + 1, F.size(parts)), "."),
-    )
-    return df.select("*", F.posexplode(suffixes).alias("cut", "suffix"))
-
-
-def trust_and_verified(hosts: DataFrame, registry: Registry) -> DataFrame:
-    """Add to distinct hosts the trust record (``trust``, longest suffix wins) and the
-    brands each is verified for (``verified``, in registry order).
+_PIECE = "array<struct<kind:string,key:string,cut:int,suffix:boolean,label:string>>"
 
-    Suffix matching is an equality join on the exploded suffixes, never a scan of
-    the registry per host.  The suffixes of a host sit in one task, so grouping
-    them again combines to one row per host before anything is shuffled; other
-    columns of ``hosts`` ride along instead of being joined back.
-    """
-    spark = hosts.sparkSession
-    others = [F.max(c).alias(c) for c in hosts.columns if c != "host"]
-    trust = registry.trust_table(spark).select(
-        F.col("domain").alias("suffix"),
-        F.struct("brand", "trust_type", "strong").alias("_trust"),
-    )
-    verified = registry.verified_table(spark).select(
-        F.col("domain").alias("suffix"), F.col("brands").alias("_brands")
-    )
-    pieces = explode_suffixes(hosts)
-    # the trust lookup drops a leading www label, the brand lookup keeps it
-    www = (F.col("cut") == 0) & F.startswith("host", F.lit("www."))
-    matched = (
-        pieces.join(trust, "suffix", "left")
-        .join(verified, "suffix", "left")
-        .withColumn("_trust", F.when(~www, F.col("_trust")))
-    )
-    return matched.groupBy("host").agg(
-        *others,
-        F.min_by("_trust", F.when(F.col("_trust").isNotNull(), F.col("cut"))).alias("trust"),
-        F.array_sort(F.flatten(F.collect_list("_brands"))).alias("verified"),
-    )
 
+def _label_runs(parts: Column, least: int, most: int) -> Column:
+    """Runs of ``least`` to ``most`` labels; ``cut`` counts the labels before one, ``suffix`` tells that none follows."""
+    n = F.size(parts)
 
-def nearest_term(key: Column):
-    """Pick the term with the smallest edit distance; registry order breaks ties."""
-
-    def pick(terms: Column) -> Column:
-        return bind(
-            key,
-            lambda value: F.array_min(
-                F.transform(
-                    terms,
-                    lambda t: F.struct(
-                        F.levenshtein(value, t["term"]).alias("distance"),
-                        t["position"].alias("position"),
-                        t["brand"].alias("brand"),
-                    ),
-                )
+    def from_place(i: Column) -> Column:
+        lengths = F.filter(F.sequence(F.lit(least), F.lit(most)), lambda k: i + k <= n)
+        return F.transform(
+            lengths,
+            lambda k: F.struct(
+                F.lit("name").alias("kind"), F.array_join(F.slice(parts, i + 1, k), ".").alias("key"), i.alias("cut"),
+                (i + k == n).alias("suffix"), F.lit("").alias("label"),
             ),
         )
 
-    return pick
+    return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), from_place))
 
 
-def first_match(value: Column, condition):
-    """Pick the first term in registry order for which ``condition(value, term)`` holds."""
+def _label_grams(host: Column) -> Column:
+    """The character runs of the labels in which a brand label may be embedded: all but the last two."""
+    parts = labels_of(host)
+    candidates = F.when(F.size(parts) > 2, F.slice(parts, 1, F.size(parts) - 2)).otherwise(F.slice(parts, 1, 1))
 
-    def pick(terms: Column) -> Column:
-        return bind(
-            value,
-            lambda bound: F.array_min(
-                F.transform(
-                    F.filter(terms, lambda t: condition(bound, t["term"])),
-                    lambda t: F.struct(t["position"].alias("position"), t["brand"].alias("brand")),
-                )
-            ),
+    def of_label(label: Column) -> Column:
+        return F.transform(
+            names.grams_of(label),
+            lambda g: F.struct(F.lit("gram").alias("kind"), g.alias("key"), F.lit(0).alias("cut"), F.lit(False).alias("suffix"), label.alias("label")),
         )
 
-    return pick
+    return F.flatten(F.transform(F.array_distinct(candidates), of_label))
+
+
+def host_index(spark: SparkSession, registry: Registry) -> DataFrame:
+    """(kind, key, trust, brands, terms): the registry by its domains, and by the rarest character run of its longer labels."""
+    rows = [
+        ("name", domain, None if domain not in registry.trust else (*registry.trust[domain], registry.trust[domain][1] in fv.STRONG_TRUST_TYPES),
+         [(t.position, t.brand) for t in registry.by_domain().get(domain, [])], [])
+        for domain in dict.fromkeys([*registry.trust, *registry.by_domain()])
+    ]
+    rows += [("gram", gram, None, [], [(t.position, t.brand, t.term) for t in terms]) for gram, terms in names.rarest_grams(registry.labels).items()]
+    return constant_table(
+        spark, rows, "kind string, key string, trust struct<brand:string,trust_type:string,strong:boolean>, "
+        "brands array<struct<position:int,brand:string>>, terms array<struct<position:int,brand:string,term:string>>",
+    )
+
+
+def trust_and_verified(hosts: DataFrame, registry: Registry, hidden: bool = True) -> DataFrame:
+    """Add to distinct hosts the trust record (``trust``, longest suffix wins), the brands each is verified for
+    (``verified``, in registry order) and, if ``hidden``, the first brand with a verified domain inside the host
+    (``inner``) and the first with its label inside one of the host's labels (``embedded``), as struct(position, brand).
+
+    All four are one equality join: of the host's label runs with the registry's domains, and of the character
+    runs of its labels with the rarest run of each brand label, where the match is verified.  The pieces of a host
+    sit in one task, so grouping them again combines to one row per host before anything is shuffled; other
+    columns of ``hosts`` ride along instead of being joined back.
+    """
+    others = [F.max(c).alias(c) for c in hosts.columns if c != "host"]
+    sizes = [domain.count(".") + 1 for domain in [*registry.trust, *registry.by_domain()]]
+    runs = bind(F.split("host", r"\."), lambda parts: _label_runs(parts, min(sizes), max(sizes)))
+    if hidden:
+        pieces = F.concat(runs.cast(_PIECE), _label_grams(F.col("host")).cast(_PIECE))
+    else:
+        pieces = F.filter(runs, lambda p: p["suffix"])
+    # the registry is bounded in rows and bytes where it is read
+    index = F.broadcast(host_index(hosts.sparkSession, registry))
+    rows = hosts.select("*", F.explode_outer(pieces).alias("piece")).select(*hosts.columns, "piece.*")
+    matched = rows.join(index, ["kind", "key"], "left")
+    # the trust lookup drops a leading www label, the brand lookup keeps it
+    www = (F.col("cut") == 0) & F.startswith("host", F.lit("www."))
+    found = [
+        *others,
+        F.min_by("trust", F.when(F.col("suffix") & ~www & F.col("trust").isNotNull(), F.col("cut"))).alias("trust"),
+        F.array_sort(F.flatten(F.collect_list(F.when(F.col("suffix"), F.col("brands"))))).alias("verified"),
+    ]
+    if hidden:
+        inside = F.filter("terms", lambda t: F.contains("label", t["term"]) & (F.col("label") != t["term"]))
+        first = F.array_min(F.transform(inside, lambda t: F.struct(t["position"].alias("position"), t["brand"].alias("brand"))))
+        found += [
+            F.min(F.when((F.col("kind") == "name") & ~F.col("suffix"), F.array_min("brands"))).alias("inner"),
+            F.min(F.when(F.col("kind") == "gram", first)).alias("embedded"),
+        ]
+    return matched.groupBy("host").agg(*found)
 
 
 def compact_label(host: Column) -> Column:
@@ -105,14 +111,14 @@ def root_label(host: Column) -> Column:
     return F.coalesce(F.get(labels_of(host), F.lit(0)), F.lit(""))
 
 
-def add_nearest_brand(hosts: DataFrame, registry: Registry, wanted: Column | None = None) -> DataFrame:
-    """``near_distance`` (share of the label length) and ``near_brand``."""
+def add_nearest_brand(hosts: DataFrame, registry: Registry, wanted: Column | None = None, source: DataFrame | None = None) -> DataFrame:
+    """``near_distance`` (share of the label length) and ``near_brand`` of the ``wanted`` hosts.
+
+    ``source`` may give the same hosts in a shorter way than ``hosts`` does."""
     label = compact_label(F.col("host"))
-    pick = nearest_term(label)
-    if wanted is not None:
-        inner = pick
-        pick = lambda terms: F.when(wanted, inner(terms))
-    found = best_term(hosts, registry.aliases, "_near", pick)
+    sought = label if wanted is None else F.when(wanted, label)
+    texts = None if source is None else source.select(sought.alias("text"))
+    found = names.add_nearest(hosts, "_near", sought, registry.aliases, texts)
     share = F.round(F.col("_near")["distance"] / F.greatest(F.length(label), F.lit(1)), 4)
     nameless = F.col("host") == ""      # no name, no neighbour: distance 1, no brand
     return found.withColumns(
@@ -136,41 +142,24 @@ def add_unicode_facts(hosts: DataFrame) -> DataFrame:
     ).drop("_facts")
 
 
-def add_nearest_label(hosts: DataFrame, registry: Registry) -> DataFrame:
+def add_nearest_label(hosts: DataFrame, registry: Registry, source: DataFrame | None = None) -> DataFrame:
     """``label_distance`` and ``label_brand``: verified label nearest to the skeleton."""
-    found = best_term(hosts, registry.labels, "_label", nearest_term(F.col("skeleton")))
+    texts = None if source is None else add_unicode_facts(source.select("host")).select(F.col("skeleton").alias("text"))
+    found = names.add_nearest(hosts, "_label", F.col("skeleton"), registry.labels, texts)
     return found.withColumns(
         {"label_distance": F.col("_label")["distance"], "label_brand": F.col("_label")["brand"]}
     ).drop("_label")
 
 
-def add_hidden_brands(hosts: DataFrame, registry: Registry) -> DataFrame:
-    """``subdomain_brand`` and ``embedded_brand`` of untrusted hosts (needs ``trust``)."""
-    host, untrusted = F.col("host"), F.col("trust").isNull()
-
-    def as_subdomain(dotted: Column, term: Column) -> Column:
-        return F.contains(dotted, F.concat(F.lit("."), term, F.lit(".")))
-
-    parts = labels_of(host)
-    candidates = F.when(F.size(parts) > 2, F.slice(parts, 1, F.size(parts) - 2)).otherwise(
-        F.slice(parts, 1, 1)
-    )
-
-    def embedded(labels: Column, term: Column) -> Column:
-        return F.exists(labels, lambda part: F.contains(part, term) & (part != term))
-
-    long_labels = [t for t in registry.labels if len(t.term) >= 5]
-    sub = best_term(
-        hosts, registry.domains, "_sub",
-        lambda terms: F.when(untrusted, first_match(F.concat(F.lit("."), host), as_subdomain)(terms)),
-    )
-    both = best_term(
-        sub, long_labels, "_emb",
-        lambda terms: F.when(untrusted, first_match(candidates, embedded)(terms)),
+def add_hidden_brands(hosts: DataFrame) -> DataFrame:
+    """``subdomain_brand`` and ``embedded_brand`` of untrusted hosts (needs ``trust_and_verified``)."""
+    untrusted = F.col("trust").isNull()
+    return hosts.withColumns(
+        {
+            "subdomain_brand": F.when(untrusted, F.col("inner")["brand"]),
+            "embedded_brand": F.when(untrusted, F.col("embedded")["brand"]),
+        }
     )
-    return both.withColumns(
-        {"subdomain_brand": F.col("_sub")["brand"], "embedded_brand": F.col("_emb")["brand"]}
-    ).drop("_sub", "_emb")
 
 
 def lookalike_columns() -> dict[str, Column]:
@@ -214,12 +203,10 @@ def lookalike_columns() -> dict[str, Column]:
     }
 
 
-def add_lookalike(hosts: DataFrame, registry: Registry) -> DataFrame:
-    """Look-alike columns for distinct hosts that already carry trust and verified."""
-    found = add_unicode_facts(hosts)
-    found = add_nearest_label(found, registry)
-    found = add_hidden_brands(found, registry)
-    return found.withColumns(lookalike_columns())
+def add_lookalike(hosts: DataFrame, registry: Registry, source: DataFrame | None = None) -> DataFrame:
+    """Look-alike columns for distinct hosts that already carry what ``trust_and_verified`` adds."""
+    found = add_nearest_label(add_unicode_facts(hosts), registry, source)
+    return add_hidden_brands(found).withColumns(lookalike_columns())
 
 
 PROFILE_COLUMNS = [
@@ -240,7 +227,7 @@ def host_profile(hosts: DataFrame, registry: Registry) -> DataFrame:
     sender = F.col("is_sender") if "is_sender" in hosts.columns else F.lit(True)
     extra = [c for c in hosts.columns if c != "host"]
     looked_up = trust_and_verified(hosts, registry)
-    near = add_nearest_brand(add_lookalike(looked_up, registry), registry, wanted=sender)
+    near = add_nearest_brand(add_lookalike(looked_up, registry, hosts), registry, sender, hosts)
     best = near.withColumn("_best", F.when(sender, dom.best_random_label(F.col("host"))))
     infra = {
         name: F.when(sender, col)

@@ -6,23 +6,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from msgrisk import fixed_values as fv
 from msgrisk.functions import urls
-from msgrisk.operators.hosts import first_match, host_profile, membership_columns
-from msgrisk.registry import Registry, term_array
+from msgrisk.operators import names
+from msgrisk.operators.hosts import host_profile, membership_columns
+from msgrisk.registry import Registry
 from msgrisk.session import store
 
 
-def path_has_brand(path: Column, registry: Registry) -> Column:
-    """A verified domain occurs in the URL path.
-
-    One alternation over the domains; the paths are short, the registry bounded.
-    """
-    pattern = "|".join(t.term.replace(".", r"\.") for t in registry.domains)
-    return (path != "") & path.rlike(pattern)
-
-
 def path_brand(path: Column, registry: Registry) -> Column:
     """First brand in registry order with a verified domain in the URL path."""
-    return first_match(path, F.contains)(term_array(registry.domains))["brand"]
+    return F.get(names.first_names(registry.domains, F.when(F.contains(path, F.lit(".")), path)), F.lit(0))
 
 
 def url_path(href: Column) -> Column:
@@ -75,7 +67,7 @@ def host_references(df: DataFrame, registry: Registry, sender_host: Column | Non
         urls.entropy(href).alias("entropy"),
         urls.encoded_characters(href).alias("encoded"),
         (urls.percent_count(href) > 4).alias("heavy_encoding"),
-        path_has_brand(F.col("path"), registry).alias("path_hit"),
+        path_brand(F.col("path"), registry).isNotNull().alias("path_hit"),
         member["ip_host"].alias("ip_host"),
         member["blocklisted"].alias("blocklisted"),
         member["suspicious_tld"].alias("suspicious_tld"),

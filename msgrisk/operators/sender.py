@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from msgrisk import fixed_values as fv
 from msgrisk.functions import domains as dom
-from msgrisk.functions.text import bind, flag, text_or_empty
-from msgrisk.operators.hosts import first_match
-from msgrisk.registry import Registry, best_term, term_array
+from msgrisk.functions.text import flag, text_or_empty
+from msgrisk.operators import names
+from msgrisk.registry import Registry
 
 
 def reason_list(*pairs: tuple[Column, str]) -> Column:
@@ -29,30 +29,16 @@ def sender_host(domain: Column, sender: Column) -> Column:
     return dom.normalize_domain(F.when(text_or_empty(domain) != "", domain).otherwise(sender))
 
 
-def _mentioned(registry: Registry):
-    if registry.mention_mode == "word":
-        before, after = F.lit(r"(?<![\p{L}\p{N}])\Q"), F.lit(r"\E(?![\p{L}\p{N}])")
-        return lambda text, term: F.regexp_like(text, F.concat(before, term, after))
-    return F.contains
-
-
-def add_first_mention(df: DataFrame, text: Column, name: str, registry: Registry) -> DataFrame:
-    """Add ``name``: the first brand in registry order that the text mentions."""
-    found = best_term(
-        df, registry.aliases, name, first_match(F.lower(text), _mentioned(registry))
-    )
-    return found.withColumn(name, F.col(name)["brand"])
+def add_first_mentions(df: DataFrame, texts: dict[str, Column], registry: Registry) -> DataFrame:
+    """For each named text a column: the first brand in registry order that it mentions."""
+    whole = registry.mention_mode == "word"
+    found = df.withColumn("_found", names.first_names(registry.aliases, *(F.lower(t) for t in texts.values()), whole_words=whole))
+    return found.withColumns({name: F.get("_found", F.lit(i)) for i, name in enumerate(texts)}).drop("_found")
 
 
 def brand_mentions(text: Column, registry: Registry) -> Column:
     """All mentioned brands in registry order."""
-    condition = _mentioned(registry)
-
-    def found(lowered: Column) -> Column:
-        hits = F.filter(term_array(registry.aliases), lambda t: condition(lowered, t["term"]))
-        return F.array_distinct(F.transform(hits, lambda t: t["brand"]))
-
-    return bind(F.lower(text), found)
+    return names.all_names(registry.aliases, F.lower(text), registry.mention_mode == "word")
 
 
 def mention_text(name: Column, subject: Column, *more: Column) -> Column:

@@ -101,10 +101,8 @@ def message_features(masked: DataFrame, registry: Registry, model: Model) -> Dat
     featured = model.prepare(add_text_features(named)).drop("text", "body_text", "html")
     narrow = sender_ops.mention_text(F.col("display_name"), F.col("subject"))
     wide = sender_ops.mention_text(F.col("display_name"), F.col("subject"), F.col("normalized_domain"))
-    with_narrow = sender_ops.add_first_mention(featured, narrow, "mention", registry)
-    return sender_ops.add_first_mention(with_narrow, wide, "wide_mention", registry).drop(
-        "display_name", "subject", "sender_email", "links"
-    )
+    mentioned = sender_ops.add_first_mentions(featured, {"mention": narrow, "wide_mention": wide}, registry)
+    return mentioned.drop("display_name", "subject", "sender_email", "links")
 
 
 def reference_features(masked: DataFrame, registry: Registry) -> DataFrame:

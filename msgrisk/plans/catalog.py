@@ -266,7 +266,7 @@ def _trusted(spark, sf_dir):
 
 @query
 def trust_lookup(spark, sf_dir):
-    return _trusted(spark, sf_dir).select(
+    return hosts.trust_and_verified(distinct_hosts(spark, sf_dir), REG, hidden=False).select(
         "host", F.col("trust.brand").alias("trust_brand"), F.col("trust.trust_type").alias("trust_type"),
         F.coalesce(F.col("trust.strong"), F.lit(False)).alias("strong_sender"),
     )
@@ -274,7 +274,7 @@ def trust_lookup(spark, sf_dir):
 
 @query
 def verified_brand(spark, sf_dir):
-    return _trusted(spark, sf_dir).select(
+    return hosts.trust_and_verified(distinct_hosts(spark, sf_dir), REG, hidden=False).select(
         "host", F.get("verified", F.lit(0))["brand"].alias("verified_brand"),
         F.size(F.array_distinct("verified.brand")).cast("long").alias("n_brands"),
     )
@@ -299,13 +299,13 @@ def nearest_label(spark, sf_dir):
 
 @query
 def brand_in_subdomain(spark, sf_dir):
-    rows = hosts.add_hidden_brands(_trusted(spark, sf_dir), REG)
+    rows = hosts.add_hidden_brands(_trusted(spark, sf_dir))
     return rows.filter(F.col("subdomain_brand").isNotNull()).select("host", "subdomain_brand")
 
 
 @query
 def embedded_brand(spark, sf_dir):
-    rows = hosts.add_hidden_brands(_trusted(spark, sf_dir), REG)
+    rows = hosts.add_hidden_brands(_trusted(spark, sf_dir))
     return rows.filter(F.col("embedded_brand").isNotNull()).select("host", "embedded_brand")
 
 
@@ -652,6 +652,18 @@ def cooldown(spark, sf_dir):
     return ledger.cooldown(demo.requests(spark, sf_dir), "client", "ts", "event_id", 7200).select("event_id", "accepted")
 
 
+def _payloads(events: DataFrame) -> DataFrame:
+    """Checks of a client, with a payload hash that often repeats."""
+    payload = F.when(F.col("event_type") != "error", F.md5("event_type"))
+    return events.select(F.col("user_id").cast("string").alias("client"), F.col("ts").cast("timestamp").alias("ts"), "event_id", payload.alias("payload"))
+
+
+@query
+def cooldown_hash(spark, sf_dir):
+    rows = _payloads(demo.table(spark, sf_dir, "events"))
+    return ledger.cooldown(rows, "client", "ts", "event_id", 7200, "payload").select("event_id", "accepted")
+
+
 @query
 def fresh_entries(spark, sf_dir):
     rows = ledger.fresh_entries(demo.risk_events(spark, sf_dir), "2024-01-30 12:00:00", 86400)
@@ -844,6 +856,25 @@ def stream_cooldown(spark, sf_dir):
     return _marked(spark, jobs.cooldown_stream(_event_stream(spark, sf_dir), "user_id", "ts", "event_id", 7200, 14400), "accepted")
 
 
+@query
+def stream_cooldown_hash(spark, sf_dir):
+    rows = _payloads(_event_stream(spark, sf_dir))
+    return _marked(spark, jobs.cooldown_stream(rows, "client", "ts", "event_id", 7200, 40 * 86400, payload="payload"), "accepted")
+
+
+@query
+def stream_late(spark, sf_dir):
+    """Events that arrive type by type: each type's own batch comes after whole other ones."""
+    work = _work(spark)
+    events = demo.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
+    kinds = [r["event_type"] for r in events.select("event_type").distinct().orderBy("event_type").collect()]      # a handful
+    for kind in kinds:
+        events.where(F.col("event_type") == kind).coalesce(1).write.mode("append").parquet(f"{work}/arriving")
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/arriving")
+    jobs.late_stream(arriving, f"{work}/out", f"{work}/progress", "10 days").awaitTermination()
+    return jobs.read_late(spark, f"{work}/out").select("event_id", F.date_format("watermark", "yyyy-MM-dd HH:mm:ss.SSS").alias("watermark"))
+
+
 @query
 def stream_ttl(spark, sf_dir):
     rows = _marked(spark, jobs.ttl_stream(_event_stream(spark, sf_dir), "user_id", "ts", "event_id", 21600), "accepted")
@@ -862,11 +893,12 @@ def stream_feedback(spark, sf_dir):
 @query
 def stream_dashboard(spark, sf_dir):
     work = _work(spark)
+    schema = demo.table(spark, sf_dir, "events").schema
+    feedback = demo.as_feedback(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    jobs.feedback_stream(feedback, f"{work}/feedback", f"{work}/progress/feedback", panels_path=f"{work}/panels").awaitTermination()
     arriving = demo.as_risk_events(_event_stream(spark, sf_dir))
-    tables.append_feedback(demo.feedback(spark, sf_dir), f"{work}/feedback")
-    places = [f"{work}/{name}" for name in ("events", "feedback", "out", "progress")]
-    jobs.dashboard_stream(arriving, *places, AS_OF, {"availableNow": True}).awaitTermination()
-    return jobs.latest_panels(spark, f"{work}/out")
+    jobs.dashboard_stream(arriving, f"{work}/events", f"{work}/panels", f"{work}/progress/events", {"availableNow": True}).awaitTermination()
+    return jobs.latest_panels(spark, f"{work}/panels", AS_OF)
 
 
 @query
@@ -885,4 +917,4 @@ def stream_assess(spark, sf_dir):
     arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
     envelopes = triage.triage(demo.as_messages(arriving))
     jobs.assess_stream(envelopes, f"{work}/out", f"{work}/progress", REG, key=demo.HMAC_KEY, valid_only=False).awaitTermination()
-    return spark.read.parquet(f"{work}/out").select("id", "sample_hash", "domain", "risk_score", "classification", "confidence", joined("reasons").alias("reasons"))
+    return tables.read_events(spark, f"{work}/out").select("id", "sample_hash", "domain", "risk_score", "classification", "confidence", joined("reasons").alias("reasons"))

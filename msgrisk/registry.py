@@ -1,30 +1,36 @@
 """Brand and domain-trust registry: the small reference tables of every lookup.
 
 The registry is a curated table of a few hundred to a few thousand rows.  It is
-read once on the driver under a hard row bound, because the matching operators
-ship it to every task: as small tables for the equality lookups, and as array
-constants for the nearest-name and substring searches, which have no equality
-key.  There is one plan for all sizes.
+read once on the driver under a hard bound of rows and bytes, because the
+matching operators ship it to every task: as small tables for the equality
+lookups (``operators.names`` makes its searches such lookups too), and as one
+automaton for names contained in texts.  There is one plan for all sizes.
 """
 
 from __future__ import annotations
 
 import csv
-import json
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from msgrisk import fixed_values as fv
 
 MOST_ROWS = 50_000         # a longer table is refused: it is read on the driver and shipped to every task
+MOST_BYTES = 16_000_000    # of its names
 SAMPLE = Path(__file__).parent / "data" / "registry.csv"
-TERMS_TYPE = "array<struct<term:string,position:int,brand:string>>"
 
 
-def _quote(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def constant_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of the driver's, sent as one Arrow table."""
+    kind = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(kind)
+    columns = [pa.array([r[i] for r in rows], arrow.field(i).type) for i in range(len(arrow))]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), kind)
 
 
 def _first_label(domain: str) -> str:
@@ -101,12 +107,14 @@ class Registry:
         """Build from a trust table (position, brand, domain, trust_type) and an optional
         seed table (position, brand, domain); ``position`` gives the registry order.
 
-        A table of more than ``most_rows`` rows is refused."""
+        A table of more than ``most_rows`` rows or MOST_BYTES of names is refused."""
 
         def rows(df: DataFrame) -> list:
             got = df.limit(most_rows + 1).collect()
             if len(got) > most_rows:
                 raise ValueError(f"registry table exceeds {most_rows} rows; it must be a curated list")
+            if sum(len(r["brand"]) + len(r["domain"]) for r in got) > MOST_BYTES:
+                raise ValueError(f"registry table exceeds {MOST_BYTES} bytes; it must be a curated list")
             return sorted(got, key=lambda r: r["position"])
 
         seeds: dict[str, list[str]] = {}
@@ -122,43 +130,17 @@ class Registry:
     # ---------------------------------------------------------------- as tables
     def trust_table(self, spark: SparkSession) -> DataFrame:
         """(domain, brand, trust_type, strong), one row per domain."""
-        rows = [
-            f"({_quote(domain)}, {_quote(brand)}, {_quote(kind)}, {kind in fv.STRONG_TRUST_TYPES})"
-            for domain, (brand, kind) in self.trust.items()
-        ]
-        return self._table(spark, rows, "domain, brand, trust_type, strong")
+        rows = [(domain, brand, kind, kind in fv.STRONG_TRUST_TYPES) for domain, (brand, kind) in self.trust.items()]
+        return constant_table(spark, rows, "domain string, brand string, trust_type string, strong boolean")
 
     def verified_table(self, spark: SparkSession) -> DataFrame:
         """(domain, brands), one row per domain, its brands in registry order."""
-        by_domain: dict[str, list[Term]] = {}
-        for term in self.domains:
-            by_domain.setdefault(term.term, []).append(term)
-        rows = [
-            f"({_quote(domain)}, array("
-            + ", ".join(f"named_struct('position', {t.position}, 'brand', {_quote(t.brand)})" for t in terms)
-            + "))"
-            for domain, terms in by_domain.items()
-        ]
-        return self._table(spark, rows, "domain, brands")
-
-    @staticmethod
-    def _table(spark: SparkSession, rows: list[str], columns: str) -> DataFrame:
-        """A constant table; the planner knows its size and picks the join."""
-        if not rows:
-            raise ValueError("the registry has no rows for this table")
-        return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t({columns})")
-
+        rows = [(domain, [(t.position, t.brand) for t in terms]) for domain, terms in self.by_domain().items()]
+        return constant_table(spark, rows, "domain string, brands array<struct<position:int,brand:string>>")
 
-def term_array(terms: list[Term]) -> Column:
-    """An array constant of (term, position, brand).
-
-    Written as JSON so that it is one node of the plan, which the optimizer folds
-    into a literal, instead of a node per term.
-    """
-    text = json.dumps([{"term": t.term, "position": t.position, "brand": t.brand} for t in terms])
-    return F.from_json(F.lit(text), TERMS_TYPE)
-
-
-def best_term(df: DataFrame, terms: list[Term], name: str, pick) -> DataFrame:
-    """Add column ``name``: the smallest struct ``pick(term array)`` yields over all terms."""
-    return df.withColumn(name, pick(term_array(terms)))
+    def by_domain(self) -> dict[str, list[Term]]:
+        """The terms of each verified domain, in registry order."""
+        found: dict[str, list[Term]] = {}
+        for term in self.domains:
+            found.setdefault(term.term, []).append(term)
+        return found
