@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from msgrisk.operators.feedback import new_feedback
 from msgrisk.schemas import split_valid, validate_feedback
+from msgrisk.sources.batches import BatchTable
 
 FEEDBACK_PARTS = 256
 
@@ -31,28 +32,30 @@ def write_events(assessed: DataFrame, path: str, mode: str = "append") -> None:
     event_rows(assessed).hint("rebalance", "event_date").write.mode(mode).partitionBy("event_date").parquet(path)
 
 
-def write_event_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Write the event rows of one stream batch into its own folder of each day.
+def event_batches(spark: SparkSession, path: str) -> BatchTable:
+    return BatchTable(spark, path, ("event_date",))
+
 
-    A batch that is repeated replaces those folders, so no row is stored twice."""
-    marked = rows.withColumn("batch", F.lit(batch_id)).hint("rebalance", "event_date")
-    writer = marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("event_date", "batch").parquet(path)
+def write_event_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Add the event rows of one stream batch, by day; one that is repeated adds none."""
+    event_batches(rows.sparkSession, path).append(rows, batch_id)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The event table, written by batches of a stream or as a whole."""
+    batches = event_batches(spark, path)
+    return batches.read() if batches.exists() else spark.read.parquet(path)
 
 
 def _part(sample_hash: str = "sample_hash"):
     return F.pmod(F.xxhash64(sample_hash), F.lit(FEEDBACK_PARTS)).cast("int")
 
 
-def append_feedback(incoming: DataFrame, path: str) -> None:
-    """Append first feedback per key that is not stored yet (single writer).
+def unstored_feedback(incoming: DataFrame, path: str) -> DataFrame:
+    """First feedback per key that is not stored yet, with its folder ``part``.
 
     The table is cut into folders by a hash of the key; only the folders that the incoming keys fall into
-    are read.  Rows that break a rule are not stored; ``schemas.validate_feedback`` names the rules.
+    are read.  Rows that break a rule are left out; ``schemas.validate_feedback`` names the rules.
     """
     spark = incoming.sparkSession
     incoming, _ = split_valid(validate_feedback(incoming))
@@ -64,9 +67,17 @@ def append_feedback(incoming: DataFrame, path: str) -> None:
             raise
         stored = incoming.select("sample_hash", "user_feedback", "part").limit(0)
     touched = [r["part"] for r in incoming.select("part").distinct().collect()]      # FEEDBACK_PARTS at most
-    rows = new_feedback(incoming, stored.where(F.col("part").isin(touched)))
+    return new_feedback(incoming, stored.where(F.col("part").isin(touched)))
+
+
+def store_feedback(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("part").parquet(path)
 
 
+def append_feedback(incoming: DataFrame, path: str) -> None:
+    """Append first feedback per key that is not stored yet (single writer)."""
+    store_feedback(unstored_feedback(incoming, path), path)
+
+
 def write_siem(rows: DataFrame, path: str, mode: str = "append") -> None:
     rows.write.mode(mode).json(path)

@@ -626,6 +626,20 @@ def accepted(window_ms: int, test: str) -> str:
         FROM fold f JOIN ordered o ON o.user_id = f.user_id AND o.rn = f.rn + 1)"""
 
 
+def accepted_payload(window_ms: int) -> str:
+    """The same fold, which keeps the payload of the last accepted event as well."""
+    ok = f"o.t - f.last_t >= {window_ms} AND (o.payload IS NULL OR f.payload IS NULL OR o.payload <> f.payload)"
+    return f"""WITH RECURSIVE ordered AS (
+        SELECT user_id, event_id, epoch_ms(ts) AS t, CASE WHEN event_type <> 'error' THEN event_type END AS payload,
+          row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS rn FROM events),
+      fold AS (
+        SELECT user_id, event_id, rn, t AS last_t, payload, true AS accepted FROM ordered WHERE rn = 1
+        UNION ALL
+        SELECT o.user_id, o.event_id, o.rn, CASE WHEN {ok} THEN o.t ELSE f.last_t END, CASE WHEN {ok} THEN o.payload ELSE f.payload END, {ok}
+        FROM fold f JOIN ordered o ON o.user_id = f.user_id AND o.rn = f.rn + 1)
+      SELECT event_id, accepted FROM fold"""
+
+
 def _report() -> str:
     def measures(hit, wrong, missed):
         p = f"(CASE WHEN {hit} + {wrong} > 0 THEN {hit}::DOUBLE / ({hit} + {wrong}) ELSE 0 END)"
@@ -828,6 +842,12 @@ def statements() -> dict[str, str]:
         # streaming: the final state equals the batch result
         "stream_rate": rates,
         "stream_dedup": accepted(3600000, ">") + " SELECT event_id, user_id FROM fold WHERE accepted",
+        "cooldown_hash": accepted_payload(7200000),
+        "stream_cooldown_hash": accepted_payload(7200000),
+        "stream_late": """WITH marks AS (SELECT event_type, lag(newest) OVER (ORDER BY event_type) - INTERVAL 10 DAY AS mark FROM (
+              SELECT event_type, max(max(ts)) OVER (ORDER BY event_type) AS newest FROM events GROUP BY event_type))
+            SELECT event_id, strftime(mark, '%Y-%m-%d %H:%M:%S.%g') AS watermark FROM events JOIN marks USING (event_type)
+            WHERE time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE <= mark""",
         "stream_cooldown": accepted(7200000, ">=") + " SELECT event_id, accepted FROM fold",
         "stream_ttl": accepted(21600000, ">") + " SELECT event_id, NOT accepted AS is_hit FROM fold",
         "stream_feedback": f"WITH {FEEDBACK}, {FIRST_FEEDBACK} SELECT sample_hash, user_feedback, feedback_id, 'pending' AS review_status FROM first_ones",

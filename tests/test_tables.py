@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 import check
 import oracles
 from msgrisk import Registry
-from msgrisk.operators import analytics, learning, ledger, links
+from msgrisk.operators import analytics, learning, ledger, links, panels
 from msgrisk.plans import catalog, demo, training
 from msgrisk.plans.assess import FunctionModel, assess
 from msgrisk import session
 from msgrisk.session import checkpoint_root
 from msgrisk.sources import messages as source, tables
+from msgrisk.sources.batches import BatchTable
 from msgrisk.streaming import jobs
 
 
@@ -44,6 +45,51 @@ def test_ledger_equals_a_sequential_fold_with_one_busy_key(spark, seconds, monke
     assert misses == fold(rows, seconds * 1000 + 1)
 
 
+def hash_fold(rows, wait):
+    last, accepted = {}, set()
+    for row_id, key, t, payload in sorted(rows, key=lambda r: (r[2], r[0])):
+        if key not in last or (t - last[key][0] >= wait and (payload is None or payload != last[key][1])):
+            last[key] = (t, payload)
+            accepted.add(row_id)
+    return accepted
+
+
+@pytest.mark.parametrize("fan, n_hashes", [(2, 0), (3, 1), (2, 2), (5, 6), (256, 2)])
+def test_composed_chunks_equal_a_fold_when_one_key_holds_all_rows(spark, monkeypatch, fan, n_hashes):
+    """Many chunks, composed over several levels; no part list is longer than ``fan``."""
+    monkeypatch.setattr(ledger, "MAX_CHUNK_MS", 4)
+    rng = random.Random(fan * 10 + n_hashes)
+    rows = []
+    for row_id in range(3000):
+        # bursts, gaps of many chunks, and several rows within a millisecond
+        t = rng.randrange(0, 40) * 40_000 + rng.choice([rng.randrange(0, 2000) * 5, rng.randrange(0, 20)])
+        key = "busy" if row_id % 10 else f"k{row_id % 7}"
+        payload = None if n_hashes == 0 or rng.random() < 0.05 else f"h{rng.randrange(n_hashes)}"
+        rows.append((row_id, key, t, payload))
+    df = spark.createDataFrame(rows, "id long, key string, t long, payload string").withColumn("ts", F.timestamp_millis("t"))
+    name = "payload" if n_hashes else None
+    got = {r["row_id"] for r in ledger.accepted_rows(df, "key", "ts", "id", 1, False, name, fan).collect()}
+    assert got == hash_fold([r if n_hashes else (*r[:3], None) for r in rows], 1000)
+
+
+def test_a_composed_summary_is_as_long_as_its_first_part():
+    rng = random.Random(1)
+    wait, width = 1000, 4000
+    times = sorted(rng.sample(range(0, 64 * width), 9000))
+    rows = pd.DataFrame({"key": "k", "t": times, "code": times})
+    rows["chunk"] = rows["t"] // width
+    parts = pd.concat(ledger._summarise(wait, width)([rows]))
+    whole = parts.assign(block=parts["chunk"] // 32, begins=parts["chunk"] * width)
+    sizes = parts.groupby("chunk").size()
+    composed = pd.concat(ledger._compose(wait, width)([whole])).groupby("chunk").size()
+    assert len(composed) == 2 and all(n <= sizes[32 * block] + 1 for block, n in composed.items())
+
+
+def test_empty_ledger(spark):
+    none = spark.createDataFrame([], "id long, key string, ts timestamp, payload string")
+    assert ledger.cooldown(none, "key", "ts", "id", 30, "payload").collect() == [] == ledger.ttl_cache(none, "key", "ts", "id").collect()
+
+
 def test_window_edges(spark):
     rows = [(1, "a", 0), (2, "a", 30_000), (3, "a", 59_999), (4, "a", 60_000)]
     df = spark.createDataFrame(rows, "id long, key string, t long").withColumn("ts", F.timestamp_millis("t"))
@@ -110,6 +156,86 @@ def test_repeated_batches_of_a_stream_store_no_row_twice(spark, sf_dir):
     assert tables.read_events(spark, path).count() == 2 * rows.count()
 
 
+def test_batches_are_merged_and_nothing_is_lost(spark):
+    """Folders grow in number with the logarithm of the batches; repeated batches add nothing."""
+    table = BatchTable(spark, f"{checkpoint_root(spark)}/batches-{uuid.uuid4().hex}", ("day",), fan=3)
+    assert not table.exists()
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    for i in range(14):
+        rows = spark.createDataFrame([(i, "a"), (100 + i, "b")], "x int, day string")
+        assert table.append(rows, i, {"newest": i}) and not table.append(rows, i)
+        assert sorted(r["x"] for r in table.read().collect()) == sorted([*range(i + 1), *range(100, 101 + i)])
+    listed = table.listed()
+    assert sorted(p["level"] for p in listed["parts"]) == [0, 0, 1, 2] and listed["notes"] == {"newest": 13} and listed["last_batch"] == 13
+    assert "PartitionFilters: [isnotnull(day" in table.read().where("day = 'a'")._jdf.queryExecution().toString()
+
+
+def test_a_reader_sees_whole_batches_only(spark, monkeypatch):
+    """A batch that breaks off before its commit isn't seen, and its repeat counts once; a reader keeps what it has begun to read."""
+    table = BatchTable(spark, f"{checkpoint_root(spark)}/batches-{uuid.uuid4().hex}", fan=2)
+    table.append(spark.range(5), 0)
+    reading = table.read()
+    monkeypatch.setattr(table, "_commit", lambda listed: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        table.append(spark.range(7), 1)
+    assert table.read().count() == 5
+    monkeypatch.undo()
+    table.append(spark.range(7), 1)         # merges both folders as well
+    assert table.read().count() == 12 and reading.count() == 5
+    other = BatchTable(spark, table.path, fan=2)
+    stale = table.listed()
+    other.append(spark.range(1), 2)
+    with pytest.raises(RuntimeError):
+        table._commit(stale)                # a second writer is found out
+
+
+def test_unused_folders_go_after_some_commits(spark):
+    path = f"{checkpoint_root(spark)}/batches-{uuid.uuid4().hex}"
+    table = BatchTable(spark, path, fan=2)
+    for i in range(24):
+        table.append(spark.range(i, i + 1), i)
+    folders = [d for d in os.listdir(path.removeprefix("file://")) if d.startswith("part=")]
+    assert table.read().count() == 24 and len(folders) < 24 + 8
+    assert len(os.listdir(f"{path.removeprefix('file://')}/_commits")) < 40
+
+
+def test_panels_of_batches_equal_panels_of_all(spark, sf_dir):
+    events, feedback = store_rows(demo.risk_events(spark, sf_dir)), demo.feedback(spark, sf_dir)
+    whole = panels.panels(panels.merged(panels.event_fold(events).unionByName(panels.feedback_fold(feedback))), "2024-01-31 00:00:00")
+    path = f"{checkpoint_root(spark)}/panels-{uuid.uuid4().hex}"
+    table = BatchTable(spark, path, reduce=panels.merged, fan=2)
+    for i in range(5):
+        table.append(panels.event_fold(events.where(F.col("id") % 5 == i)).unionByName(panels.feedback_fold(feedback.where(F.col("feedback_id") % 5 == i))), i)
+    split = panels.panels(table.read(), "2024-01-31 00:00:00")
+    assert sorted(map(str, whole.collect())) == sorted(map(str, split.collect()))
+    days = {r["item"]: r["n_events"] for r in whole.where("panel = 'trend'").collect()}
+    direct = analytics.daily_trend(events, "2024-01-31 00:00:00").collect()
+    assert days == {str(r["day"]): r["n_events"] for r in direct}
+
+
+def test_a_refresh_reads_no_old_event(spark, sf_dir, tmp_path, monkeypatch):
+    """The event and feedback tables are written, never read."""
+    def refused(*args, **more):
+        raise AssertionError("old events were read")
+
+    rows = demo.table(spark, sf_dir, "events")
+    for i in range(2):
+        rows.where(F.col("event_id") % 2 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    monkeypatch.setattr(tables, "read_events", refused)
+    monkeypatch.setattr(tables.BatchTable, "compact", lambda self: None)
+    arriving = demo.as_risk_events(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    jobs.dashboard_stream(arriving, str(tmp_path / "events"), str(tmp_path / "panels"), str(tmp_path / "progress"), {"availableNow": True}).awaitTermination()
+    shown = jobs.latest_panels(spark, str(tmp_path / "panels"), "2024-01-31 00:00:00")
+    assert sum(r["n_events"] for r in shown.where("panel = 'classes'").collect()) == rows.count()
+    assert len(tables.event_batches(spark, str(tmp_path / "events")).listed()["parts"]) == 2
+    assert jobs.latest_panels(spark, str(tmp_path / "none")).collect() == []
+
+
+def store_rows(df):
+    return session.store(df)
+
+
 def test_stored_tables_go_at_the_end(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "checkpoint_root", lambda spark: str(tmp_path))
     with session.stored_tables(spark):
@@ -120,6 +246,15 @@ def test_stored_tables_go_at_the_end(spark, tmp_path, monkeypatch):
     assert len(os.listdir(tmp_path)) == 1
 
 
+@pytest.mark.parametrize("seconds", [600, 21600])
+def test_hash_cooldown_of_several_batches(spark, sf_dir, arriving, tmp_path, seconds):
+    payload = F.md5((F.col("event_id") % 3).cast("string"))
+    rows = jobs.cooldown_stream(arriving().withColumn("payload", payload), "client", "ts", "event_id", seconds, 60 * 86400, payload="payload")
+    marks = collected(spark, rows, tmp_path, jobs.WindowProcessor.OUTPUT)
+    expected = ledger.cooldown(demo.requests(spark, sf_dir).withColumn("payload", payload), "client", "ts", "event_id", seconds, "payload")
+    assert {(r["row_id"], r["accepted"]) for r in marks.collect()} == {(r["event_id"], r["accepted"]) for r in expected.collect()}
+
+
 @pytest.fixture(scope="module")
 def arriving(spark, sf_dir, tmp_path_factory):
     """Events in four files by time, and the stream that reads one file a batch."""
@@ -170,6 +305,9 @@ def test_late_requests_are_left_out(spark, tmp_path):
     read = read.parquet(f"{tmp_path}/part-*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     (tmp_path / "jobs").mkdir()
     jobs.rate_stream(read, str(tmp_path / "jobs/out"), str(tmp_path / "jobs/progress"), 1).awaitTermination()
+    jobs.late_stream(read, str(tmp_path / "jobs/late"), str(tmp_path / "jobs/late_progress")).awaitTermination()
+    late = jobs.read_late(spark, str(tmp_path / "jobs/late")).collect()
+    assert [(r["event_id"], str(r["watermark"])) for r in late] == [(3, "2024-01-01 00:58:10")]
     found = jobs.read_rates(spark, str(tmp_path / "jobs/out")).collect()
     assert sorted((str(r["window_start"]), r["n_requests"]) for r in found) == [("2024-01-01 00:00:00", 1), ("2024-01-01 01:00:00", 3)]
 
