@@ -43,21 +43,21 @@ PAGES = f"""WITH rows AS (SELECT page_id, coalesce(html, '') AS html, sha1(coale
       CASE WHEN page_id <> first THEN first END AS refers_to FROM firsts"""
 
 # ------------------------------------------------------------------- benchmark
+# Every window of a document that shares a shingle with an item; fingerprints are no work for SQL.
 DECONTAMINATION = r"""WITH
     item_words AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
-    items AS (SELECT item_id, len(w) AS size, len(w) - 4 AS n, unnest(range(0, len(w) - 4)) AS off, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS gram
+    items AS (SELECT item_id, len(w) AS size, len(w) - 4 AS n, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS gram
       FROM item_words WHERE len(w) >= 5),
+    wanted AS (SELECT item_id, size, n, gram, count(*) AS m FROM items GROUP BY ALL),
     doc_words AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
     doc_grams AS (SELECT doc_id, len(w) AS n_words, unnest(range(0, len(w) - 4)) AS pos, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS gram
       FROM doc_words WHERE len(w) >= 5),
-    starts AS (SELECT DISTINCT doc_id, item_id, size, n, n_words, least(greatest(pos - off, 0), greatest(n_words - size, 0)) AS start FROM doc_grams JOIN items USING (gram)),
-    held AS (SELECT s.doc_id, s.item_id, s.start, gram, count(*) AS c FROM starts s JOIN doc_grams d ON d.doc_id = s.doc_id AND pos BETWEEN s.start AND s.start + s.size - 5 GROUP BY ALL),
-    wanted AS (SELECT item_id, gram, count(*) AS m FROM items GROUP BY ALL),
-    both_of AS (SELECT h.doc_id, h.item_id, h.start, sum(least(c, m)) AS common FROM held h JOIN wanted w ON w.item_id = h.item_id AND w.gram = h.gram GROUP BY ALL),
-    windows AS (SELECT doc_id, item_id, start, sum(c) AS n_win FROM held GROUP BY ALL),
-    scored AS (SELECT DISTINCT b.doc_id, b.item_id, b.start, least(s.size, s.n_words) AS size, s.size AS words, b.common / (n_win + n - b.common) AS similarity
-      FROM both_of b JOIN windows w ON w.doc_id = b.doc_id AND w.item_id = b.item_id AND w.start = b.start JOIN starts s ON s.doc_id = b.doc_id AND s.item_id = b.item_id AND s.start = b.start)
-    SELECT doc_id, item_id, start::INT AS start, words::INT AS words, round(similarity, 6) AS similarity FROM (
+    hits AS MATERIALIZED (SELECT doc_id, item_id, n_words, size, n, pos, gram, m, greatest(least(size, n_words) - 4, 1) AS n_win FROM doc_grams JOIN wanted USING (gram)),
+    covers AS (SELECT doc_id, item_id, n, n_win, gram, m, unnest(range(greatest(pos - n_win + 1, 0), least(pos, greatest(n_words - size, 0)) + 1)) AS start, size FROM hits),
+    held AS (SELECT doc_id, item_id, size, n, n_win, start, gram, m, count(*) AS c FROM covers GROUP BY ALL),
+    windows AS (SELECT doc_id, item_id, size, start, sum(least(c, m)) AS common, n, n_win FROM held GROUP BY ALL),
+    scored AS (SELECT doc_id, item_id, start, size, common / (n_win + n - common) AS similarity FROM windows)
+    SELECT doc_id, item_id, start::INT AS start, size::INT AS words, round(similarity, 6) AS similarity FROM (
       SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS place FROM scored WHERE similarity >= 0.8) WHERE place = 1"""
 
 # --------------------------------------------------------------------- vectors

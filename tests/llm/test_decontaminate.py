@@ -95,6 +95,62 @@ def test_balanced_repeated_words(spark):
     assert rows[(1, 1)].similarity == 0.888889
 
 
+def edited_documents(rng, items, n):
+    """Passages that are cut, shifted, edited, swapped in their halves, or repeat few words, among strange ones."""
+    docs = []
+    for i in range(n):
+        passage = items[i % len(items)][1].split()
+        size, kind = len(passage), i % 5
+        lost = max(1, round(size * rng.uniform(0.02, 0.1)))
+        if kind == 0:
+            passage = passage[lost:]
+        elif kind == 1:
+            passage = passage[:-lost]
+        elif kind == 2:
+            passage = passage[size // 2 :] + passage[: size // 2]
+        elif kind == 3:
+            for at in rng.sample(range(size), max(1, size // 50)):
+                passage[at] = f"y{rng.getrandbits(30)}"
+        else:
+            at = rng.randrange(size)
+            passage[at:at] = [f"z{rng.getrandbits(30)}" for _ in range(rng.randint(1, lost))]
+        strange = [[f"x{rng.getrandbits(30)}" for _ in range(rng.randint(0, 50))] for _ in range(2)]
+        docs.append((i, " ".join(strange[0] + passage + strange[1])))
+    return docs
+
+
+def test_all_windows_of_edited_passages(spark):
+    """Nothing is lost, and fingerprints alone find at least nine of ten of what repeats no shingle."""
+    rng = random.Random(9)
+    items = [(k, " ".join(f"w{rng.getrandbits(40)}" for _ in range(rng.randint(30, 120)))) for k in range(25)]
+    docs = edited_documents(rng, items, 400)
+    rows = found(spark, docs, items)
+    expected = pairs(docs, items)
+    assert set(rows) == expected and len(expected) > 250
+    assert any(i % 5 == 2 for i, _ in expected)
+    near = sum(r.distance is not None for r in rows.values())
+    assert near >= 0.95 * len(rows) and all(r.distance is None or r.distance <= decontaminate.RADIUS for r in rows.values())
+
+
+def test_swapped_halves(spark):
+    """The best window of a swapped passage lies between the places that line its halves up."""
+    rng = random.Random(10)
+    items = [(k, " ".join(f"w{rng.getrandbits(40)}" for _ in range(100))) for k in range(12)]
+    docs = [(k, " ".join((w := t.split())[8:] + w[:8])) for k, t in items] + [(50 + k, " ".join((w := t.split())[-7:] + w[:-7])) for k, t in items]
+    assert set(found(spark, docs, items)) == pairs(docs, items) == {(k + d, k) for k in range(12) for d in (0, 50)}
+
+
+def test_a_repeated_shingle_is_no_square_of_places(spark):
+    """Every place of the text counts once, and every window is scored."""
+    items = [(1, "ha " * 800), (2, "ha " * 30 + "ho " * 30)]
+    docs = [(1, "ha " * 4000), (2, "ho " * 10 + "ha " * 32 + "ho " * 28 + "ha " * 500), (3, "ha " * 700)]
+    rows = found(spark, docs, items)
+    assert set(rows) == pairs(docs, items)
+    stored = decontaminate.keep(decontaminate.benchmark_items(spark.createDataFrame(items, "item_id long, text string")))
+    kept = decontaminate._shared(documents(spark, docs), stored, 0.8)
+    assert all(len(r.hits) <= r.n_words for r in kept.collect())
+
+
 def test_odd_documents_and_items(spark):
     items = [(1, None), (2, ""), (3, "?!"), (4, "one two three"), (5, "ünïcödé 日本語 текст words and more words here"), (6, "a row without an id"),
              (7, "a row without an id"), (8, " ".join(["ha"] * 20)), (9, LONG), (10, "one")]
@@ -142,4 +198,12 @@ def test_blocks_give_all_pairs_within_the_radius(spark):
     pairs_found = decontaminate._close_pairs(
         spark.createDataFrame(signed, "win long, size int, fp long"), spark.createDataFrame(items, "item long, size int, fp long")
     )
-    assert set(map(tuple, pairs_found.collect())) == expected
+    assert {(r.win, r.item) for r in pairs_found.collect()} == expected
+
+
+def test_clashing_columns_stay(spark):
+    rows = [(1, "a b c d e f g", "k", 5, "f", 0.5), (2, "x y z", "k", 6, "f", 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, found int, found_key string, text_key double")
+    items = spark.createDataFrame([(1, "b c d e f g")], "item_id long, text string")
+    for kept in (decontaminate.clean_rows(docs, items), decontaminate.without_contaminated(docs, items)):
+        assert kept.schema == docs.schema and [tuple(r) for r in kept.collect()] == rows[1:]
