@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,10 +22,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from msgrisk.llm.shared import labelled_sample
 
 SAMPLE_PER_CLASS = 3000     # labelled rows of each class that a fit reads
-LEXICON = 2000              # entries kept at most, the heaviest first
-EXCEPTIONS = 2000
-SUPPORT = 4                 # different words that an entry must follow in toxic documents, so copies don't count,
-SUPPORT_SHARE = 0.01        # and this share of the number of toxic documents
+SUPPORT = 4                 # toxic texts that must hold an entry, copies counted once
+CHANCE = 1.0                # entries taken by chance at most, on average, if all were as common in clean texts
+COPY_WORDS = 50             # texts of so many words or more are copies of one another even with a few edits
 TELLING = 50                # toxic documents with an entry for one clean document with it
 THRESHOLD = 0.7
 
@@ -91,7 +91,10 @@ class Lexicon:
 
 def density(text: str | None, matcher: ahocorasick.Automaton | None) -> float:
     """Weight of all matches outside of exception phrases, for the root of the number of words."""
-    plain = folded(text)
+    return _density(folded(text), matcher)
+
+
+def _density(plain: str, matcher: ahocorasick.Automaton | None) -> float:
     if matcher is None or plain == " ":
         return 0.0
     found = [(end + back, weight) for end, (back, weight) in matcher.iter(plain)]
@@ -108,23 +111,48 @@ def _entries(plain: str) -> set[str]:
     return {e for word in set(plain.split()) for e in _beginnings(word)}
 
 
+def _origin(plain: str) -> int | str:
+    """The same for copies of a text, and for most copies of a longer one with a few edits: the least hash of its
+    runs of five words."""
+    words = plain.split()
+    if len(words) < COPY_WORDS:
+        return plain
+    return min(zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4)))
+
+
+def _by_chance(toxic: int, clean: int, share: float) -> float:
+    """A bound (Chernoff) on the chance that so many of the texts with an entry are toxic, if ``share`` of all are."""
+    n, p = toxic + clean, toxic / (toxic + clean)
+    if p <= share:
+        return 1.0
+    gain = p * math.log(p / share) + (0.0 if p == 1 else (1 - p) * math.log((1 - p) / (1 - share)))
+    return math.exp(-n * gain)
+
+
 def fit(texts: list[str], toxic: list[int]) -> Lexicon:
-    """The lexicon that labelled texts show; without texts of both classes every score is low."""
-    plains, marks = [folded(t) for t in texts], np.array(toxic, bool)
+    """The lexicon that labelled texts show; without texts of both classes every score is low.
+
+    Copies of toxic texts count once.  An entry is taken if enough of these hold it for chance to be ruled out,
+    whatever the number of texts or entries; none is left out for their number."""
+    rows: list[tuple[bool, str]] = []
+    known: set[int | str] = set()
+    for text, mark in zip(texts, toxic):
+        plain = folded(text)
+        if mark:
+            origin = _origin(plain)
+            if origin in known:
+                continue
+            known.add(origin)
+        rows.append((bool(mark), plain))
+    plains, marks = [plain for _, plain in rows], np.array([mark for mark, _ in rows], bool)
     n_toxic, n_clean = int(marks.sum()), int((~marks).sum())
     if not n_toxic or not n_clean:
         return Lexicon()
     held: Counter[str] = Counter()
-    places: set[tuple[str, str]] = set()
     for plain, mark in zip(plains, marks):
         if mark:
             held.update(_entries(plain))
-            words = plain.split()
-            places.update(zip(["", *words], words))
-    after: Counter[str] = Counter()
-    for _, word in places:
-        after.update(_beginnings(word))
-    held = Counter({e: n for e, n in held.items() if after[e] >= max(SUPPORT, SUPPORT_SHARE * n_toxic)})
+    held = Counter({e: n for e, n in held.items() if n >= SUPPORT})
     clean: Counter[str] = Counter()
     for plain, mark in zip(plains, marks):
         if not mark:
@@ -134,16 +162,19 @@ def fit(texts: list[str], toxic: list[int]) -> Lexicon:
     excused, outside = _exceptions(doubtful, plains, marks)
     clean.update({e: outside[e] - clean[e] for e in doubtful})
     odds = {e: math.log((n + 0.1) / (n_toxic + 0.2)) - math.log((clean[e] + 0.1) / (n_clean + 0.2)) for e, n in held.items()}
-    strong = {e: w for e, w in odds.items() if w > 2.5 and clean[e] * TELLING <= held[e]}
+    share, chance = n_toxic / (n_toxic + n_clean), CHANCE / max(1, len(held))
+    strong = {
+        e: w for e, w in odds.items()
+        if w > 2.5 and clean[e] * TELLING <= held[e] and _by_chance(held[e], clean[e], share) <= chance
+    }
     chosen: dict[str, float] = {}
     # the shortest beginning that is as telling stands for all words behind it
     for entry in sorted(strong, key=lambda e: (len(e), e)):
         if not any(entry[:n] in chosen for n in range(5, len(entry))):
             chosen[entry] = strong[entry]
-    heavy = dict(sorted(chosen.items(), key=lambda x: (-x[1] * held[x[0]], x[0]))[:LEXICON])
-    lexicon = Lexicon(heavy, {p: e for p, e in excused.items() if e in heavy})
+    lexicon = Lexicon(chosen, {p: e for p, e in excused.items() if e in chosen})
     matcher = lexicon.automaton()
-    lexicon.slope, lexicon.offset = _logistic(np.array([density(t, matcher) for t in texts]), marks)
+    lexicon.slope, lexicon.offset = _logistic(np.array([_density(p, matcher) for p in plains]), marks)
     return lexicon
 
 
@@ -164,7 +195,7 @@ def _exceptions(entries: set[str], plains: list[str], marks: np.ndarray) -> tupl
     for plain, mark in zip(plains, marks):
         seen[int(mark)].update({(p, entry) for entry, around in _phrases(plain, entries) for p in around})
     kept = [(n, p, e) for (p, e), n in seen[0].items() if n >= 2 and n > 4 * seen[1][(p, e)]]
-    excused = {p: e for _, p, e in sorted(kept, key=lambda x: (-x[0], x[1], -len(x[2])))[:EXCEPTIONS]}
+    excused = {p: e for _, p, e in sorted(kept, key=lambda x: (-x[0], x[1], -len(x[2])))}
     outside: Counter[str] = Counter()
     for plain, mark in zip(plains, marks):
         if not mark:
@@ -197,8 +228,9 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = S
     return fit(rows["text"].tolist(), (rows["label"] == "1").astype(int).tolist())
 
 
-def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``docs`` with toxic_score, 0 to 1.  Null and empty texts get the score of a text without any match."""
+def scored(docs: DataFrame, lexicon: Lexicon, column: str = "toxic_score") -> DataFrame:
+    """``docs`` with a score, 0 to 1, in ``column``; one of that name is replaced, all others stay.  Null and empty
+    texts get the score of a text without any match; long texts are read whole, repeated rows scored alike."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -206,4 +238,4 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for texts in batches:
             yield pd.Series([probability(density(t, matcher), lexicon) for t in texts], dtype="float64")
 
-    return docs.withColumn("toxic_score", score(F.col("text")))
+    return docs.withColumn(column, score(F.col("text")))

@@ -1,5 +1,6 @@
 """Toxicity, quality and language: held-out accuracy, matching against plain search, odd rows."""
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from msgrisk.llm import catalog, language, ngrams, quality, toxicity
+from msgrisk.llm import catalog, language, ngrams, quality, shared, toxicity
 from msgrisk.llm.shared import labelled_sample
 from tests.llm.conftest import ODD_ROWS, documents
 
@@ -195,3 +196,86 @@ def test_sample_is_bounded_and_usable(spark):
     assert set(rows.loc[rows["doc_id"] == 3, "label"]) <= {"0"}
     empty = labelled_sample(docs.limit(0), marks, "quality", 10, catalog.held_out(3, 1))
     assert empty.empty and quality.learn(docs.limit(0), marks, catalog.held_out(3, 1)).classes == ()
+
+
+def test_an_insult_in_few_phrases_is_learned_from_any_number_of_texts():
+    """Neither more texts nor more entries push an entry out; copies of one text don't bring one in."""
+    draw = random.Random(4)
+    phrases = ["you grumbo", "such a grumbo today", "that grumbo again", "grumbo go home", "total grumbo"]
+    vocabulary = [f"w{i}x" for i in range(2000)]
+    for n in (300, 3000):
+        clean = [" ".join(draw.choices(vocabulary, k=30)) for _ in range(n)]
+        toxic = [" ".join(draw.choices(vocabulary, k=15)) + f" {phrases[i % 5]} " + " ".join(draw.choices(vocabulary, k=15)) for i in range(n)]
+        copies = ["zonko " + " ".join(draw.choices(vocabulary, k=200))] * 500
+        found = toxicity.fit(clean + toxic + copies, [0] * n + [1] * (n + 500))
+        matcher = found.automaton()
+        assert toxicity.probability(toxicity.density("w1x w2x grumbo w3x w4x", matcher), found) > 0.9
+        assert toxicity.probability(toxicity.density("w1x w2x zonko w3x w4x", matcher), found) < 0.3
+        assert toxicity.probability(toxicity.density(clean[0], matcher), found) < 0.3
+
+
+def test_learned_weights_are_those_of_a_plain_count():
+    draw = random.Random(5)
+    vocabulary = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
+    texts = [" ".join(draw.choices(vocabulary, k=40)) for _ in range(400)]
+    marks = [int(i % 2) for i in range(400)]
+    texts = [t + (" blargh" if m and draw.random() < 0.8 else "") + (" snurf" if m and draw.random() < 0.4 else "") for t, m in zip(texts, marks)]
+    found = toxicity.fit(texts, marks)
+    assert {" blar", " snur"} == set(found.weights)
+    for entry, weight in found.weights.items():
+        toxic = sum(m and entry.strip() in t for t, m in zip(texts, marks))
+        clean = sum(not m and entry.strip() in t for t, m in zip(texts, marks))
+        assert abs(weight - (math.log((toxic + 0.1) / 200.2) - math.log((clean + 0.1) / 200.2))) < 1e-9
+
+
+def test_numbers_are_no_letters(tagger):
+    for text in ("\u00bd", "\u00b2", "\u2460", "\u2167", "\u00bd \u00b2 \u2160\u2161 123 _"):
+        assert language.words_of(text) == [] and tagger.predict(text) == ("und", 0.0)
+    assert language.words_of("x\u00b2y caf\u00e9 \u4e00\u4e8c") == ["x", "y", "caf\u00e9", "\u4e00\u4e8c"]
+
+
+def test_a_repeated_id_brings_one_text(spark):
+    rows = [(1, f"text {i:05d}") for i in range(10_000)] + [(2, "two"), (3, None), (None, "x")]
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1), (4, 1), (None, 1)], "doc_id long, toxic int")
+    sample = shared.labelled_sample(documents(spark, rows).repartition(6), labels, "toxic", 10, F.lit(True))
+    assert sample.values.tolist() == [[1, "text 00000", "1"], [2, "two", "0"]]
+
+
+def test_many_labels_give_the_same_sample(spark, monkeypatch):
+    rows = [(i, f"text {i}") for i in range(500)]
+    labels = spark.createDataFrame([(i, i % 7) for i in range(500)], "doc_id long, kind int")
+    few = shared.labelled_sample(documents(spark, rows), labels, "kind", 5, F.lit(True))
+    monkeypatch.setattr(shared, "MOST_LABELS", 2)
+    assert shared.labelled_sample(documents(spark, rows), labels, "kind", 5, F.lit(True)).equals(few) and len(few) == 35
+
+
+def test_quality_training_equals_a_plain_one(monkeypatch):
+    """The same sums written out: averaged vectors, softmax, and steps of gradient descent in the same order."""
+    monkeypatch.setattr(quality, "EPOCHS", 2)
+    texts = ["good plain words here", "bad bad junk junk", "more good words of prose", "junk 12 bad", "", "prose here"]
+    labels = ["1", "0", "1", "0", "0", "1"]
+    model = quality.fit(texts, labels, seed=3)
+    rng = np.random.default_rng(3)
+    table = rng.uniform(-1, 1, (quality.BUCKETS, quality.DIMENSIONS)).astype(np.float32) / quality.DIMENSIONS
+    out, offset = np.zeros((quality.DIMENSIONS, 2)), np.zeros(2)
+    rows = []
+    for text in texts:
+        counts = Counter(int(b) for part in quality.buckets(text) for b in part)
+        rows.append({b: n / sum(counts.values()) for b, n in counts.items()})
+    done, steps = 0, 2 * len(texts)
+    for _ in range(2):
+        for i in rng.permutation(len(texts)):
+            vector = sum(share * table[b].astype(float) for b, share in rows[i].items())
+            z = [float(vector @ out[:, k] + offset[k]) for k in range(2)]
+            total = sum(math.exp(v - max(z)) for v in z)
+            error = np.array([math.exp(v - max(z)) / total - (labels[i] == "01"[k]) for k, v in enumerate(z)])
+            error *= quality.RATE * (1 - done / steps)      # both classes weigh alike here
+            done += 1
+            back = out @ error
+            out -= np.outer(vector, error)
+            offset -= 0.1 * error
+            for b, share in rows[i].items():
+                table[b] -= (math.sqrt(share) * back).astype(np.float32)
+    for text, row in zip(texts, rows):
+        z = sum(share * (table[b].astype(float) @ out) for b, share in row.items()) + offset
+        assert abs(model.probability(text, "1") - math.exp(z[1]) / (math.exp(z[0]) + math.exp(z[1]))) < 1e-3
