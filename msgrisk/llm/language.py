@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -25,6 +26,8 @@ FLOOR = -50.0               # log-odds that one word can weigh
 SCRIPT_SHARE = 0.001        # share of a language's letters that makes a script its own
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
+# Numbers that aren't decimal digits, such as fractions and Roman numerals: \w has them, but they are no letters.
+_NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
 # First code points of the blocks that tell a script; a letter belongs to the last one before it.
 SCRIPT_RANGES = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"),
@@ -55,7 +58,7 @@ def words_of(text: str | None) -> list[str]:
     if not text:
         return []
     plain = text if text.isascii() else unicodedata.normalize("NFC", text)
-    return _LETTERS.findall(plain.lower())
+    return _LETTERS.findall(plain.lower() if plain.isascii() else _NUMBERS.sub(" ", plain).lower())
 
 
 @dataclass
@@ -192,8 +195,9 @@ def learn(docs: DataFrame, usable: Column, per_language: int = SAMPLE_PER_LANGUA
     return fit(rows["text"].tolist(), rows["label"].tolist())
 
 
-def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` with a column ``language`` (lang_pred, score); null texts and texts without letters are ``und``."""
+def identified(docs: DataFrame, model: LanguageModel, column: str = "language") -> DataFrame:
+    """``docs`` with a struct (lang_pred, score) in ``column``; one of that name is replaced, all others stay.  Null
+    texts and texts without letters are ``und``; long texts are read whole, repeated rows labelled alike."""
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -202,4 +206,4 @@ def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
             found = [tagger.predict(t) for t in texts]
             yield pd.DataFrame(found, columns=["lang_pred", "score"], index=texts.index).astype({"score": "float64"})
 
-    return docs.withColumn("language", predict(F.col("text")))
+    return docs.withColumn(column, predict(F.col("text")))
