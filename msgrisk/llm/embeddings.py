@@ -31,14 +31,21 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes.astype(np.int8), scale, left * (1 + 1e-9) + 1e-12
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows whose largest component lies between a half and one."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(1, initial=0.0))[1][:, None])
+
+
 def close_pairs(a: np.ndarray, b: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows i of ``a`` and j of ``b`` with a cosine of at least ``threshold``, in strips.
 
     Unit vectors are x = q + e with whole-number codes q (scaled) and a known length of e, so a product is at
     most q.q' + |q||e'| + |e||q'| + |e||e'|.  Only pairs whose bound reaches the threshold are computed from
     the full vectors.  Products of the codes are sums of whole numbers below 2**24 in strips of columns, hence
-    exact in float32.
+    exact in float32.  Rows are first scaled by a power of two, which changes no cosine, so that squares of very
+    large or small components stay within doubles.
     """
+    a, b = scaled(a), scaled(b)
     length_a, length_b = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
     unit_a, unit_b = a / length_a[:, None], b / length_b[:, None]
     code_a, scale_a, left_a = quantised(unit_a)

@@ -192,3 +192,9 @@ def test_texts_of_a_repeated_id_are_judged_apart(spark, sf_dir):
     kept = corpus_pipeline.one_of_near_duplicates(spark, documents(spark, [(1, a), (1, b), (1, b), (2, b), (3, c), (2, c), (2, None), (2, "")]), sf_dir)
     rows = sorted((r.doc_id, r.text or "") for r in kept.collect())
     assert rows == sorted([(1, a), (1, b), (2, c), (2, "")])
+
+
+def test_very_large_and_small_components_link(spark):
+    rows = [(1, [1e200, 1e200, 0.0], "a"), (2, [1e-200, 1e-200, 0.0], "a"), (3, [1.0, 1.0, 0.01], "a"), (4, [1e308, -1e308, 0.0], "a"), (5, [5e-324, 0.0, 0.0], "a")]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert found == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5)}
