@@ -20,6 +20,7 @@ SIMILARITY = 0.8
 RADIUS = 18
 BLOCK_BITS = 16             # four blocks; within the radius one of them differs in at most RADIUS // 4 bits
 BROADCAST_SHINGLES = 500_000        # rows of five numbers, 20 MB; more shingles are met by a shuffled join
+BROADCAST_TEXTS = 2_000_000         # texts that share enough with an item, 16 bytes each; more are met by a shuffled join
 _BLOCKS = 64 // BLOCK_BITS
 
 
@@ -169,8 +170,10 @@ def _starts(shared: DataFrame) -> DataFrame:
 def _near(docs: DataFrame, windows: DataFrame, items: DataFrame) -> DataFrame:
     """Columns doc, item, distance: documents with a window near to an item, by fingerprints."""
     wanted = windows.select("doc", "size", "n_win", "start").distinct()
-    key = F.struct("doc_id", _text_key(F.col("text")).alias("text_key"))
-    texts = docs.select(key.alias("doc"), "text").join(wanted.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+    keys = keep(windows.select(F.col("doc.text_key").alias("text_key")).distinct())
+    few = F.broadcast(keys) if keys.count() <= BROADCAST_TEXTS else keys        # else whole texts are shuffled
+    texts = docs.withColumn("text_key", _text_key(F.col("text"))).join(few, "text_key", "left_semi")
+    texts = texts.select(F.struct("doc_id", "text_key").alias("doc"), "text").dropDuplicates(["doc"])
     texts = texts.select("doc", words_of(F.col("text")).alias("words"))     # a column: the shingles refer to it often
     prints = None
     for size in (SHINGLE_WORDS, *range(1, SHINGLE_WORDS)):
