@@ -110,10 +110,11 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = S
     return fit(rows["text"].tolist(), rows["label"].tolist())
 
 
-def scored(docs: DataFrame, model: QualityModel, wanted: str = "1") -> DataFrame:
-    """``docs`` with quality_score, the probability of the wanted label; 0.5 without any labelled row.
+def scored(docs: DataFrame, model: QualityModel, wanted: str = "1", column: str = "quality_score") -> DataFrame:
+    """``docs`` with the probability of the wanted label in ``column``; 0.5 without any labelled row.
 
-    Null, empty and blank texts have one feature of their own, so they get one score, whatever it is.
+    A column of that name is replaced, all others stay.  Null, empty and blank texts have one feature of their
+    own, so they get one score, whatever it is.  Long texts are read whole, repeated rows scored alike.
     """
 
     @F.pandas_udf("double")
@@ -121,4 +122,4 @@ def scored(docs: DataFrame, model: QualityModel, wanted: str = "1") -> DataFrame
         for texts in batches:
             yield pd.Series([model.probability(t, wanted) for t in texts], dtype="float64")
 
-    return docs.withColumn("quality_score", score(F.col("text")))
+    return docs.withColumn(column, score(F.col("text")))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
 from msgrisk.llm.components import connected_components
-from msgrisk.llm.shared import keep, regrouped
+from msgrisk.llm.shared import keep, regrouped, set_apart
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -153,14 +153,16 @@ def one_row_of_each_group(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: one with the group's least doc_id.
 
     Rows of one id whose texts lie in different groups are judged apart, so an id may stay with several texts.
-    Rows without doc_id go if an id is in their group, else one is kept for each fingerprint.
+    Rows without doc_id go if an id is in their group, else one is kept for each fingerprint.  Columns of any name
+    stay as they are; of repeated rows one is kept.
     """
+    docs, restored = set_apart(docs, "doc_id", "text")
     text_key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key")
     found = keep(_grouped(docs, text_key))
     first = found.where(F.col("doc_id") == F.col("component_id")).groupBy("component").agg(F.min(F.struct("doc_id", "_key")).alias("row"))
     named = docs.withColumn("_key", text_key).join(first.select("row.*"), ["doc_id", "_key"], "left_semi")
     named = named.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
-    return named.unionByName(_nameless(docs, found))
+    return restored(named.unionByName(_nameless(docs, found)))
 
 
 def _nameless(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -53,8 +53,27 @@ def test_stages_of_odd_and_empty_tables(spark, sf_dir, odd_docs, no_docs):
         for _, stage in corpus_pipeline.STAGES[1:-1]:
             out = stage(spark, docs, sf_dir)
             assert out.columns == docs.columns and out.count() <= docs.count()
-        corpus_pipeline.keep_good(spark, docs, sf_dir).count()
-        corpus_pipeline.packed(spark, docs, sf_dir).count()
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    model = quality.learn(odd_docs, catalog.table(spark, sf_dir, "labels"), ~catalog.held_out(3, 1))
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.keep_good(spark, odd_docs, sf_dir).collect()]
+    assert Counter(kept) == Counter(r for r in rows if model.probability(r[1], "1") >= 0.5)
+    places = corpus_pipeline.packed(spark, odd_docs, sf_dir).collect()
+    assert Counter(tuple(r)[:5] for r in places) == plain_pieces(rows)
+    check_places(places, 2048)
+    assert corpus_pipeline.keep_good(spark, no_docs, sf_dir).collect() == [] == corpus_pipeline.packed(spark, no_docs, sf_dir).collect()
+
+
+def test_columns_that_stages_use_inside_stay(spark, sf_dir):
+    """Names, types, order and values of clashing columns, through every stage that returns documents."""
+    kinds = "_key string, _print string, blob int, spans string, quality_score string, found int, component long, set_apart_0 int, k double, place int"
+    rows = [(i, t, "key", "print", 7, "spans", "score", 8, 9, 10, 0.5, 11) for i, t in [(1, "plain prose of one kind, and words"), (2, None), (None, "more words of prose here")]]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, {kinds}")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.schema == docs.schema, name
+        assert {tuple(r)[2:] for r in out.collect()} <= {rows[0][2:]}, name
+        if name != "quality":
+            assert out.count() == 3, name
 
 
 def test_secrets_stage_replaces_secrets(spark, sf_dir):
