@@ -100,8 +100,11 @@ def trend_points(events: DataFrame, days: int = 14) -> DataFrame:
     return risk_points(events, days * 24)
 
 
-def normalized_points(points: DataFrame) -> DataFrame:
-    """Risk clamped to 0..1 and a label from whichever of time or day is present."""
+def normalized_points(points: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Risk clamped to 0..1 and a label from whichever of time or day is present, else ``Event n``.
+
+    ``order`` gives the order that n counts in; it is for points on display, which are few.  Without it such
+    points are labelled ``Event``."""
     names = points.columns
 
     def any_of(candidates: list[str], default: Column) -> Column:
@@ -113,10 +116,19 @@ def normalized_points(points: DataFrame) -> DataFrame:
         labels.append(F.date_format(F.col("created_at").cast("timestamp"), "HH:mm"))
     if "day" in names:
         labels.append(F.col("day").cast("string"))
-    label = F.coalesce(*labels, F.lit("Event")) if labels else F.lit("Event")
+    nameless = F.lit("Event")
+    if order:
+        nameless = F.concat(F.lit("Event "), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("string"))
+    label = F.coalesce(*labels, nameless)
     return points.select("*", label.alias("label"), F.least(F.greatest(risk, F.lit(0.0)), F.lit(1.0)).alias("risk"))
 
 
+def last_points(events: DataFrame, count: int = 3) -> DataFrame:
+    """The points listed below the trend: the newest ones as label and risk, oldest first."""
+    rows = newest(events, count).select("id", "created_at", "risk_score")
+    return normalized_points(rows, ["created_at", "id"]).orderBy("created_at", "id").select("id", "label", "risk")
+
+
 def shown_reasons(col: str, count: int) -> Column:
     """The first reasons for display."""
     return F.slice(col, 1, count)

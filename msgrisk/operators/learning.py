@@ -182,6 +182,41 @@ def roc_auc(predictions: DataFrame, label: str = "label", score: str = "score")
     return sums.select("n_pos", "n_neg", F.when(pairs > 0, F.round(F.col("wins") / pairs, 6)).alias("auc"))
 
 
+def operating_point(predictions: DataFrame, max_fpr: float, label: str = "label", score: str = "score") -> DataFrame:
+    """One row: threshold, recall, fpr, precision, tp, fp, fn, tn of the threshold with the highest recall among those
+    with a false-positive rate of at most ``max_fpr``; of equal recall the one with fewest false positives.
+
+    Rows at or above a threshold count as positive.  Exact: every distinct score is a candidate.  Rows are first
+    counted per score; running counts are taken within score ranges and added to the (few) range totals, so no
+    task orders the whole table.  Scores lie in 0..1.  Where even the highest score breaks the bound, or there is
+    no score, the threshold is null and nothing counts as positive.
+    """
+    positive = F.col(label).cast("int") == 1
+    per_score = predictions.groupBy(F.col(score).alias("s")).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
+    per_score = per_score.withColumn("bucket", F.floor(F.col("s") * SCORE_BUCKETS).cast("int"))
+    totals = per_score.groupBy("bucket").agg(F.sum("pos").alias("pos_in"), F.sum("neg").alias("neg_in"))
+    everything = Window.partitionBy(F.lit(0))           # at most SCORE_BUCKETS + 1 rows
+    above = everything.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = totals.select(
+        "bucket", F.coalesce(F.sum("pos_in").over(above), F.lit(0)).alias("pos_above"), F.coalesce(F.sum("neg_in").over(above), F.lit(0)).alias("neg_above"),
+        F.sum("pos_in").over(everything).alias("n_pos"), F.sum("neg_in").over(everything).alias("n_neg"),
+    )
+    upto = Window.partitionBy("bucket").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    points = per_score.join(F.broadcast(ranges), "bucket").select(
+        "s", "n_pos", "n_neg", (F.col("pos_above") + F.sum("pos").over(upto)).alias("tp"), (F.col("neg_above") + F.sum("neg").over(upto)).alias("fp"),
+    )
+    allowed = F.col("fp") <= F.lit(max_fpr) * F.col("n_neg")
+    best = points.agg(
+        F.max(F.when(allowed, F.struct("tp", (-F.col("fp")).alias("less"), "s"))).alias("b"), F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"),
+    )
+    n_pos, n_neg = (F.coalesce(c, F.lit(0)) for c in ("n_pos", "n_neg"))
+    tp, fp = F.coalesce(F.col("b.tp"), F.lit(0)), -F.coalesce(F.col("b.less"), F.lit(0))
+    return best.select(
+        F.col("b.s").alias("threshold"), F.round(_ratio(tp, n_pos), 6).alias("recall"), F.round(_ratio(fp, n_neg), 6).alias("fpr"),
+        F.round(_ratio(tp, tp + fp), 6).alias("precision"), tp.alias("tp"), fp.alias("fp"), (n_pos - tp).alias("fn"), (n_neg - fp).alias("tn"),
+    )
+
+
 def scale_statistics(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Population standard deviation of each column, one row."""
     return rows.agg(*[F.round(F.stddev_pop(c), 6).alias(c) for c in columns])

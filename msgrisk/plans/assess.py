@@ -127,7 +127,9 @@ def extract_features(masked: DataFrame, registry: Registry, model: Model | None
     """All 43 numeric features and the lookup results of already masked messages."""
     own = message_features(masked, registry, model or FallbackModel())
     joined = own.join(reference_features(masked, registry), "msg_id")
-    return joined.withColumns(sender_ops.sender_columns())
+    featured = joined.withColumns(sender_ops.sender_columns())
+    # a model takes numbers only: what is missing counts as 0
+    return featured.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in fv.NUMERIC_FEATURES})
 
 
 def score_features(features: DataFrame, model: Model | None = None) -> DataFrame:

@@ -315,6 +315,38 @@ def brand_in_path(spark, sf_dir):
     return rows.select("msg_id", "href", links.path_brand(F.col("path"), REG).alias("path_brand"))
 
 
+@query
+def name_sets(spark, sf_dir):
+    """Hosts by the registry's sets: verified or trusted domains, weakly trusted ones, search terms (by first label)."""
+    rows = distinct_hosts(spark, sf_dir).withColumn("root", hosts.root_label(F.col("host")))
+    sets = F.broadcast(REG.name_sets(spark))        # bounded with the registry
+    by_host = sets.select(F.col("name").alias("host"), "domain", "trusted", "weak")
+    found = rows.join(by_host, "host", "left").join(sets.where("term").select(F.col("name").alias("root"), "term"), "root", "left")
+    return found.select("host", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("domain", "trusted", "weak", "term")])
+
+
+@query
+def trust_from_table(spark, sf_dir):
+    """Trust lookups in a registry that is a table: the hosts of all pages."""
+    listed = demo.table(spark, sf_dir, "pages").select(urls.host_of(F.col("url")).alias("domain")).where("domain <> ''").distinct()
+    kind = F.element_at(F.array(F.lit("primary"), F.lit("email"), F.lit("asset")), F.pmod(F.length("domain"), F.lit(3)) + 1)
+    trust = listed.select(
+        F.crc32(F.col("domain").cast("binary")).alias("position"), F.concat(F.lit("Brand of "), "domain").alias("brand"), "domain", kind.alias("trust_type"))
+    registry = Registry.from_tables(trust)
+    pages = listed.select(F.concat(F.lit("www."), "domain").alias("host")).union(listed).union(listed.select(F.concat(F.lit("a."), "domain")))
+    rows = hosts.trust_and_verified(pages.distinct(), registry, hidden=False)
+    return rows.select(
+        "host", F.col("trust.brand").alias("brand"), F.col("trust.trust_type").alias("trust_type"), F.size("verified").cast("long").alias("n_verified"))
+
+
+@query
+def links_without_href(spark, sf_dir):
+    """Messages some of whose links have no address: these don't count."""
+    rows = masked(spark, sf_dir)
+    dropped = F.transform("links", lambda l, i: F.struct(F.when(i % 3 == 0, F.lit(None)).when(i % 3 == 1, F.lit("")).otherwise(l["href"]).alias("href"), l["anchor_text"].alias("anchor_text")))
+    return links.link_features(rows.withColumn("links", dropped), REG).select("msg_id", "url_count", "url_entropy_max")
+
+
 @query
 def domain_lookalike(spark, sf_dir):
     rows = hosts.add_lookalike(_trusted(spark, sf_dir), REG)
@@ -379,8 +411,7 @@ def fallback_probability(spark, sf_dir):
 
 @query
 def feature_frame(spark, sf_dir):
-    filled = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in fv.NUMERIC_FEATURES]
-    return features(spark, sf_dir).select("msg_id", *filled)
+    return features(spark, sf_dir).select("msg_id", *fv.NUMERIC_FEATURES)
 
 
 @query
@@ -594,6 +625,24 @@ def normalized_points(spark, sf_dir):
     )
 
 
+@query
+def event_points(spark, sf_dir):
+    """The newest points; every third has no time and is named by its place."""
+    rows = analytics.newest(demo.risk_events(spark, sf_dir), 60).select("id", "created_at", "risk_score")
+    shown = rows.select("id", F.when(F.col("id") % 3 > 0, F.col("created_at")).alias("created_at"), F.col("created_at").alias("at"), "risk_score")
+    return analytics.normalized_points(shown, ["at", "id"]).select("id", "label", "risk")
+
+
+@query
+def last_points(spark, sf_dir):
+    return analytics.last_points(demo.risk_events(spark, sf_dir))
+
+
+@query
+def class_events(spark, sf_dir):
+    return analytics.with_class(demo.risk_events(spark, sf_dir), "phishing").select("id", "risk_score")
+
+
 @query
 def siem_events(spark, sf_dir):
     rows = analytics.siem_rows(demo.risk_events(spark, sf_dir))
@@ -720,7 +769,32 @@ def indicator_expiry(spark, sf_dir):
     return feeds.live_indicators(feed, {"gmail": 1, "generic": 2, "outlook": 3}, "2024-01-04 00:00:00", 4).select("url", "source")
 
 
+@query
+def known_links(spark, sf_dir):
+    """Message links whose host two of the feed's sources had listed, a day after they were first sent, and not too long ago."""
+    feed = feeds.normalize_feed(_feed(spark, sf_dir)).where("source <> 'generic'").withColumn("first_seen", F.col("first_seen") + F.expr("INTERVAL 1 DAY"))
+    lifetimes = spark.createDataFrame([("gmail", 1)], "source string, days int")
+    rows = demo.messages(spark, sf_dir).select("msg_id", F.col("received_at").alias("seen_at"), F.posexplode("links.href").alias("place", "href"))
+    rows = rows.withColumn("host", urls.host_of(F.col("href")))
+    return feeds.known_links(rows, feed, lifetimes, 2).select("msg_id", F.col("place").cast("long").alias("place"), "host", joined("known_by").alias("known_by"))
+
+
 # --------------------------------------------------------------------- learning
+@query
+def training_csv(spark, sf_dir):
+    """Labelled texts, with line breaks and quotes, written as CSV and read as training messages."""
+    work = _work(spark)
+    rows = demo.labelled(spark, sf_dir).select("doc_id", "text", F.when(F.col("label") == 1, "phishing").otherwise("ham").alias("label"))
+    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(work)
+    read = source.training_messages(source.read_training_csv(spark, work), "doc_id")
+    return read.select(F.col("msg_id").cast("long").alias("doc_id"), "label", F.md5("body_text").alias("text_md5"))
+
+
+@query
+def threshold_fpr(spark, sf_dir):
+    return learning.operating_point(_predictions(spark, sf_dir), 0.2)
+
+
 @query
 def label_normalize(spark, sf_dir):
     rows = demo.table(spark, sf_dir, "labels")

@@ -18,6 +18,7 @@ from msgrisk.operators import learning
 from msgrisk.plans.assess import extract_features
 from msgrisk.registry import Registry
 from msgrisk.session import store
+from msgrisk.sources.messages import deduplicate_texts
 
 log = logging.getLogger(__name__)
 
@@ -134,8 +135,10 @@ def split_rule(frame: DataFrame) -> tuple[float, bool, int]:
 def _split_vectors(frame: DataFrame, text_size: int, seed: int):
     """(model without classifier, feature pipeline, training vectors, test vectors, rows).
 
-    The split frame and the vectors are read by many passes, so they are stored.
+    Of rows with one text the first is kept.  The split frame and the vectors are read by many passes, so they
+    are stored.
     """
+    frame = deduplicate_texts(frame, "text", "msg_id")
     share, stratify, n_rows = split_rule(frame)
     parts = store(learning.stratified_split(frame, "label", "msg_id", share, seed, stratify))
     train, test = parts.filter(~F.col("is_test")), parts.filter("is_test")
@@ -173,8 +176,9 @@ def model_run_row(spark: SparkSession, metrics: dict, version: str = fv.MODEL_VE
     return spark.createDataFrame([row], "version string, n_rows long, roc_auc double, report string")
 
 
-def compare_models(frame: DataFrame, seed: int = 42, text_size: int = fv.VOCABULARY_SIZE) -> DataFrame:
-    """Several classifiers on one split: best recall first, lower false-positive rate breaks ties."""
+def compare_models(frame: DataFrame, seed: int = 42, text_size: int = fv.VOCABULARY_SIZE, max_fpr: float = 0.05) -> DataFrame:
+    """Several classifiers on one split, each at its best threshold with a false-positive rate of at most
+    ``max_fpr``: best recall first, the lower rate breaks ties."""
     model, stages, train_vectors, test, _ = _split_vectors(frame, text_size, seed)
     test_vectors = store(stages.transform(model.prepare(test)).select("label", "features_vector"))
     common = dict(featuresCol="features_vector", labelCol="label", weightCol="weight")
@@ -186,13 +190,10 @@ def compare_models(frame: DataFrame, seed: int = 42, text_size: int = fv.VOCABUL
     }
     results = None
     for name, estimator in candidates.items():
-        predictions = estimator.fit(train_vectors).transform(test_vectors)
-        counts = learning.confusion(predictions)
-        row = counts.select(
-            F.lit(name).alias("model"),
-            F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(0.0).alias("recall"),
-            F.when(F.col("fp") + F.col("tn") > 0, F.col("fp") / (F.col("fp") + F.col("tn"))).otherwise(0.0).alias("fpr"),
-            "tp", "fp", "fn", "tn",
-        )
+        rated = estimator.fit(train_vectors).transform(test_vectors)
+        # margins of a machine without probabilities keep their order on the way to 0..1
+        score = vector_to_array("probability")[1] if "probability" in rated.columns else 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
+        point = learning.operating_point(rated.select("label", score.alias("score")), max_fpr)
+        row = point.select(F.lit(name).alias("model"), "threshold", "recall", "fpr", "tp", "fp", "fn", "tn")
         results = row if results is None else results.unionByName(row)
     return results.orderBy(F.desc("recall"), "fpr", "model")

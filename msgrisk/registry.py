@@ -138,6 +138,17 @@ class Registry:
         rows = [(domain, [(t.position, t.brand) for t in terms]) for domain, terms in self.by_domain().items()]
         return constant_table(spark, rows, "domain string, brands array<struct<position:int,brand:string>>")
 
+    def name_sets(self, spark: SparkSession) -> DataFrame:
+        """(name, domain, trusted, weak, term): each verified or trusted domain and each search term once, and the sets it is in."""
+        verified = {t.term for t in self.domains}
+        terms = {t.term for t in self.aliases}
+        rows = [
+            (name, name in verified or name in self.trust, name in self.trust,
+             name in self.trust and self.trust[name][1] not in fv.STRONG_TRUST_TYPES, name in terms)
+            for name in dict.fromkeys([*self.trust, *sorted(verified), *sorted(terms)])
+        ]
+        return constant_table(spark, rows, "name string, domain boolean, trusted boolean, weak boolean, term boolean")
+
     def by_domain(self) -> dict[str, list[Term]]:
         """The terms of each verified domain, in registry order."""
         found: dict[str, list[Term]] = {}

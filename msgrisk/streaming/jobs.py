@@ -43,9 +43,10 @@ def assess_stream(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         with stored_tables(batch.sparkSession):
-            write_event_batch(event_rows(assess(batch, registry, model, key, valid_only)), events_path, batch_id)
-        if quarantine:
-            checked(batch)[1].write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
+            rows = store(batch) if quarantine else batch        # read twice then: the source is asked once
+            write_event_batch(event_rows(assess(rows, registry, model, key, valid_only)), events_path, batch_id)
+            if quarantine:
+                checked(rows)[1].write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
 
     return _start(messages.writeStream.foreachBatch(write), checkpoint, trigger)
 

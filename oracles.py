@@ -724,6 +724,19 @@ def statements() -> dict[str, str]:
         "brand_in_subdomain": over_messages("SELECT host, brand AS subdomain_brand FROM sub_brand"),
         "embedded_brand": over_messages("SELECT host, brand AS embedded_brand FROM emb_brand"),
         "brand_in_path": over_messages("SELECT msg_id, href, (SELECT min_by(brand, pos) FROM verified WHERE contains(path, vdomain)) AS path_brand FROM links"),
+        "name_sets": over_messages("""SELECT p.host, p.host IN (SELECT vdomain FROM verified) OR p.host IN (SELECT tdomain FROM trust) AS domain, p.host IN (SELECT tdomain FROM trust) AS trusted,
+            p.host IN (SELECT tdomain FROM trust WHERE trust_type NOT IN ('primary', 'email')) AS weak, p.root IN (SELECT alias FROM aliases) AS term FROM profile p"""),
+        "trust_from_table": f"""WITH listed AS (SELECT DISTINCT {host('url')} AS domain FROM pages WHERE {host('url')} <> ''),
+            trust AS (SELECT domain, 'Brand of ' || domain AS brand, ['primary', 'email', 'asset'][length(domain) % 3 + 1] AS kind FROM listed),
+            names AS (SELECT 'www.' || domain AS host FROM listed UNION SELECT domain FROM listed UNION SELECT 'a.' || domain FROM listed),
+            parts AS (SELECT host, string_split(host, '.') AS w FROM names),
+            suffixes AS (SELECT host, i AS cut, array_to_string(w[i + 1:], '.') AS suffix FROM parts, LATERAL (SELECT unnest(range(len(w))) AS i)),
+            met AS (SELECT host, cut, brand, kind, cut = 0 AND starts_with(host, 'www.') AS www FROM suffixes JOIN trust ON suffix = domain)
+            SELECT n.host, min_by(brand, cut) FILTER (WHERE NOT www) AS brand, min_by(kind, cut) FILTER (WHERE NOT www) AS trust_type,
+              count(brand) FILTER (WHERE kind IN ('primary', 'email')) AS n_verified FROM names n LEFT JOIN met m ON m.host = n.host GROUP BY n.host""",
+        "links_without_href": over_messages(f"""SELECT m.msg_id, coalesce(u, 0)::DOUBLE AS url_count, round(coalesce(e, 0), 4) AS url_entropy_max FROM messages m LEFT JOIN (
+              SELECT msg_id, count(*) AS u, max({entropy('href')}) AS e FROM (
+                SELECT msg_id, unnest(list_transform(links, lambda l: l.href)) AS href, unnest(range(len(links))) AS i FROM messages) WHERE i % 3 = 2 AND href <> '' GROUP BY msg_id) c ON c.msg_id = m.msg_id"""),
         "domain_lookalike": over_messages("SELECT host, lookalike_score, homograph_flag, mixed_script_flag, typosquat_flag, brand_in_subdomain_flag, suspicious_hyphenated_brand_flag, lookalike_brand FROM profile"),
         "url_lookalike": over_messages("SELECT msg_id, host, url_lookalike, path_flag, shortener, round(pts, 4) AS points FROM link_points"),
         "sender_features": over_messages("""SELECT msg_id, sender_host, verified_brand AS recognized_brand, trust_type AS domain_trust_type, punycode_detection, subdomain_depth,
@@ -794,6 +807,10 @@ def statements() -> dict[str, str]:
         "shown_reasons": over_events("SELECT id, array_to_string(reasons[1:1], ' | ') AS first_1, array_to_string(reasons[1:4], ' | ') AS first_4 FROM risk_events"),
         "risk_points": over_events(f"SELECT id, {ISO} AS created_at, risk_score, classification, domain FROM (SELECT * FROM risk_events ORDER BY created_at DESC, id DESC LIMIT 336)"),
         "normalized_points": over_events("SELECT id, strftime(created_at, '%H:%M') AS label, least(greatest(risk_score, 0), 1) AS risk FROM risk_events"),
+        "event_points": over_events("""SELECT id, CASE WHEN id % 3 > 0 THEN strftime(created_at, '%H:%M') ELSE 'Event ' || row_number() OVER (ORDER BY created_at, id) END AS label,
+            least(greatest(risk_score, 0), 1) AS risk FROM (SELECT * FROM risk_events ORDER BY created_at DESC, id DESC LIMIT 60)"""),
+        "last_points": over_events("SELECT id, strftime(created_at, '%H:%M') AS label, least(greatest(risk_score, 0), 1) AS risk FROM (SELECT * FROM risk_events ORDER BY created_at DESC, id DESC LIMIT 3)"),
+        "class_events": over_events("SELECT id, risk_score FROM risk_events WHERE classification = 'phishing'"),
         "siem_events": over_events(f"""SELECT CASE WHEN classification <> 'safe' THEN 'alert' ELSE 'event' END AS event_kind, 'email | threat' AS event_category, 'indicator' AS event_type,
             'msgrisk' AS event_module, {ISO} AS event_created, 'email' AS threat_indicator_type, confidence AS threat_indicator_confidence, sample_hash AS msgrisk_sample_hash,
             sender_hash AS msgrisk_sender_hash, subject_hash AS msgrisk_subject_hash, domain AS msgrisk_domain, risk_score AS msgrisk_risk_score, classification AS msgrisk_classification,
@@ -819,7 +836,19 @@ def statements() -> dict[str, str]:
         "feed_normalize": f"WITH {DEMO_MESSAGES}, {FEED_SQL} SELECT url, domain, source, strftime(first_seen, '%Y-%m-%d %H:%M:%S') AS first_seen, 0.5::DOUBLE AS confidence FROM feeds",
         "indicator_expiry": f"""WITH {DEMO_MESSAGES}, {FEED_SQL} SELECT url, source FROM feeds
             WHERE first_seen + to_days(CASE source WHEN 'gmail' THEN 1 WHEN 'generic' THEN 2 WHEN 'outlook' THEN 3 ELSE 4 END) >= TIMESTAMP '2024-01-04'""",
+        "known_links": f"""WITH {DEMO_MESSAGES}, {FEED_SQL}, live AS (SELECT domain, source, first_seen + INTERVAL 1 DAY AS a,
+              first_seen + INTERVAL 1 DAY + to_days(CASE source WHEN 'gmail' THEN 1 ELSE 2 END) AS b FROM feeds WHERE source <> 'generic' AND domain <> ''),
+            sent AS (SELECT msg_id, TIMESTAMP '2024-01-01' + msg_id * INTERVAL 7 MINUTE AS t, unnest(range(len(links))) AS place, unnest(links) AS l FROM messages),
+            met AS (SELECT DISTINCT msg_id, place, domain, live.source FROM sent JOIN live ON domain = {host('l.href')} AND t BETWEEN a AND b)
+            SELECT msg_id, place, domain AS host, string_agg(source, ' | ' ORDER BY source) AS known_by FROM met GROUP BY msg_id, place, domain""",
         # learning
+        "training_csv": "SELECT doc_id, toxic AS label, md5(text) AS text_md5 FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL",
+        "threshold_fpr": f"""WITH {PREDICTIONS}, points AS (
+              SELECT score, sum(sum(label)) OVER w AS tp, sum(sum(1 - label)) OVER w AS fp FROM predictions GROUP BY score WINDOW w AS (ORDER BY score DESC)),
+            whole AS (SELECT sum(label) AS p, sum(1 - label) AS n FROM predictions),
+            best AS (SELECT score, tp, fp, p, n FROM points, whole WHERE fp <= 0.2::DOUBLE * n ORDER BY tp DESC, fp, score DESC LIMIT 1)
+            SELECT score AS threshold, round(tp / p, 6) AS recall, round(fp / n, 6) AS fpr, round(tp / (tp + fp), 6) AS precision,
+              tp::BIGINT AS tp, fp::BIGINT AS fp, (p - tp)::BIGINT AS fn, (n - fp)::BIGINT AS tn FROM best""",
         "label_normalize": "SELECT doc_id, toxic, CASE WHEN quality = 1 THEN 0 ELSE 1 END AS label FROM labels",
         "class_weights": "SELECT toxic AS label, count(*) AS n_rows, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6)::DOUBLE AS weight FROM labels JOIN documents USING (doc_id) GROUP BY 1",
         "deduplicated_texts": f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY lower(trim(regexp_replace(text, '[\\x00{WS}]+', ' ', 'g')))",

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 import check
 import oracles
-from msgrisk import Registry
+from msgrisk import Registry, fixed_values as fv
 from msgrisk.operators import analytics, learning, ledger, links, panels
 from msgrisk.plans import catalog, demo, training
 from msgrisk.plans.assess import FunctionModel, assess
 from msgrisk import session
 from msgrisk.session import checkpoint_root
-from msgrisk.sources import messages as source, tables
+from msgrisk.sources import feeds, messages as source, tables
 from msgrisk.sources.batches import BatchTable
 from msgrisk.streaming import jobs
 
@@ -119,6 +119,69 @@ def test_hot_host_is_spread_and_nothing_is_lost(spark):
     assert joined.count() == 300 and joined.select("msg_id").distinct().count() == 300
 
 
+@pytest.mark.parametrize("bound", [0.0, 0.05, 0.3, 1.0])
+def test_threshold_under_a_bound_of_false_positives(spark, bound):
+    rng = random.Random(int(bound * 100))
+    rows = [(i, int(rng.random() < 0.4), round(min(1.0, rng.random() * (1 if i % 3 else 0.3)), 3)) for i in range(800)] + [(801, 0, 1.0), (802, 1, 1.0)]
+    got = learning.operating_point(spark.createDataFrame(rows, "id long, label int, score double").repartition(5), bound).first()
+    n_neg, best = sum(1 - y for _, y, _ in rows), None
+    for t in {s for _, _, s in rows}:
+        tp, fp = (sum(s >= t and y == k for _, y, s in rows) for k in (1, 0))
+        if fp <= bound * n_neg:
+            best = max(best or (-1,), (tp, -fp, t))
+    if best is None:
+        assert got["threshold"] is None and (got["tp"], got["fp"], got["tn"]) == (0, 0, n_neg)
+    else:
+        assert (got["tp"], -got["fp"], got["threshold"]) == best and got["fpr"] == pytest.approx(-best[1] / n_neg, abs=1e-6)
+    none = learning.operating_point(spark.createDataFrame([], "label int, score double"), bound).first()
+    assert none["threshold"] is None and none["recall"] == 0.0
+
+
+def test_links_known_at_their_time(spark):
+    """Spans of chunks hold at every moment what single records hold, also for a domain with very many."""
+    rng = random.Random(2)
+    feed = [(f"h{rng.randrange(4)}.example", rng.choice("abc"), rng.randrange(0, 40 * 86400)) for _ in range(150)]
+    feed += [("busy.example", "a", rng.randrange(0, 5 * 86400)) for _ in range(400)] + [("", "a", 5), (None, "b", 5), ("h1.example", "a", None)]
+    links_at = [(i, f"h{rng.randrange(5)}.example" if i % 3 else "busy.example", rng.randrange(0, 50 * 86400)) for i in range(400)] + [(900, None, 5), (901, "", 5), (902, "h1.example", None)]
+    days = {"a": 1, "b": 3}
+    at = F.timestamp_seconds("t")
+    feed_rows = spark.createDataFrame(feed, "domain string, source string, t long").select("domain", "source", at.alias("first_seen"))
+    link_rows = spark.createDataFrame(links_at, "id long, host string, t long").select("id", "host", at.alias("seen_at"))
+    lifetimes = spark.createDataFrame(list(days.items()), "source string, days int")
+    got = {r["id"]: list(r["known_by"]) for r in feeds.known_links(link_rows, feed_rows, lifetimes, 2).collect()}
+    expected = {}
+    for i, host, t in links_at:
+        known = sorted({s for d, s, f in feed if d and d == host and t is not None and f is not None and f <= t <= f + days.get(s, 2) * 86400})
+        if known:
+            expected[i] = known
+    assert got == expected and len(got) > 50
+    assert max(len(r["spans"]) for r in feeds.live_spans(feed_rows.where("domain = 'busy.example'"), lifetimes, 2).collect()) <= 6
+
+
+def test_points_without_time_are_numbered(spark):
+    rows = spark.createDataFrame([(1, 0.5), (2, 1.5), (3, None)], "id long, risk_score double")
+    assert [r["label"] for r in analytics.normalized_points(rows, ["id"]).collect()] == ["Event 1", "Event 2", "Event 3"]
+    assert {r["label"] for r in analytics.normalized_points(rows).collect()} == {"Event"}
+
+
+def test_a_registry_table_is_bounded(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"b{i}", f"d{i}.com", "primary") for i in range(30)], "position int, brand string, domain string, trust_type string")
+    assert len(Registry.from_tables(rows).trust) == 30
+    with pytest.raises(ValueError, match="rows"):
+        Registry.from_tables(rows, most_rows=29)
+    monkeypatch.setattr("msgrisk.registry.MOST_BYTES", 100)
+    with pytest.raises(ValueError, match="bytes"):
+        Registry.from_tables(rows)
+
+
+def test_repeated_texts_train_once(spark):
+    numeric = {c: 0.0 for c in fv.NUMERIC_FEATURES}
+    rows = [(i, i % 2, f"text {i % 2} word{i // 4}", *numeric.values()) for i in range(32)]
+    schema = "msg_id long, label int, text string, " + ", ".join(f"{c} double" for c in numeric)
+    _, _, vectors, test, n_rows = training._split_vectors(spark.createDataFrame(rows, schema), 50, 1)
+    assert n_rows == 16 == vectors.count() + test.count()
+
+
 def test_term_counts(spark):
     df = spark.createDataFrame([(["a", "b", "a"],), (["a"],), ([],)], "terms array<string>")
     got = {r["term"]: (r["n_total"], r["n_docs"]) for r in learning.term_counts(df, "terms").collect()}
@@ -336,7 +399,8 @@ def test_any_function_can_be_the_model(spark, sf_dir):
 
 CHECKED = [
     "mask_pii", "canonical_hash", "text_stats", "domain_lookalike", "link_features", "assess", "page_assess", "triage_score",
-    "page_links", "daily_trend", "siem_events", "feedback_new", "ngram_vocab", "stratified_split", "eval_report",
+    "cooldown_hash", "stream_cooldown_hash", "stream_late", "known_links", "threshold_fpr", "training_csv", "event_points", "name_sets",
+    "trust_from_table", "links_without_href", "page_links", "daily_trend", "siem_events", "feedback_new", "ngram_vocab", "stratified_split", "eval_report",
     "stream_cooldown", "stream_ttl", "stream_rate", "stream_dedup", "stream_dashboard", "validate_feedback", "quarantined_messages", "rate_clients", "message_source", "stream_feedback", "stream_export", "stream_assess",
 ]
 
