@@ -19,8 +19,10 @@ from msgrisk.llm.shared import keep
 SEQUENCE = 2048
 ROWS_PER_BUCKET = 256
 _CACHED_WORDS = 500_000     # about 80 MB
-# Signs between a letter (ASCII, or of U+00C0 to U+00FF) and white space.
-_SIGNS = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([^\sa-z0-9\x80-\xff]+)(?=\s)")
+# Signs between a letter (ASCII, or of U+00C0 to U+00FF) and white space.  The pattern begins with a sign and looks
+# back from there, so that the search runs from sign to sign.
+_SIGN = rb"[^\sa-z0-9\x80-\xff]"
+_SIGNS = re.compile(_SIGN + rb"(?:(?<=[a-z0-9]" + _SIGN + rb")|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]" + _SIGN + rb"))" + _SIGN + rb"*(?=\s)")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -55,7 +57,7 @@ class WordIds(dict):
         signs behind a word's last letter, which the tokenizer parts from it anyway, become a word of their own."""
         line = (text or "").encode("utf-8", "replace")
         if b"<|" not in line and b"\xcc" not in line and b"\xcd" not in line:
-            line = _SIGNS.sub(rb" \1", line.lower())
+            line = _SIGNS.sub(rb" \g<0>", line.lower())
         return b"".join(map(self.__getitem__, line.split())) + b"\0\0\0\0"
 
     @classmethod
