@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from msgrisk.llm.shared import labelled_sample
 
 SAMPLE_PER_CLASS = 3000     # labelled rows of each class that a fit reads
-SUPPORT = 4                 # toxic texts that must hold an entry, copies counted once
+SUPPORT = 4                 # different words that an entry must follow in toxic texts, so edited copies don't count
 CHANCE = 1.0                # entries taken by chance at most, on average, if all were as common in clean texts
 COPY_WORDS = 50             # texts of so many words or more are copies of one another even with a few edits
 TELLING = 50                # toxic documents with an entry for one clean document with it
@@ -132,8 +132,9 @@ def _by_chance(toxic: int, clean: int, share: float) -> float:
 def fit(texts: list[str], toxic: list[int]) -> Lexicon:
     """The lexicon that labelled texts show; without texts of both classes every score is low.
 
-    Copies of toxic texts count once.  An entry is taken if enough of these hold it for chance to be ruled out,
-    whatever the number of texts or entries; none is left out for their number."""
+    Copies of toxic texts count once.  An entry is taken if it follows a few different words and enough texts hold
+    it for chance to be ruled out; neither asks more of it as texts grow in number, and none is left out for the
+    number of entries."""
     rows: list[tuple[bool, str]] = []
     known: set[int | str] = set()
     for text, mark in zip(texts, toxic):
@@ -149,10 +150,16 @@ def fit(texts: list[str], toxic: list[int]) -> Lexicon:
     if not n_toxic or not n_clean:
         return Lexicon()
     held: Counter[str] = Counter()
+    places: set[tuple[str, str]] = set()
     for plain, mark in zip(plains, marks):
         if mark:
             held.update(_entries(plain))
-    held = Counter({e: n for e, n in held.items() if n >= SUPPORT})
+            words = plain.split()
+            places.update(zip(["", *words], words))
+    after: Counter[str] = Counter()
+    for _, word in places:
+        after.update(_beginnings(word))
+    held = Counter({e: n for e, n in held.items() if after[e] >= SUPPORT})
     clean: Counter[str] = Counter()
     for plain, mark in zip(plains, marks):
         if not mark:
