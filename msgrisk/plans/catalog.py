@@ -890,9 +890,16 @@ def _work(spark) -> str:
     return f"{checkpoint_root(spark)}/job-{uuid.uuid4().hex}"
 
 
+def _arriving(spark, sf_dir, name: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of files.
+
+    A stream's path must be a folder unless it is a pattern; this one matches the table alone."""
+    schema = demo.table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def _event_stream(spark, sf_dir):
-    schema = demo.table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return _arriving(spark, sf_dir, "events")
 
 
 @query
@@ -958,8 +965,7 @@ def stream_ttl(spark, sf_dir):
 @query
 def stream_feedback(spark, sf_dir):
     work = _work(spark)
-    schema = demo.table(spark, sf_dir, "events").schema
-    arriving = demo.as_feedback(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    arriving = demo.as_feedback(_event_stream(spark, sf_dir))
     jobs.feedback_stream(arriving, f"{work}/out", f"{work}/progress").awaitTermination()
     return spark.read.parquet(f"{work}/out").select("sample_hash", "user_feedback", "feedback_id", "review_status")
 
@@ -967,8 +973,7 @@ def stream_feedback(spark, sf_dir):
 @query
 def stream_dashboard(spark, sf_dir):
     work = _work(spark)
-    schema = demo.table(spark, sf_dir, "events").schema
-    feedback = demo.as_feedback(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    feedback = demo.as_feedback(_event_stream(spark, sf_dir))
     jobs.feedback_stream(feedback, f"{work}/feedback", f"{work}/progress/feedback", panels_path=f"{work}/panels").awaitTermination()
     arriving = demo.as_risk_events(_event_stream(spark, sf_dir))
     jobs.dashboard_stream(arriving, f"{work}/events", f"{work}/panels", f"{work}/progress/events", {"availableNow": True}).awaitTermination()
@@ -987,8 +992,6 @@ def stream_export(spark, sf_dir):
 @query
 def stream_assess(spark, sf_dir):
     work = _work(spark)
-    schema = demo.table(spark, sf_dir, "documents").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    envelopes = triage.triage(demo.as_messages(arriving))
+    envelopes = triage.triage(demo.as_messages(_arriving(spark, sf_dir, "documents")))
     jobs.assess_stream(envelopes, f"{work}/out", f"{work}/progress", REG, key=demo.HMAC_KEY, valid_only=False).awaitTermination()
     return tables.read_events(spark, f"{work}/out").select("id", "sample_hash", "domain", "risk_score", "classification", "confidence", joined("reasons").alias("reasons"))

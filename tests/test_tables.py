@@ -414,3 +414,12 @@ def test_query_equals_its_sql(spark, sf_dir, name):
 
 def test_every_statement_belongs_to_a_query():
     assert set(oracles.statements()) <= set(catalog.QUERIES)
+
+
+def test_streams_read_a_table_of_several_files(spark, tmp_path):
+    texts = [(i, f"Please verify account {i} at https://a{i}.example/x") for i in range(12)]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.id for r in catalog.QUERIES["stream_assess"](spark, str(tmp_path)).collect()} == set(range(12))
+    events = [(i, 100 + i, f"2024-01-01 00:00:{i:02}") for i in range(12)]
+    spark.createDataFrame(events, "event_id long, user_id long, ts string").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.event_id for r in catalog.QUERIES["stream_dedup"](spark, str(tmp_path)).collect()} == set(range(12))
