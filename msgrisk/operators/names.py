@@ -25,6 +25,8 @@ REACH = 2
 PREFIX = 8                  # keys are made of so many first characters
 BROADCAST_KEYS = 200_000    # a few dozen bytes each; more keys are met by a shuffled join
 GRAM = 5
+WORD = 64                   # letters of a name that one machine word holds
+FAR_PAIRS = 1 << 18         # pairs of a text and a name that are looked at together, a few dozen bytes each
 _PLACES = 1 << 32
 
 
@@ -53,49 +55,100 @@ def deletions(text: Column) -> Column:
 
 
 class FarNames:
-    """Exact nearest name of a text by bounds: a name is compared only if its length and the sets of letters
-    allow a distance no greater than the best one found."""
+    """Exact nearest name of texts by bounds: a name is compared only if its length and the sets of letters
+    allow a distance no greater than the best one found.
+
+    Texts are taken together, level by level of the bound.  The pairs of a level are compared at once by Myers' bit
+    vectors (Hyyro's form, a word for each column of the usual table); names of more letters than a word has bits by the
+    table itself."""
 
     def __init__(self, terms: list[Term]):
         self.terms = terms
         self.codes = [_codes(t.term) for t in terms]
         self.size = np.array([len(c) for c in self.codes], np.int64)
         self.masks = np.array([_mask(c) for c in self.codes], np.uint64)
-        self.table = np.full((len(terms), max(self.size, default=0)), 0xFFFFFFFF, np.uint32)
-        for row, codes in zip(self.table, self.codes):
-            row[: len(codes)] = codes
         self.order = np.array([t.position for t in terms], np.int64)
+        self.letters = np.unique(np.concatenate([*self.codes, np.empty(0, np.uint32)]))
+        # name x letter: the places of the letter in the name; the last column is for letters that no name has
+        self.places = np.zeros((len(terms), len(self.letters) + 1), np.uint64)
+        for row, codes in zip(self.places, self.codes):
+            if len(codes) <= WORD:
+                np.bitwise_or.at(row, np.searchsorted(self.letters, codes), np.uint64(1) << np.arange(len(codes), dtype=np.uint64))
         self.compared = 0
 
     def nearest(self, text: str) -> tuple[int, int]:
         """Distance and position of the nearest name; of equally near ones the first in registry order."""
-        codes = _codes(text)
-        mask = _mask(codes)
-        apart = np.maximum(np.bitwise_count(self.masks & ~mask), np.bitwise_count(mask & ~self.masks)).astype(np.int64)
-        bound = np.maximum(apart, np.abs(self.size - len(codes)))
-        best = (1 << 31, 0)
+        distance, position = self.nearest_of([text])
+        return int(distance[0]), int(position[0])
+
+    def nearest_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Distances and positions of the names nearest to the texts, a bounded number of pairs at a time."""
+        step = max(1, FAR_PAIRS // max(1, len(self.terms)))
+        parts = [self._nearest_of(texts[at : at + step]) for at in range(0, len(texts), step)]
+        parts = parts or [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _nearest_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        codes = [_codes(t) for t in texts]
+        sizes = np.array([len(c) for c in codes], np.int64)
+        masks = np.array([_mask(c) for c in codes], np.uint64)[:, None]
+        apart = np.maximum(np.bitwise_count(self.masks & ~masks), np.bitwise_count(masks & ~self.masks)).astype(np.int64)
+        bound = np.maximum(apart, np.abs(self.size - sizes[:, None]))
+        best = np.full(len(texts), 1 << 31, np.int64)
+        position = np.zeros(len(texts), np.int64)
         for level in range(int(bound.max(initial=-1)) + 1):
-            if level > best[0]:
+            text, name = np.nonzero((bound == level) & (best >= level)[:, None])
+            if len(text):
+                gaps = self._distances(codes, sizes, text, name)
+                rank = np.lexsort((self.order[name], gaps, text))
+                first = rank[np.flatnonzero(np.diff(text[rank], prepend=-1))]
+                at, gap, order = text[first], gaps[first], self.order[name[first]]
+                better = (gap < best[at]) | ((gap == best[at]) & (order < position[at]))
+                best[at[better]], position[at[better]] = gap[better], order[better]
+            if not (best > level).any():
                 break
-            at = np.flatnonzero(bound == level)
-            if len(at):
-                gaps = self._distances(codes, at)
-                first = np.lexsort((self.order[at], gaps))[0]
-                best = min(best, (int(gaps[first]), int(self.order[at[first]])))
-        return best
-
-    def _distances(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Edit distances to the names ``at``, row by row of the usual table, all names at once."""
-        self.compared += len(at)
-        names, width = self.table[at, : int(self.size[at].max())], int(self.size[at].max())
-        steps = np.arange(width + 1, dtype=np.int32)
-        above = np.broadcast_to(steps, (len(at), width + 1))
-        for i, code in enumerate(codes):
-            row = np.empty((len(at), width + 1), np.int32)
-            row[:, 0] = i + 1
-            np.minimum(above[:, 1:] + 1, above[:, :-1] + (names != code), out=row[:, 1:])
-            above = np.minimum.accumulate(row - steps, axis=1) + steps
-        return above[np.arange(len(at)), self.size[at]]
+        return best, position
+
+    def _distances(self, codes: list[np.ndarray], sizes: np.ndarray, text: np.ndarray, name: np.ndarray) -> np.ndarray:
+        """Edit distances of the pairs (text, name), letter by letter of the texts, all pairs at once."""
+        self.compared += len(text)
+        gaps = sizes[text]                  # to a name without letters
+        for i in np.flatnonzero(self.size[name] > WORD):
+            gaps[i] = _table_distance(codes[text[i]], self.codes[name[i]])
+        at = np.flatnonzero((self.size[name] > 0) & (self.size[name] <= WORD))
+        at = at[np.argsort(-sizes[text[at]], kind="stable")]        # longest texts first: the others end on the way
+        if not len(at):
+            return gaps
+        used, row = np.unique(text[at], return_inverse=True)
+        table = np.full((len(used), max(1, int(sizes[used].max()))), len(self.letters), np.int64)
+        for line, t in zip(table, used):
+            place = np.searchsorted(self.letters, codes[t])
+            place[place == len(self.letters)] = 0
+            line[: len(codes[t])] = np.where(self.letters[place] == codes[t], place, len(self.letters))
+        one, names, length = np.uint64(1), name[at], sizes[text[at]]
+        last = (self.size[names] - 1).astype(np.uint64)
+        more, less = np.full(len(at), ~np.uint64(0)), np.zeros(len(at), np.uint64)
+        score = self.size[names].copy()
+        for i in range(int(length.max(initial=0))):
+            n = int(np.searchsorted(-length, -i, "left"))       # texts with more than i letters
+            more, less = more[:n], less[:n]
+            same = self.places[names[:n], table[row[:n], i]]
+            below = (((same & more) + more) ^ more) | same | less
+            up, down = less | ~(below | more), more & below
+            score[:n] += ((up >> last[:n]) & one).astype(np.int64) - ((down >> last[:n]) & one).astype(np.int64)
+            up, down = (up << one) | one, down << one
+            more, less = down | ~(below | up), up & below
+        gaps[at] = score
+        return gaps
+
+
+def _table_distance(text: np.ndarray, name: np.ndarray) -> int:
+    steps = np.arange(len(name) + 1, dtype=np.int64)
+    above = steps
+    for i, code in enumerate(text):
+        row = np.concatenate(([i + 1], np.minimum(above[1:] + 1, above[:-1] + (name != code))))
+        above = np.minimum.accumulate(row - steps) + steps
+    return int(above[-1])
 
 
 def _codes(text: str) -> np.ndarray:
@@ -123,19 +176,19 @@ def nearest_names(texts: DataFrame, terms: list[Term]) -> DataFrame:
     distance = F.levenshtein("text", "term", REACH).cast("long")        # negative beyond the reach
     code = F.when(distance >= 0, distance * _PLACES + F.col("position"))
     close = probes.join(keyed, "key", "left").groupBy("text").agg(F.min(code).alias("code"))
+    # A few bytes a text, but much work: spread by number, as adaptive execution would put so few bytes into one task.
+    close = close.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.reverse("text"))
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         far = None
         for batch in batches:
-            found = []
-            for text, code in zip(batch["text"], batch["code"].astype("Int64")):
-                if code is pd.NA:
-                    far = far or FarNames(terms)
-                    found.append((text, *far.nearest(text)))
-                else:
-                    found.append((text, *divmod(int(code), _PLACES)))
-            out = pd.DataFrame(found, columns=["text", "distance", "position"])
-            yield out.assign(brand=out["position"].map(brands)).drop(columns="position")
+            missing = batch["code"].isna().to_numpy()
+            distance, position = np.divmod(batch["code"].fillna(0).astype("int64").to_numpy(), _PLACES)
+            if missing.any():
+                far = far or FarNames(terms)
+                distance[missing], position[missing] = far.nearest_of(batch["text"][missing].tolist())
+            brand = pd.Series(position, index=batch.index).map(brands)
+            yield pd.DataFrame({"text": batch["text"], "distance": distance.astype("int32"), "brand": brand})
 
     return close.mapInPandas(settle, "text string, distance int, brand string")
 

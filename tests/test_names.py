@@ -81,6 +81,32 @@ def test_far_names_are_bounded(many):
     assert far.compared < 0.6 * 30 * len(many)
 
 
+def test_far_names_of_many_texts_equal_a_plain_search():
+    draw = random.Random(12)
+    for letters in ("ab", "abcé日", LETTERS):
+        terms = [Term("".join(draw.choices(letters, k=k)), i, f"b{i}") for i, k in enumerate([0, 3, 5, 8, 8, 63, 64, 65, 90])]
+        texts = ["", *("".join(draw.choices(letters + "-", k=draw.choice((1, 6, 20, 80)))) for _ in range(40))]
+        distance, position = names.FarNames(terms).nearest_of(texts)
+        for text, d, p in zip(texts, distance, position):
+            assert (d, p) == min((plain_distance(text, t.term), t.position) for t in terms)
+
+
+def plain_distance(text, name):
+    above = list(range(len(name) + 1))
+    for i, a in enumerate(text):
+        row = [i + 1]
+        for j, b in enumerate(name):
+            row.append(min(above[j + 1] + 1, row[j] + 1, above[j] + (a != b)))
+        above = row
+    return above[-1]
+
+
+def test_far_texts_are_spread_over_tasks(spark):
+    texts = spark.createDataFrame([(f"zzzzzzzz{i}",) for i in range(400)], "text string")
+    found = names.nearest_names(texts, [Term("paypal", 0, "P")]).select(F.spark_partition_id().alias("at"))
+    assert found.distinct().count() > 1
+
+
 def test_contained_names(spark, many):
     draw = random.Random(9)
     terms = [t for t in many if len(t.term) >= 4][:20_000]
