@@ -3,10 +3,11 @@
 A window of a document is as long as an item.  Every window that shares enough shingles of five words with an
 item of its size to be as similar as asked gets a SimHash of its shingles, each counted as often as it occurs;
 all others are ruled out by that count, without loss.  Multi-index Hamming blocks give all pairs of a window and
-an item of its size whose fingerprints lie within the radius, and the exact similarity of weighted shingles
-(weight: times it occurs) decides.  At similarity 0.8 fingerprints differ in about 10 bits with a deviation of 3,
-but the bits of few or evenly balanced shingles may all turn over.  So documents with windows that share enough
-and none within the radius are compared exactly as well; they have a null distance in the result.
+an item of its size whose fingerprints lie within the radius; these windows are compared first, by the exact
+similarity of weighted shingles (weight: times it occurs).  At similarity 0.8 fingerprints differ in about 10 bits with
+a deviation of 3, but the bits of few or evenly balanced shingles may all turn over.  So of the other windows those
+are compared as well that may be better than the best one found so, and all of documents without such a one;
+documents with none within the radius have a null distance in the result.
 """
 
 from __future__ import annotations
@@ -168,7 +169,7 @@ def _starts(shared: DataFrame) -> DataFrame:
 
 
 def _near(docs: DataFrame, windows: DataFrame, items: DataFrame) -> DataFrame:
-    """Columns doc, item, distance: documents with a window near to an item, by fingerprints."""
+    """Columns doc, item, start, distance: the windows near to an item, by fingerprints."""
     wanted = windows.select("doc", "size", "n_win", "start").distinct()
     keys = keep(windows.select(F.col("doc.text_key").alias("text_key")).distinct())
     few = F.broadcast(keys) if keys.count() <= BROADCAST_TEXTS else keys        # else whole texts are shuffled
@@ -185,28 +186,51 @@ def _near(docs: DataFrame, windows: DataFrame, items: DataFrame) -> DataFrame:
         if size == SHINGLE_WORDS and items.where(F.col("size") < SHINGLE_WORDS).isEmpty():
             break
     pairs = _close_pairs(prints, _simhash(items, ["item", "size"], "grams"))
-    return pairs.groupBy(F.col("win.doc").alias("doc"), "item").agg(F.min("distance").alias("distance"))
+    return pairs.select("win.doc", "item", "win.start", "distance")
 
 
-def _best_windows(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
-    """Columns doc_id, text_key, item, b (similarity, back, words, closeness): the best window of each text of an id."""
-    shared = _shared(docs, items, similarity)
-    windows = _starts(shared)
-    near = keep(_near(docs, windows.select("doc", "item", "size", "n_win", "start"), items))
-    held = windows.join(near, ["doc", "item"], "left")
-    held = held.withColumn("hits", F.filter("hits", lambda h: (h["at"] >= F.col("start")) & (h["at"] < F.col("start") + F.col("n_win"))))
-    held = held.select("doc", "item", "size", "n_grams", "n_win", "start", "distance", "hits")
+def _similar(held: DataFrame, similarity: float) -> DataFrame:
+    """Columns doc, item, b (similarity, back, words): the windows (with ``hits``, the places inside them) at least so similar."""
     # Where no shingle occurs twice, all places inside count; else each shingle as often as both have it.
     single = F.size(F.array_distinct(F.transform("hits", lambda h: h["gram"]))) == F.size("hits")
-    window = ["doc", "item", "size", "n_grams", "n_win", "start", "distance"]
+    window = ["doc", "item", "size", "n_grams", "n_win", "start"]
     plain = held.where(single).select(*window, F.size("hits").cast("long").alias("both"))
     each = held.where(~single).select(*window, F.explode("hits").alias("h"))
     each = each.groupBy(*window, "h.gram", "h.times").agg(F.count("*").alias("n"))
     counted = each.groupBy(*window).agg(F.sum(F.least("n", "times")).alias("both"))
-    ratio = F.col("both") / (F.col("n_win") + F.col("n_grams") - F.col("both"))
-    scored = plain.union(counted).withColumn("similarity", ratio).where(F.col("similarity") >= similarity)
-    best = F.struct("similarity", (-F.col("start")).alias("back"), F.col("size").alias("words"), (-F.col("distance")).alias("closeness"))
-    return scored.groupBy(F.col("doc.doc_id").alias("doc_id"), F.col("doc.text_key").alias("text_key"), "item").agg(F.max(best).alias("b"))
+    scored = plain.union(counted).withColumn("similarity", _ratio(F.col("both"))).where(F.col("similarity") >= similarity)
+    return scored.select("doc", "item", F.struct("similarity", (-F.col("start")).alias("back"), F.col("size").alias("words")).alias("b"))
+
+
+def _ratio(both: Column) -> Column:
+    return both / (F.col("n_win") + F.col("n_grams") - both)
+
+
+def _unsettled(held: DataFrame, settled: DataFrame) -> DataFrame:
+    """The windows that may be better than the one that ``settled`` has for their document and item, if it has one:
+    no window is more similar than if all its places counted."""
+    open_ = held.join(settled.select("doc", "item", F.col("b").alias("least")), ["doc", "item"], "left")
+    reach = F.struct(_ratio(F.size("hits").cast("long")).alias("similarity"), (-F.col("start")).alias("back"), F.col("size").alias("words"))
+    return open_.where(F.col("least").isNull() | (reach > F.col("least"))).drop("least")
+
+
+def _best_windows(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """Columns doc_id, text_key, item, b (similarity, back, words, closeness): the best window of each text of an id.
+
+    The windows near by fingerprint are compared first.  Then only those that may be better than the best of them are;
+    of documents without such a one that is as similar as asked, all."""
+    shared = _shared(docs, items, similarity)
+    windows = _starts(shared)
+    near = keep(_near(docs, windows.select("doc", "item", "size", "n_win", "start"), items))
+    held = windows.withColumn("hits", F.filter("hits", lambda h: (h["at"] >= F.col("start")) & (h["at"] < F.col("start") + F.col("n_win"))))
+    held = held.select("doc", "item", "size", "n_grams", "n_win", "start", "hits")
+    by_print = _similar(held.join(near.drop("distance"), ["doc", "item", "start"], "left_semi"), similarity)
+    settled = keep(by_print.groupBy("doc", "item").agg(F.max("b").alias("b")))
+    least = near.groupBy("doc", "item").agg(F.min("distance").alias("distance"))
+    rest = _similar(_unsettled(held, settled), similarity)
+    found = settled.union(rest).join(least, ["doc", "item"], "left")
+    best = F.struct("b.*", (-F.col("distance")).alias("closeness"))
+    return found.groupBy(F.col("doc.doc_id").alias("doc_id"), F.col("doc.text_key").alias("text_key"), "item").agg(F.max(best).alias("b"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

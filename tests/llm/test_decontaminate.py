@@ -132,6 +132,22 @@ def test_all_windows_of_edited_passages(spark):
     assert near >= 0.95 * len(rows) and all(r.distance is None or r.distance <= decontaminate.RADIUS for r in rows.values())
 
 
+def test_what_fingerprints_find_is_not_compared_again(spark, monkeypatch):
+    rng = random.Random(13)
+    items = [(k, " ".join(f"w{rng.getrandbits(40)}" for _ in range(60))) for k in range(6)]
+    docs = [(k, "some words before " + t + " and some behind") for k, t in items]
+    compared, similar = [], decontaminate._similar
+    monkeypatch.setattr(decontaminate, "_similar", lambda held, s: compared.append(held.select("doc", "item", "start").count()) or similar(held, s))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    assert decontaminate.clean_rows(documents(spark, docs), table).isEmpty()
+    by_print, rest = compared
+    assert by_print >= 6 and rest == 0
+    compared.clear()
+    monkeypatch.setattr(decontaminate, "RADIUS", -1)        # no window is near: all are compared, and found alike
+    assert decontaminate.clean_rows(documents(spark, docs), table).isEmpty()
+    assert compared[0] == 0 and compared[1] >= by_print
+
+
 def test_swapped_halves(spark):
     """The best window of a swapped passage lies between the places that line its halves up."""
     rng = random.Random(10)
