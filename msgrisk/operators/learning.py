@@ -11,8 +11,12 @@ SCORE_BUCKETS = 1000
 
 # -------------------------------------------------------------------- vocabulary
 def words(text: Column) -> Column:
-    """Lower-case words of two or more letters or digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    """Lower-case words of two or more letters or digits.
+
+    Texts without other characters take the plain classes, several times faster than those of Unicode."""
+    wide = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    plain = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{2,}"), F.lit(0))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), wide).otherwise(plain)
 
 
 def words_and_pairs(tokens: Column) -> Column:
@@ -34,7 +38,7 @@ def term_counts(docs: DataFrame, terms: str) -> DataFrame:
     Sorting the terms inside their document marks the first of each run, so the
     document count is a plain sum that combines before the shuffle, like the total.
     """
-    rows = docs.select(F.array_sort(F.col(terms)).alias("_sorted"))
+    rows = docs.select(F.sort_array(F.col(terms)).alias("_sorted"))
     marked = F.transform(
         F.col("_sorted"),
         lambda t, i: F.struct(
