@@ -20,6 +20,8 @@ from msgrisk.registry import Registry
 from msgrisk.session import store
 from msgrisk.sources.messages import deduplicate_texts
 
+TREE_ROWS = 5_000       # rows that a task of a tree's fit reads; each is a dense array of some 8,000 numbers there
+
 log = logging.getLogger(__name__)
 
 
@@ -125,6 +127,16 @@ def logistic_regression(n_rows: int) -> LogisticRegression:
     )
 
 
+def tree_rows(vectors: DataFrame, n_rows: int) -> DataFrame:
+    """The vectors in parts of about ``TREE_ROWS`` rows, if they are in larger ones.
+
+    The fit of trees keeps every row as a dense array and reads a part whole, so that the bytes of a part must be
+    bounded by rows, not by the size of the sparse vectors."""
+    parts = -(-n_rows // TREE_ROWS)
+    large = parts > min(vectors.rdd.getNumPartitions(), vectors.sparkSession.sparkContext.defaultParallelism)
+    return vectors.repartition(parts) if large else vectors
+
+
 def split_rule(frame: DataFrame) -> tuple[float, bool, int]:
     """(test share, stratify?, rows) from the class sizes."""
     counts = {r["label"]: r["n_rows"] for r in learning.class_weights(frame).collect()}
@@ -181,16 +193,18 @@ def compare_models(frame: DataFrame, seed: int = 42, text_size: int = fv.VOCABUL
     ``max_fpr``: best recall first, the lower rate breaks ties."""
     model, stages, train_vectors, test, _ = _split_vectors(frame, text_size, seed)
     test_vectors = store(stages.transform(model.prepare(test)).select("label", "features_vector"))
+    n_train = train_vectors.count()
     common = dict(featuresCol="features_vector", labelCol="label", weightCol="weight")
     candidates = {
-        "logistic_regression": logistic_regression(train_vectors.count()),
+        "logistic_regression": logistic_regression(n_train),
         "linear_svm": LinearSVC(**common, regParam=0.01, maxIter=30),
         "random_forest": RandomForestClassifier(**common, numTrees=20, maxDepth=4, seed=seed),
         "boosted_trees": GBTClassifier(**common, maxIter=5, maxDepth=3, seed=seed),
     }
     results = None
     for name, estimator in candidates.items():
-        rated = estimator.fit(train_vectors).transform(test_vectors)
+        of_trees = isinstance(estimator, (RandomForestClassifier, GBTClassifier))
+        rated = estimator.fit(tree_rows(train_vectors, n_train) if of_trees else train_vectors).transform(test_vectors)
         # margins of a machine without probabilities keep their order on the way to 0..1
         score = vector_to_array("probability")[1] if "probability" in rated.columns else 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
         point = learning.operating_point(rated.select("label", score.alias("score")), max_fpr)

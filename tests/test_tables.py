@@ -423,3 +423,20 @@ def test_streams_read_a_table_of_several_files(spark, tmp_path):
     events = [(i, 100 + i, f"2024-01-01 00:00:{i:02}") for i in range(12)]
     spark.createDataFrame(events, "event_id long, user_id long, ts string").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
     assert {r.event_id for r in catalog.QUERIES["stream_dedup"](spark, str(tmp_path)).collect()} == set(range(12))
+
+
+def test_words_of_plain_and_other_texts_are_cut_alike(spark):
+    texts = ["Ab a_1 x 22, don't e-mail", "\x00_ __ a\tbc\u007f", "", "Ünï ab 日本語 é x", "İab ſcd Kelvin K9 ab"]
+    wide = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string").select(learning.words(F.col("text")).alias("w"), wide.alias("wide"))
+    assert all(r.w == r.wide for r in rows.collect())
+    assert "regexp_extract_all(lower(text#" in (plan := rows._jdf.queryExecution().toString()) and "[a-z0-9_]{2,}" in plan
+
+
+def test_parts_of_a_tree_fit_are_bounded_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(training, "TREE_ROWS", 50)
+    rows = spark.range(1000).coalesce(1)
+    sizes = training.tree_rows(rows, 1000).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 20 and max(r["count"] for r in sizes) <= 100
+    few = spark.range(40).coalesce(1)
+    assert training.tree_rows(few, 40) is few
