@@ -50,12 +50,14 @@ def normalize_text(col: Column) -> Column:
 
 
 def tokens(lowered: Column) -> Column:
-    """Runs of letters a-z and digits.  The class with the two extra letters is many
-    times slower, so it is used only for texts that contain one of them."""
+    """Runs of letters a-z and digits, matched as such: splitting at the gaps between them is slower.  The class with
+    the two extra letters is many times slower, so it is used only for texts that contain one of them."""
     extra = [F.contains(lowered, F.lit(letter)) for letter in fv.TOKEN_EXTRA_LETTERS]
-    wide_gap = fv.TOKEN_GAP.replace("]", fv.TOKEN_EXTRA_LETTERS + "]")
-    parts = F.when(extra[0] | extra[1], F.split(lowered, wide_gap)).otherwise(F.split(lowered, fv.TOKEN_GAP))
-    return F.array_remove(parts, "")
+    run = fv.TOKEN_GAP.replace("^", "")
+    wide = run.replace("]", fv.TOKEN_EXTRA_LETTERS + "]")
+    return F.when(extra[0] | extra[1], F.regexp_extract_all(lowered, F.lit(wide), F.lit(0))).otherwise(
+        F.regexp_extract_all(lowered, F.lit(run), F.lit(0))
+    )
 
 
 def phrase_count(lowered: str, phrases: list[str]) -> Column:
