@@ -743,11 +743,10 @@ def recent_feedback(spark, sf_dir):
 # ------------------------------------------------------------------- rules, feeds
 @query
 def rule_hits(spark, sf_dir):
-    rows = features(spark, sf_dir)
+    rows = plan.extract_features(masked(spark, sf_dir), REG, training.TextPassThrough())
     flags = {c: F.col(c) for c in ("display_name_mismatch", "domain_registry_mismatch", "anchor_mismatch_flag", "punycode_detection")}
     flags["homoglyph"] = F.when(dom.has_homoglyph(F.col("normalized_domain")), 1.0).otherwise(0.0)
-    text = add_text_features(masked(spark, sf_dir)).select("msg_id", "text")
-    return rules.rule_hits(rows.join(text, "msg_id"), "text", flags).select("msg_id", "rule_id", "severity")
+    return rules.rule_hits(rows, "model_text", flags).select("msg_id", "rule_id", "severity")
 
 
 def _feed(spark, sf_dir):

@@ -440,3 +440,8 @@ def test_parts_of_a_tree_fit_are_bounded_by_rows(spark, monkeypatch):
     assert len(sizes) == 20 and max(r["count"] for r in sizes) <= 100
     few = spark.range(40).coalesce(1)
     assert training.tree_rows(few, 40) is few
+
+
+def test_rules_read_each_text_once(spark, sf_dir):
+    plan = catalog.QUERIES["rule_hits"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("text:string>") == 1
