@@ -6,8 +6,9 @@ import re
 import sys
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,14 +21,16 @@ SAMPLE_PER_LANGUAGE = 1200  # labelled rows of each language that a fit reads
 GRAMS = (1, 2, 3, 4)
 WEIGHTS = (0.25, 0.25, 1.0, 1.0)    # of the lengths
 BUCKETS = 1 << 18           # rows of the table of n-grams
+KNOWN_WORDS = 200_000       # scored words that a tagger remembers, a few dozen bytes a language each
 SMOOTHING = 0.5
+TOGETHER = 1 << 18          # characters of texts whose new words are scored at once
 PENALTY = 12.0              # log-odds that a change of language must win
 FLOOR = -50.0               # log-odds that one word can weigh
 SCRIPT_SHARE = 0.001        # share of a language's letters that makes a script its own
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 # Numbers that aren't decimal digits, such as fractions and Roman numerals: \w has them, but they are no letters.
-_NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
+_NUMBERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 # First code points of the blocks that tell a script; a letter belongs to the last one before it.
 SCRIPT_RANGES = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"),
@@ -57,8 +60,12 @@ def words_of(text: str | None) -> list[str]:
     """Runs of letters, lower-cased and composed."""
     if not text:
         return []
-    plain = text if text.isascii() else unicodedata.normalize("NFC", text)
-    return _LETTERS.findall(plain.lower() if plain.isascii() else _NUMBERS.sub(" ", plain).lower())
+    if text.isascii():
+        return _LETTERS.findall(text.lower())
+    plain = unicodedata.normalize("NFC", text)
+    for number in _NUMBERS.intersection(plain):
+        plain = plain.replace(number, " ")
+    return _LETTERS.findall(plain.lower())
 
 
 @dataclass
@@ -103,8 +110,34 @@ def fit(texts: list[str], languages: list[str]) -> LanguageModel:
 class Tagger:
     def __init__(self, model: LanguageModel, penalty: float = PENALTY):
         self.model, self.penalty = model, penalty
+        self._forget()
+
+    def _forget(self) -> None:
+        self._place: dict[str, int] = {}        # of a scored word in the table
+        self._scored = np.empty((1024, len(self.model.languages)))
+
+    def _remember(self, words: Iterable[str]) -> None:
+        """The score of a word is its own, whatever stands beside it, so each word is scored once and remembered;
+        words that are too many start anew."""
+        new = list(wanted.difference(self._place)) if (wanted := set(words)) else []
+        if new and len(self._place) + len(new) > KNOWN_WORDS:
+            self._forget()
+            new = list(wanted)
+        known = len(self._place)
+        if known + len(new) > len(self._scored):
+            grown = np.empty((max(2 * len(self._scored), known + len(new)), self._scored.shape[1]))
+            grown[:known] = self._scored[:known]
+            self._scored = grown
+        if new:
+            self._scored[known : known + len(new)] = self._fresh_scores(new)
+            self._place.update(zip(new, range(known, known + len(new))))
 
     def scores(self, words: list[str]) -> np.ndarray:
+        """Word x language, as ``_fresh_scores`` gives them."""
+        self._remember(words)
+        return self._scored[np.array([self._place[w] for w in words], np.intp)]
+
+    def _fresh_scores(self, words: list[str]) -> np.ndarray:
         """Word x language: log probability, the best language at zero.  Languages that aren't written in a
         word's script are ruled out; a word in a script of no language is no sign of any."""
         parts = []
@@ -180,11 +213,29 @@ class Tagger:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language of most letters, and its share of them; ``und`` and 0 without letters or languages."""
-        words = words_of(text)
+        return self._predicted(words_of(text))
+
+    def predictions(self, texts: Iterable[str | None]) -> Iterator[tuple[str, float]]:
+        """``predict`` for each of the texts; the new words of texts of some ``TOGETHER`` characters are scored at once."""
+        group, size = [], 0
+        for text in texts:
+            group.append(words_of(text))
+            size += len(text or "")
+            if size >= TOGETHER:
+                yield from self._grouped(group)
+                group, size = [], 0
+        yield from self._grouped(group)
+
+    def _grouped(self, group: list[list[str]]) -> Iterator[tuple[str, float]]:
+        if self.model.languages:
+            self._remember(chain.from_iterable(group))
+        return map(self._predicted, group)
+
+    def _predicted(self, words: list[str]) -> tuple[str, float]:
         if not words or not self.model.languages:
             return UNKNOWN, 0.0
         path = self.path(words)
-        sizes = np.bincount(path, weights=[len(w) for w in words], minlength=len(self.model.languages))
+        sizes = np.bincount(path, weights=np.array(list(map(len, words))), minlength=len(self.model.languages))
         main = int(sizes.argmax())
         return self.model.languages[main], float(sizes[main] / sizes.sum())
 
@@ -203,7 +254,7 @@ def identified(docs: DataFrame, model: LanguageModel, column: str = "language")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tagger = Tagger(model)
         for texts in batches:
-            found = [tagger.predict(t) for t in texts]
+            found = list(tagger.predictions(texts))
             yield pd.DataFrame(found, columns=["lang_pred", "score"], index=texts.index).astype({"score": "float64"})
 
     return docs.withColumn(column, predict(F.col("text")))

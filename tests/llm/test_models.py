@@ -279,3 +279,21 @@ def test_quality_training_equals_a_plain_one(monkeypatch):
     for text, row in zip(texts, rows):
         z = sum(share * (table[b].astype(float) @ out) for b, share in row.items()) + offset
         assert abs(model.probability(text, "1") - math.exp(z[1]) / (math.exp(z[0]) + math.exp(z[1]))) < 1e-3
+
+
+def test_a_word_is_scored_once(tagger, monkeypatch):
+    texts = ["the lazy dog, el perro", None, "the dog \u00bd the dog дом", "", "123", "casa casa dog", "el zorro over the house " * 50]
+    alone = [language.Tagger(tagger.model).predict(t) for t in texts]
+    scored = []
+
+    class Counted(language.Tagger):
+        def _fresh_scores(self, words):
+            scored.extend(words)
+            return super()._fresh_scores(words)
+
+    assert list(Counted(tagger.model).predictions(texts * 3)) == alone * 3
+    assert sorted(scored) == sorted({w for t in texts for w in language.words_of(t)})
+    monkeypatch.setattr(language, "KNOWN_WORDS", 3)
+    monkeypatch.setattr(language, "TOGETHER", 10)
+    assert list(Counted(tagger.model).predictions(texts * 3)) == alone * 3
+    assert list(Counted(language.fit([], [])).predictions(texts)) == [("und", 0.0)] * len(texts)
