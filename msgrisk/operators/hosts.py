@@ -226,16 +226,18 @@ def host_profile(hosts: DataFrame, registry: Registry) -> DataFrame:
     """
     sender = F.col("is_sender") if "is_sender" in hosts.columns else F.lit(True)
     extra = [c for c in hosts.columns if c != "host"]
+    # Few bytes, but much work: what needs the host alone is done in parts whose number doesn't follow their bytes,
+    # before the joins with the nearest names shuffle the rows.
+    hosts = names.spread(hosts, "host")
     looked_up = trust_and_verified(hosts, registry)
-    near = add_nearest_brand(add_lookalike(looked_up, registry, hosts), registry, sender, hosts)
-    best = near.withColumn("_best", F.when(sender, dom.best_random_label(F.col("host"))))
+    best = looked_up.withColumn("_best", F.when(sender, dom.best_random_label(F.col("host"))))
     infra = {
         name: F.when(sender, col)
         for name, col in dom.infrastructure_columns(F.col("host"), F.col("_best")).items()
     }
-    return best.withColumns(
+    near = add_nearest_brand(add_lookalike(best.withColumns(infra), registry, hosts), registry, sender, hosts)
+    return near.withColumns(
         {
-            **infra,
             "trust_brand": F.col("trust")["brand"],
             "trust_type": F.col("trust")["trust_type"],
             "strong_sender": F.coalesce(F.col("trust")["strong"], F.lit(False)),

@@ -30,6 +30,11 @@ FAR_PAIRS = 1 << 18         # pairs of a text and a name that are looked at toge
 _PLACES = 1 << 32
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Small rows that cost much work, by key in as many parts as a shuffle has, whatever their bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 # ------------------------------------------------------------------ nearest names
 def _one_less(text: Column) -> Column:
     """The text without each of its characters in turn."""
@@ -172,12 +177,16 @@ def nearest_names(texts: DataFrame, terms: list[Term]) -> DataFrame:
     keyed = names.select(F.explode(deletions(F.col("term"))).alias("key"), "term", "position")
     n_keys = sum(1 + min(len(t.term), PREFIX) * (min(len(t.term), PREFIX) + 1) // 2 for t in terms)     # at most
     keyed = F.broadcast(keyed) if n_keys <= BROADCAST_KEYS else keyed.hint("merge")
-    probes = texts.where("text is not null").select("text").distinct().select("text", F.explode(deletions(F.col("text"))).alias("key"))
+    # A few bytes a text, but much work: spread by number, as adaptive execution would put so few bytes into one task.
+    # All that follows stays in these parts.  The key is the reversed text, a one-to-one image: by the text itself the
+    # rows are grouped already, and Spark would leave the spreading out.
+    probes = spread(texts.where("text is not null").select("text").distinct().select(F.reverse("text").alias("back")), "back")
+    probes = probes.select("back", F.reverse("back").alias("text"))
+    probes = probes.select("back", "text", F.explode(deletions(F.col("text"))).alias("key"))
     distance = F.levenshtein("text", "term", REACH).cast("long")        # negative beyond the reach
     code = F.when(distance >= 0, distance * _PLACES + F.col("position"))
-    close = probes.join(keyed, "key", "left").groupBy("text").agg(F.min(code).alias("code"))
-    # A few bytes a text, but much work: spread by number, as adaptive execution would put so few bytes into one task.
-    close = close.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.reverse("text"))
+    close = probes.join(keyed, "key", "left").groupBy("back").agg(F.min(code).alias("code"))
+    close = close.select(F.reverse("back").alias("text"), "code")
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         far = None

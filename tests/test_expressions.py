@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from msgrisk import schemas
-from msgrisk.functions import domains, privacy, scoring, structure, urls
+from msgrisk import fixed_values as fv, schemas
+from msgrisk.functions import domains, privacy, scoring, structure, text, urls
 from msgrisk.functions.text import add_text_features
 from msgrisk.operators import analytics
 from msgrisk.sources import messages as source
@@ -194,3 +194,9 @@ def test_unknown_label_stops_the_job(spark):
     rows = spark.createDataFrame([("t", "maybe")], "text string, label string")
     with pytest.raises(Exception, match="unsupported label"):
         source.training_messages(rows).collect()
+
+
+def test_every_blank_is_a_space(spark):
+    odd = ["a" + c + c + "b" + c for c in "\0" + fv.BLANK_CHARACTERS] + ["", None, "\u1681\u2010\u2fff", "\x01\x1b\x84", " \n\u3000 "]
+    shown = ["a b"] * (len(odd) - 5) + ["", "", "\u1681\u2010\u2fff", "\x01\x1b\x84", ""]
+    assert evaluate(spark, odd, text.normalize_text) == shown

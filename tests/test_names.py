@@ -176,3 +176,16 @@ def test_registry_tables_hold_any_text(spark):
     assert rows[0]["a"] == odd and rows[0]["b"][0]["y"] == odd and rows[0]["c"] is None
     registry = Registry.build([], [(odd, "o'dd.com", "primary")])
     assert registry.trust_table(spark).collect()[0]["brand"] == odd and registry.verified_table(spark).collect()[0]["brands"][0]["brand"] == odd
+
+
+def test_work_on_texts_and_hosts_is_spread(spark):
+    def plan(rows):
+        return rows._jdf.queryExecution().executedPlan().toString()
+
+    texts = spark.createDataFrame([("paypa1",), ("zzzz",), (None,)], "text string")
+    near = plan(names.nearest_names(texts, Registry.sample().aliases))
+    assert "REPARTITION_BY_NUM" in near[near.index("Generate") :]       # below the deletions
+    found = hosts.host_profile(spark.createDataFrame([("a.paypal.com",), ("",)], "host string"), Registry.sample())
+    pieces = plan(found)
+    assert "REPARTITION_BY_NUM" in pieces[pieces.index("ObjectHashAggregate") :]
+    assert found.count() == 2
