@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from msgrisk.session import apply_settings, checkpoint_root
 
 MOST_LABELS = 10_000    # values of a label whose sizes are broadcast, a few bytes each
+BROADCAST_ROWS = 200_000    # rows of a few numbers, up to about 150 bytes each in a broadcast, that Spark may choose to broadcast
 BATCH_ROWS = 1000       # texts that a Python worker holds at once; Spark bounds the bytes of a batch as well
 
 
@@ -48,6 +49,15 @@ def regrouped(key: Column) -> Column:
     return key.bitwiseXOR(F.lit(1).cast("long"))
 
 
+def unless_many(side: DataFrame, n: int) -> DataFrame:
+    """``side`` of a join, both of which are shuffled if ``n``, a bound on the rows that might be broadcast, is large.
+
+    Else Spark chooses.  It goes by bytes, which it takes from files however well they are compressed and which
+    leave out what an explode adds, so it may send a table to the driver that has no room for it.
+    """
+    return side.hint("merge") if n > BROADCAST_ROWS else side
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's text, modulo: decides which rows a model may learn from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
 from msgrisk.llm.components import connected_components
-from msgrisk.llm.shared import keep, regrouped, set_apart
+from msgrisk.llm.shared import keep, regrouped, set_apart, unless_many
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -91,17 +91,19 @@ def fingerprint_components(prints: DataFrame) -> DataFrame:
     spread = _spread(prints)
     heads = spread.groupBy("blocks", "key").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1")
     heads = heads.select("blocks", regrouped(F.col("key")).alias("k"), "head")
+    heads = heads.hint("merge")     # Spark takes both sides to be as few as the fingerprints: no broadcast
     crowded = keep(spread.withColumn("k", regrouped(F.col("key"))).join(heads, ["blocks", "k"]).select("blocks", "key", "fp", "head"))
     stars = crowded.where((F.col("fp") != F.col("head")) & _near(F.col("fp"), F.col("head")))
     groups = keep(connected_components(stars.select(F.col("fp").alias("a"), F.col("head").alias("b"))))
 
     named = groups.select(F.col("node").alias("fp"), F.col("component").alias("part"))
-    rows = crowded.drop("head").join(named, "fp", "left").withColumn("part", F.coalesce("part", "fp"))
+    rows = crowded.drop("head").join(unless_many(named, groups.count()), "fp", "left").withColumn("part", F.coalesce("part", "fp"))
     rows = keep(rows)
+    n_rows = rows.count()
     mixed = rows.groupBy("blocks", "key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most")
     mixed = mixed.select("blocks", regrouped(F.col("key")).alias("k"))
-    rows = keep(rows.withColumn("k", regrouped(F.col("key"))).join(mixed, ["blocks", "k"], "left_semi").drop("k"))
-    x, y = rows.alias("x"), rows.alias("y")
+    rows = keep(rows.withColumn("k", regrouped(F.col("key"))).join(unless_many(mixed, n_rows), ["blocks", "k"], "left_semi").drop("k"))
+    x, y = rows.alias("x"), unless_many(rows.alias("y"), rows.count())
     same = (F.col("x.blocks") == F.col("y.blocks")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part"))
     a, b = F.col("x.fp"), F.col("y.fp")
     across = x.join(y, same & _near(a, b) & _first_shared(a, b, F.col("x.blocks")))
@@ -109,7 +111,7 @@ def fingerprint_components(prints: DataFrame) -> DataFrame:
     merged = keep(connected_components(across)).select(F.col("node").alias("part"), F.col("component").alias("whole"))
 
     members = named.union(merged.select("part", "part")).distinct()
-    members = members.join(merged, "part", "left")
+    members = members.join(unless_many(merged, merged.count()), "part", "left")
     return members.select("fp", F.coalesce("whole", "part").alias("component"))
 
 
@@ -127,14 +129,15 @@ def _grouped(docs: DataFrame, *more: Column) -> DataFrame:
     """``near_duplicates`` with component, a fingerprint that names the group (an id may be the least of several), and ``more``."""
     rows = keep(docs.select("doc_id", fingerprints(F.col("text")).alias("fp"), *more))
     prints = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    n_rows, n_prints = rows.count(), prints.count()
     groups = fingerprint_components(prints.select("fp"))
-    grouped = prints.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    grouped = prints.join(unless_many(groups, n_prints), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     grouped = keep(grouped)
     least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     least = least.select(regrouped(F.col("component")).alias("k"), "component_id")
-    named = grouped.withColumn("k", regrouped(F.col("component"))).join(least, "k").select("fp", "component", "component_id")
+    named = grouped.withColumn("k", regrouped(F.col("component"))).join(unless_many(least, n_prints), "k").select("fp", "component", "component_id")
     named = named.select(regrouped(F.col("fp")).alias("k"), "component", "component_id")
-    return rows.withColumn("k", regrouped(F.col("fp"))).join(named, "k").drop("k")
+    return rows.withColumn("k", regrouped(F.col("fp"))).join(unless_many(named, n_rows), "k").drop("k")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
@@ -160,13 +163,14 @@ def one_row_of_each_group(docs: DataFrame) -> DataFrame:
     text_key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key")
     found = keep(_grouped(docs, text_key))
     first = found.where(F.col("doc_id") == F.col("component_id")).groupBy("component").agg(F.min(F.struct("doc_id", "_key")).alias("row"))
-    named = docs.withColumn("_key", text_key).join(first.select("row.*"), ["doc_id", "_key"], "left_semi")
+    first = unless_many(first.select("row.*"), found.count())
+    named = docs.withColumn("_key", text_key).join(first, ["doc_id", "_key"], "left_semi")
     named = named.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
     return restored(named.unionByName(_nameless(docs, found)))
 
 
 def _nameless(docs: DataFrame, found: DataFrame) -> DataFrame:
     """One row without doc_id for each fingerprint of the groups that have no id."""
-    alone = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("_print"))
+    alone = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("_print")).distinct()
     nameless = docs.where(F.col("doc_id").isNull()).withColumn("_print", fingerprints(F.col("text")))
-    return nameless.join(alone, "_print", "left_semi").dropDuplicates(["_print"]).select(*docs.columns)
+    return nameless.join(unless_many(alone, alone.count()), "_print", "left_semi").dropDuplicates(["_print"]).select(*docs.columns)

@@ -8,8 +8,9 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from msgrisk.llm import catalog, embeddings, simhash
+from msgrisk.llm import catalog, components, embeddings, shared, simhash
 from msgrisk.llm.components import connected_components
+from msgrisk.llm.shared import keep
 from tests.llm.conftest import LONG, ODD_ROWS, documents
 
 
@@ -198,3 +199,52 @@ def test_very_large_and_small_components_link(spark):
     rows = [(1, [1e200, 1e200, 0.0], "a"), (2, [1e-200, 1e-200, 0.0], "a"), (3, [1.0, 1.0, 0.01], "a"), (4, [1e308, -1e308, 0.0], "a"), (5, [5e-324, 0.0, 0.0], "a")]
     found = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
     assert found == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5)}
+
+
+# ---------------------------------------------------------------- joins of many rows
+def noted_plans(monkeypatch, *modules):
+    """The plans of all tables that these modules keep, as Spark makes them from the sizes it takes tables to have."""
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return keep(df)
+
+    for m in modules:
+        monkeypatch.setattr(m, "keep", noted)
+    return plans
+
+
+def close_texts(n):
+    """Texts of pairs that differ in their last word."""
+    return [(i, " ".join(f"w{(i // 2 * 31 + k * k) % 1009}" for k in range(40)) + f" end{i % 2}") for i in range(n)]
+
+
+def test_exploded_fingerprints_are_not_broadcast(spark, monkeypatch):
+    """Each fingerprint stands in 35 rows, which Spark takes to be as small as the one."""
+    plans = noted_plans(monkeypatch, simhash)
+    found = simhash.near_duplicates(documents(spark, close_texts(60))).collect()
+    assert len(found) == 60 > len({r.component_id for r in found})
+    exploded = [p for p in plans if "Generate explode" in p]
+    assert exploded and not any("Broadcast" in p for p in exploded)
+
+
+def test_joins_of_many_rows_are_not_broadcast(spark, monkeypatch):
+    """However small Spark takes them to be: files may be compressed well."""
+    expected = sorted(map(tuple, simhash.near_duplicates(documents(spark, close_texts(60))).collect()))
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", -1, raising=False)
+    plans = noted_plans(monkeypatch, simhash, components)
+    found = simhash.near_duplicates(documents(spark, close_texts(60)))
+    plans.append(found._jdf.queryExecution().sparkPlan().toString())
+    assert sum("Join" in p for p in plans) >= 6 and not any("Broadcast" in p for p in plans)
+    assert sorted(map(tuple, found.collect())) == expected
+
+
+def test_rows_without_id_of_one_fingerprint_count_once(spark, monkeypatch):
+    """Before they are met with the documents: they may be many and their file small."""
+    docs = documents(spark, [(None, "the same text of many rows")] * 50 + [(None, "another text")])
+    found = simhash.near_duplicates(docs)
+    joined = simhash._nameless(docs, found)
+    assert sorted(r.text for r in joined.collect()) == ["another text", "the same text of many rows"]
+    side = joined._jdf.queryExecution().optimizedPlan().toString().split("LeftSemi")[1]
+    assert "Aggregate [_print" in side
