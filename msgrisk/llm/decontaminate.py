@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from msgrisk.llm.shared import keep, set_apart
+from msgrisk.llm.shared import broadcast_if_few, keep, set_apart, unless_many
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -132,7 +132,7 @@ def _shared(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
     grams = items.select("item", "size", F.size("grams").alias("n_grams"), F.explode("grams").alias("gram"))
     grams = keep(grams.groupBy("item", "size", "n_grams", "gram").agg(F.count("*").alias("times")))
     n_grams = grams.count()
-    side = grams if n_grams > BROADCAST_SHINGLES else F.broadcast(grams)
+    side = grams.hint("merge") if n_grams > BROADCAST_SHINGLES else F.broadcast(grams)
     short = [r["size"] for r in items.where(F.col("size") < SHINGLE_WORDS).select("size").distinct().collect()]     # 1 to 4
     keyed = docs.select("doc_id", _text_key(F.col("text")).alias("text_key"), words_of(F.col("text")).alias("words"))
     hits = None
@@ -146,7 +146,7 @@ def _shared(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
     need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n_win") + F.col("n_grams")) - 1e-9).cast("int")
     hits = keep(hits.withColumn("need", need).select("doc", "item", "size", "n_grams", "n_win", "n_words", "need", "at", "gram", "times"))
     enough = hits.groupBy("doc", "item").agg(F.count("*").alias("n"), F.min("need").alias("least")).where("n >= least").select("doc", "item")
-    hits = hits.join(enough, ["doc", "item"], "left_semi")
+    hits = hits.join(unless_many(enough, hits.count()), ["doc", "item"], "left_semi")
     own = F.array_sort(F.collect_set(F.struct("at", "gram", "times"))).alias("hits")       # a set: rows may be repeated
     return keep(hits.groupBy("doc", "item", "size", "n_grams", "n_win", "n_words", "need").agg(own))
 
@@ -171,8 +171,10 @@ def _starts(shared: DataFrame) -> DataFrame:
 def _near(docs: DataFrame, windows: DataFrame, items: DataFrame) -> DataFrame:
     """Columns doc, item, start, distance: the windows near to an item, by fingerprints."""
     wanted = windows.select("doc", "size", "n_win", "start").distinct()
-    keys = keep(windows.select(F.col("doc.text_key").alias("text_key")).distinct())
-    few = F.broadcast(keys) if keys.count() <= BROADCAST_TEXTS else keys        # else whole texts are shuffled
+    keys = keep(windows.groupBy(F.col("doc.text_key").alias("text_key")).agg(F.count("*").alias("n")))
+    n_keys, n_windows = keys.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    keys = keys.select("text_key")
+    few = F.broadcast(keys) if n_keys <= BROADCAST_TEXTS else keys.hint("merge")        # else whole texts are shuffled
     texts = docs.withColumn("text_key", _text_key(F.col("text"))).join(few, "text_key", "left_semi")
     texts = texts.select(F.struct("doc_id", "text_key").alias("doc"), "text").dropDuplicates(["doc"])
     texts = texts.select("doc", words_of(F.col("text")).alias("words"))     # a column: the shingles refer to it often
@@ -180,7 +182,7 @@ def _near(docs: DataFrame, windows: DataFrame, items: DataFrame) -> DataFrame:
     for size in (SHINGLE_WORDS, *range(1, SHINGLE_WORDS)):
         few = wanted.where(F.col("size") >= size) if size == SHINGLE_WORDS else wanted.where(F.col("size") == size)
         whole = texts.select("doc", (_shingles(F.col("words"), size) if size == SHINGLE_WORDS else _short_runs(F.col("words"), size)).alias("grams"))
-        cut = whole.join(few, "doc").select(F.struct("doc", "start").alias("win"), "size", F.slice("grams", F.col("start") + 1, F.col("n_win")).alias("grams"))
+        cut = whole.join(broadcast_if_few(few, n_windows), "doc").select(F.struct("doc", "start").alias("win"), "size", F.slice("grams", F.col("start") + 1, F.col("n_win")).alias("grams"))
         part = _simhash(cut, ["win", "size"], "grams")
         prints = part if prints is None else prints.union(part)
         if size == SHINGLE_WORDS and items.where(F.col("size") < SHINGLE_WORDS).isEmpty():
@@ -209,7 +211,8 @@ def _ratio(both: Column) -> Column:
 def _unsettled(held: DataFrame, settled: DataFrame) -> DataFrame:
     """The windows that may be better than the one that ``settled`` has for their document and item, if it has one:
     no window is more similar than if all its places counted."""
-    open_ = held.join(settled.select("doc", "item", F.col("b").alias("least")), ["doc", "item"], "left")
+    known = unless_many(settled.select("doc", "item", F.col("b").alias("least")), settled.count())
+    open_ = held.join(known, ["doc", "item"], "left")
     reach = F.struct(_ratio(F.size("hits").cast("long")).alias("similarity"), (-F.col("start")).alias("back"), F.col("size").alias("words"))
     return open_.where(F.col("least").isNull() | (reach > F.col("least"))).drop("least")
 
@@ -224,11 +227,12 @@ def _best_windows(docs: DataFrame, items: DataFrame, similarity: float) -> DataF
     near = keep(_near(docs, windows.select("doc", "item", "size", "n_win", "start"), items))
     held = windows.withColumn("hits", F.filter("hits", lambda h: (h["at"] >= F.col("start")) & (h["at"] < F.col("start") + F.col("n_win"))))
     held = held.select("doc", "item", "size", "n_grams", "n_win", "start", "hits")
-    by_print = _similar(held.join(near.drop("distance"), ["doc", "item", "start"], "left_semi"), similarity)
+    n_near = near.count()
+    by_print = _similar(held.join(unless_many(near.drop("distance"), n_near), ["doc", "item", "start"], "left_semi"), similarity)
     settled = keep(by_print.groupBy("doc", "item").agg(F.max("b").alias("b")))
     least = near.groupBy("doc", "item").agg(F.min("distance").alias("distance"))
     rest = _similar(_unsettled(held, settled), similarity)
-    found = settled.union(rest).join(least, ["doc", "item"], "left")
+    found = settled.union(rest).join(unless_many(least, n_near), ["doc", "item"], "left")
     best = F.struct("b.*", (-F.col("distance")).alias("closeness"))
     return found.groupBy(F.col("doc.doc_id").alias("doc_id"), F.col("doc.text_key").alias("text_key"), "item").agg(F.max(best).alias("b"))
 

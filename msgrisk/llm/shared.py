@@ -58,6 +58,12 @@ def unless_many(side: DataFrame, n: int) -> DataFrame:
     return side.hint("merge") if n > BROADCAST_ROWS else side
 
 
+def broadcast_if_few(side: DataFrame, n: int) -> DataFrame:
+    """``side`` of a join, broadcast if ``n``, a bound on its rows, is small: Spark may take the other side, of wide
+    rows, to be smaller.  Else both are shuffled."""
+    return unless_many(side, n) if n > BROADCAST_ROWS else F.broadcast(side)
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's text, modulo: decides which rows a model may learn from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

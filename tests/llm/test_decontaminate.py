@@ -224,3 +224,22 @@ def test_clashing_columns_stay(spark):
     items = spark.createDataFrame([(1, "b c d e f g")], "item_id long, text string")
     for kept in (decontaminate.clean_rows(docs, items), decontaminate.without_contaminated(docs, items)):
         assert kept.schema == docs.schema and [tuple(r) for r in kept.collect()] == rows[1:]
+
+
+def test_joins_of_many_windows_are_not_broadcast(spark, monkeypatch):
+    """Each passage has many windows, which Spark takes to be as small as the one row they are made of."""
+    plans, kept = [], decontaminate.keep
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return kept(df)
+
+    rng = random.Random(8)
+    items = [(k, " ".join(rng.choices([f"w{i}" for i in range(300)], k=40))) for k in range(4)]
+    docs = [(i, " ".join([f"before{i}"] * (i % 7) + items[i % 4][1].split() + ["after"] * 9)) for i in range(20)] + [(99, "clean text of some words"), (None, items[0][1])]
+    monkeypatch.setattr(decontaminate, "keep", noted)
+    monkeypatch.setattr("msgrisk.llm.shared.BROADCAST_ROWS", -1, raising=False)
+    stay = decontaminate.clean_rows(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert [r.doc_id for r in stay.collect()] == [99]
+    # the shingles of the benchmark and the texts that share some with it have bounds of their own
+    assert {key for p in plans for key in re.findall(r"Broadcast\w+Join \[([a-z_]+)", p)} == {"gram", "text_key"}
